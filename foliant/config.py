@@ -24,7 +24,7 @@ class ChunkingConfig:
     separators: tuple[str, ...] = DEFAULT_SEPARATORS
     unit: str = "chars"                 # "chars" (code points) or "bytes"
     remove_extra_whitespace: bool = True
-    max_file_size_mb: int = 100
+    max_file_size_mb: float = 100
     min_extracted_bytes: int = 50
     drop_empty: bool = False            # also drop the one empty chunk of a blank document
 
@@ -36,7 +36,7 @@ class ChunkingConfig:
 
     @property
     def max_file_bytes(self) -> int:
-        return self.max_file_size_mb * 1024 * 1024
+        return int(self.max_file_size_mb * 1024 * 1024)
 
 
 @dataclass(frozen=True)

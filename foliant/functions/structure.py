@@ -8,6 +8,8 @@ match) segments anchored with ``\\G`` and the segment lengths are summed up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,14 +21,17 @@ ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "vs.")
 INTENDED_ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "vs.", "etc.", "e.g.", "i.e.", "Prof.")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value, so that an expression used several times is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_total(lengths: Column) -> Column:
     """Inclusive prefix sums of an integer array.
 
     Works block by block (about the square root of the array size each), so
     that appending to the result does not copy it once per element.
     """
-    size = F.size(lengths)
-    block = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
     empty = F.array().cast("array<bigint>")
 
     def sums(values: Column) -> Column:
@@ -40,22 +45,30 @@ def running_total(lengths: Column) -> Column:
             lambda acc: acc["out"],
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")),
-        lambda b: sums(F.slice(lengths, b * block + 1, block)),
-    )
-    carries = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    shifted = F.transform(
-        blocks,
-        lambda b, i: F.transform(
-            b, lambda v: v + F.when(i > 0, F.get(carries, i - 1)).otherwise(F.lit(0))
-        ),
-    )
-    return F.when(size > 0, F.flatten(shifted)).otherwise(empty)
+    def shift(block: Column, carry: Column) -> Column:
+        return F.transform(block, lambda v: v + carry)
+
+    def shifted(blocks: Column) -> Column:
+        carries = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(carries, lambda c: F.flatten(F.transform(
+            blocks, lambda b, i: shift(b, F.coalesce(F.get(c, i - 1), F.lit(0)))
+        )))
+
+    def total(values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(values))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(values), width)
+        blocks = F.transform(starts, lambda at: sums(F.slice(values, at, width)))
+        return F.when(F.size(values) > 0, let(blocks, shifted)).otherwise(empty)
+
+    return let(lengths, total)
 
 
 def _segments(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\G(?s:(.*?))(" + pattern + ")"), F.lit(group))
+    """Texts running from the end of one match to the end of the next.
+
+    With ``group`` 1 only the matches themselves.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)({pattern})"), F.lit(group))
 
 
 def _lengths(parts: Column) -> Column:
@@ -67,10 +80,12 @@ def match_ends(text: Column, pattern: str) -> Column:
     return running_total(_lengths(_segments(text, pattern)))
 
 
-def match_starts(text: Column, pattern: str) -> Column:
-    """Start offset of every match."""
-    matches = _segments(text, pattern, 2)
-    return F.zip_with(match_ends(text, pattern), matches, lambda e, m: e - F.length(m))
+def located_matches(text: Column, pattern: str) -> Column:
+    """Every match with its start offset, ``array<struct<found, start>>``."""
+    return F.zip_with(
+        _segments(text, pattern, 1), match_ends(text, pattern),
+        lambda found, end: F.struct(found.alias("found"), (end - F.length(found)).alias("start")),
+    )
 
 
 def sentence_boundaries(text: Column, fixed_abbreviations: bool = False) -> Column:
@@ -81,19 +96,22 @@ def sentence_boundaries(text: Column, fixed_abbreviations: bool = False) -> Colu
     three-character comparison can match count; ``fixed_abbreviations`` uses
     the intended list.
     """
-    parts = F.regexp_extract_all(text, F.lit(r"\G(?s:.*?)[.!?](?=[ \n\t])"), F.lit(0))
-    ends = running_total(_lengths(parts))
     listed = INTENDED_ABBREVIATIONS if fixed_abbreviations else ABBREVIATIONS
 
     def is_abbreviation(part: Column, end: Column) -> Column:
         closes = F.lit(False)
         for abbreviation in listed:
             closes = closes | F.endswith(part, F.lit(abbreviation))
-        return F.endswith(part, F.lit(".")) & (end >= 3) & (closes | part.rlike(r"[A-Z]\.\z"))
+        upper_before = F.right(part, F.lit(2)).rlike(r"\A[A-Z]\.\z")
+        return F.endswith(part, F.lit(".")) & (end >= 3) & (closes | upper_before)
 
-    marked = F.arrays_zip(parts.alias("part"), ends.alias("end"))
-    kept = F.filter(marked, lambda m: ~is_abbreviation(m["part"], m["end"]))
-    return F.transform(kept, lambda m: m["end"])
+    def kept(parts: Column) -> Column:
+        ends = F.zip_with(parts, running_total(_lengths(parts)), lambda part, end: F.when(
+            ~is_abbreviation(part, end), end
+        ))
+        return F.array_compact(ends)
+
+    return let(_segments(text, r"[.!?](?=[ \n\t])"), kept)
 
 
 def paragraph_boundaries(text: Column) -> Column:
@@ -103,7 +121,7 @@ def paragraph_boundaries(text: Column) -> Column:
 
 def page_breaks(text: Column) -> Column:
     """Offsets at which a ``--- Page n ---`` marker begins."""
-    return match_starts(text, _PAGE_BREAK)
+    return F.transform(located_matches(text, _PAGE_BREAK), lambda m: m["start"])
 
 
 def sections(text: Column) -> Column:
@@ -111,13 +129,9 @@ def sections(text: Column) -> Column:
 
     The title is the whole match with the blanks around it.
     """
-    return F.zip_with(
-        _segments(text, _SECTION, 2),
-        match_starts(text, _SECTION),
-        lambda title, start: F.struct(
-            title.alias("title"), start.alias("start_position"), F.lit(1).alias("level")
-        ),
-    )
+    return F.transform(located_matches(text, _SECTION), lambda m: F.struct(
+        m["found"].alias("title"), m["start"].alias("start_position"), F.lit(1).alias("level")
+    ))
 
 
 def optimal_chunk_end(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.config import ChunkingConfig
 from foliant.functions import text as tx
+from foliant.functions import structure as st
 from foliant.functions.spans import chunk_spans, drifting_positions
 from foliant.runtime import spread
 
@@ -43,16 +46,26 @@ def clean_pieces(pieces: Column, unit: str = "chars") -> Column:
     ))
 
 
-def chunk_array(text: Column, config: ChunkingConfig = ChunkingConfig()) -> Column:
+def chunk_array(
+    text: Column, config: ChunkingConfig = ChunkingConfig(), whole: Column | None = None
+) -> Column:
     """Final chunks of one text as an array, empty ones dropped.
 
     A text that fits into one chunk stays as it is, even if it is empty.
+    Texts flagged ``whole`` are never split.
     """
     size = F.octet_length if config.unit == "bytes" else F.length
     spans = chunk_spans(text, config)
     chunks = F.when(size(text) <= config.chunk_size, spans).otherwise(
         F.filter(clean_pieces(spans, config.unit), lambda p: p["content"] != "")
     )
+    if whole is not None:
+        one = F.array(F.struct(
+            F.lit(0).cast("bigint").alias("start"),
+            size(text).cast("bigint").alias("end"),
+            text.alias("content"),
+        ))
+        chunks = F.when(whole, one).otherwise(chunks)
     if config.drop_empty:
         chunks = F.filter(chunks, lambda p: F.btrim(p["content"], F.lit(" \t\n\r")) != "")
     return chunks
@@ -64,20 +77,36 @@ def chunk_documents(
     *,
     text: str = "content",
     keep: tuple[str, ...] = (),
+    whole: str | None = None,
+    describe: Callable[[Column], dict[str, Column]] | None = None,
 ) -> DataFrame:
     """One row per chunk of documents with ``source_file`` and a text column.
 
     Row-local: spans, cleaning, numbering (W1) and the overlap with the chunk
     before (W8) come out of one array per document, without a shuffle.
+    ``describe`` maps a chunk struct to more columns and may use columns of
+    the document, which are then not repeated for every chunk.
     """
     kept = [c for c in keep if c != "source_file"]
-    arrays = spread(documents.select("source_file", text, *kept), "source_file").select(
-        "source_file", *kept, chunk_array(F.col(text), config).alias("_chunks")
+    used = [c for c in documents.columns if c not in ("source_file", text)]
+    if describe is None:
+        used = [c for c in used if c in kept or c == whole]
+    arrays = spread(documents.select("source_file", text, *used), "source_file").select(
+        "source_file", *used,
+        chunk_array(F.col(text), config, F.col(whole) if whole else None).alias("_chunks"),
     )
-    with_overlap = F.transform(F.col("_chunks"), lambda c, i: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), c["content"].alias("content"),
-        F.when(i > 0, F.get(F.col("_chunks"), i - 1)["end"] - c["start"]).alias("overlap"),
-    ))
+    described: list[str] = []
+
+    def finish(c: Column, i: Column) -> Column:
+        more = describe(c) if describe else {}
+        described[:] = more
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), c["content"].alias("content"),
+            F.when(i > 0, F.get(F.col("_chunks"), i - 1)["end"] - c["start"]).alias("overlap"),
+            *[column.alias(name) for name, column in more.items()],
+        )
+
+    with_overlap = F.transform(F.col("_chunks"), finish)
     rows = arrays.select(
         "source_file", *kept, F.posexplode(with_overlap).alias("chunk_index", "_chunk")
     )
@@ -90,6 +119,7 @@ def chunk_documents(
         F.col("_chunk.end").alias("end_position"),
         tx.estimate_tokens(F.col("_chunk.content")).alias("token_count"),
         F.col("_chunk.overlap").alias("overlap_previous"),
+        *[F.col(f"_chunk.{name}").alias(name) for name in described],
         *kept,
     )
 
@@ -141,3 +171,40 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
         F.max(length).alias("max_chars"),
         F.round(F.avg(length), 6).alias("avg_chars"),
     )
+
+
+def located_chunks(
+    documents: DataFrame, config: ChunkingConfig = ChunkingConfig(), *, text: str = "content"
+) -> DataFrame:
+    """Chunks with the section and page they start in and their locator."""
+    marked = documents.select(
+        "source_file", text,
+        st.sections(F.col(text)).alias("_sections"), st.page_breaks(F.col(text)).alias("_breaks"),
+    )
+    chunks = chunk_documents(marked, config, text=text, describe=lambda c: {
+        "section": st.section_at(F.col("_sections"), c["start"]),
+        "page": st.page_at(F.col("_breaks"), c["start"]),
+    })
+    return chunks.withColumn("locator", st.locator(F.col("section"), F.col("page")))
+
+
+def asof_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """As-of join of stored chunks and stored section starts of the same files.
+
+    ``sections`` has ``(source_file, start_position, title)``.  A window runs
+    over one file, whose size is limited.
+    """
+    marks = sections.select(
+        "source_file", F.col("start_position").alias("_at"), F.lit(0).alias("_kind"), "title",
+    )
+    both = marks.unionByName(
+        chunks.withColumns({"_at": F.col("start_position"), "_kind": F.lit(1)}),
+        allowMissingColumns=True,
+    )
+    before = Window.partitionBy("source_file").orderBy("_at", "_kind").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    found = both.withColumn("section", F.last("title", ignorenulls=True).over(before))
+    return found.filter(F.col("_kind") == 1).select(
+        *chunks.columns, F.coalesce("section", F.lit("Unknown")).alias("section")
+    )
