@@ -24,8 +24,16 @@ def first_by_path(incoming: DataFrame, order: str) -> DataFrame:
 
 
 def new_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Documents whose path is not in the corpus yet."""
-    return incoming.join(existing.select("source_file"), "source_file", "left_anti")
+    """Documents whose path is not in the corpus yet.
+
+    The stored paths are cut down to those of the incoming documents first.
+    A batch of paths is small and can be broadcast, so the large stored side
+    is only scanned, and the contents meet a list no longer than the batch.
+    """
+    known = existing.select("source_file").join(
+        incoming.select("source_file"), "source_file", "left_semi"
+    )
+    return incoming.join(known, "source_file", "left_anti")
 
 
 def changed_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:

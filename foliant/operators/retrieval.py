@@ -241,27 +241,37 @@ def _grid_matches(stored, asked, dim, room, celled, result, settings) -> DataFra
 
     Rows of a cell go to blocks by a hash of their id, each block of the
     corpus meets each block of queries of the same cell once.  A cell that
-    holds most of the rows just has more blocks.
+    holds most of the rows just has more blocks.  Only the number of blocks
+    per cell is collected.
     """
     if celled:
         asked = asked.withColumn("cell", F.explode("probes")).drop("probes")
     else:
         asked, stored = (df.withColumn("cell", F.lit(0)) for df in (asked, stored))
 
-    def blocks(df: DataFrame) -> int:
+    def blocks(df: DataFrame) -> dict[int, int]:
         # Half-filled on average, so that uneven hashing stays within the room.
-        largest = df.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-        return max(1, -(-2 * largest // room))
+        counts = df.groupBy("cell").count().collect()
+        return {c["cell"]: -(-2 * c["count"] // room) for c in counts}
+
+    def blocks_of(counts: dict[int, int]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("cell")]
 
     rows, columns = blocks(stored), blocks(asked)
-    by_row = F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")
-    by_column = F.pmod(F.xxhash64("query_id"), F.lit(columns)).cast("int")
-    left = stored.withColumns({
-        "row": by_row, "column": F.explode(F.sequence(F.lit(0), F.lit(columns - 1))),
-    })
-    right = asked.withColumns({
-        "column": by_column, "row": F.explode(F.sequence(F.lit(0), F.lit(rows - 1))),
-    })
+    shared = rows.keys() & columns.keys()
+    if not shared:
+        return stored.sparkSession.createDataFrame([], result)
+    in_both = F.col("cell").isin(*shared)
+
+    def placed(df: DataFrame, key: str, own: str, own_counts, other: str, other_counts):
+        every = F.sequence(F.lit(0), (blocks_of(other_counts) - 1).cast("int"))
+        return df.filter(in_both).withColumns({
+            own: F.pmod(F.xxhash64(key), blocks_of(own_counts)).cast("int"),
+            other: F.explode(every),
+        })
+
+    left = placed(stored, "id", "row", rows, "column", columns)
+    right = placed(asked, "query_id", "column", columns, "row", rows)
     schema = _arrow_schema(result)
 
     def search(chunks: pa.Table, queries: pa.Table) -> pa.Table:

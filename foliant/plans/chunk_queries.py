@@ -32,7 +32,7 @@ _SUMMARY_BODY = (
 
 
 def _cleaned(spark, sf_dir):
-    return I.documents(spark, sf_dir).withColumn("content", tx.clean_text("content"))
+    return I.heavy_documents(spark, sf_dir).withColumn("content", tx.clean_text("content"))
 
 
 @query("g1_chunk_spans", S.with_ctes(
@@ -71,17 +71,14 @@ def g2_chunk_text_routed(spark, sf_dir):
     *S.chunks(),
     "texts AS (SELECT c.doc_id, c.chunk_index, c.content, c.start_position AS true_position, "
     "d.text FROM chunks c JOIN docs d ON c.doc_id = d.doc_id)",
-    "walk AS (SELECT doc_id, 0 AS i, 0::BIGINT AS at, 0::BIGINT AS found FROM docs WHERE false "
-    "UNION ALL SELECT doc_id, i, at, found FROM (SELECT doc_id, -1 AS i, 0 AS at, 0 AS found "
-    "FROM docs))",
-    "steps AS (SELECT doc_id, i, at, found FROM walk UNION ALL "
-    "SELECT doc_id, i, found + length(content) AS at, found FROM ("
-    "SELECT t.doc_id, t.chunk_index AS i, t.content, CASE WHEN instr(substr(t.text, s.at + 1), "
-    "t.content) > 0 THEN s.at + instr(substr(t.text, s.at + 1), t.content) - 1 ELSE s.at END "
-    "AS found FROM steps s JOIN texts t ON t.doc_id = s.doc_id AND t.chunk_index = s.i + 1))",
+    "walk AS (SELECT doc_id, -1 AS i, 0::BIGINT AS pos, 0::BIGINT AS found FROM docs UNION ALL "
+    "SELECT doc_id, i, found + length(content) AS pos, found FROM ("
+    "SELECT t.doc_id, t.chunk_index AS i, t.content, CASE WHEN instr(substr(t.text, s.pos + 1), "
+    "t.content) > 0 THEN s.pos + instr(substr(t.text, s.pos + 1), t.content) - 1 ELSE s.pos END "
+    "AS found FROM walk s JOIN texts t ON t.doc_id = s.doc_id AND t.chunk_index = s.i + 1))",
 ], (
     "SELECT d.source_file, c.chunk_index, c.content, c.start_position AS true_position, "
-    "s.found AS start_position, s.found + length(c.content) AS end_position FROM steps s "
+    "s.found AS start_position, s.found + length(c.content) AS end_position FROM walk s "
     "JOIN chunks c ON c.doc_id = s.doc_id AND c.chunk_index = s.i "
     "JOIN docs d ON d.doc_id = c.doc_id"
 )))

@@ -14,6 +14,7 @@ from foliant.functions import text as tx
 from foliant.functions.embedding import HashedWords, embed
 from foliant.operators import corpus
 from foliant.operators.extraction import document_chunks, text_chunks
+from foliant.runtime import fresh_path, spread
 
 EMBED_DIM = 64
 
@@ -54,7 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, content: str = "text") -> DataFrame:
     """Documents with path, session and content; ``content`` is an expression over ``text``."""
-    return table(spark, sf_dir, "documents").select(
+    return _labelled(table(spark, sf_dir, "documents"), content)
+
+
+def heavy_documents(spark: SparkSession, sf_dir: str, content: str = "text") -> DataFrame:
+    """``documents`` for costly row-wise work: small files are spread over the cores."""
+    return _labelled(spread(table(spark, sf_dir, "documents"), "doc_id"), content)
+
+
+def _labelled(rows: DataFrame, content: str) -> DataFrame:
+    return rows.select(
         "doc_id", F.col("source").alias("session"),
         F.expr(SOURCE_FILE).alias("source_file"), F.expr(content).alias("content"),
     )
@@ -62,7 +72,7 @@ def documents(spark: SparkSession, sf_dir: str, content: str = "text") -> DataFr
 
 def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a page marker every 500 characters and numbered headings."""
-    return documents(
+    return heavy_documents(
         spark, sf_dir,
         "array_join(transform(sequence(0, cast((length(text) - 1) div 500 as int)), "
         f"i -> {PAGE_PART}), '')",
@@ -85,6 +95,13 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded chunks as a written table, for work that passes over them repeatedly."""
+    path = fresh_path(spark, "embedded-chunks")
+    embedded_chunks(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark texts as embedded queries."""
     return table(spark, sf_dir, "benchmark").select(

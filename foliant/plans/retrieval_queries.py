@@ -171,7 +171,7 @@ def _vector_search(spark, sf_dir, config):
 @query("v5_cell_top_k")
 def v5_cell_top_k(spark, sf_dir):
     """k-means cells; approximate, so there is no SQL to compare with."""
-    return retrieval.cell_top_k(I.questions(spark, sf_dir), I.embedded_chunks(spark, sf_dir))
+    return retrieval.cell_top_k(I.questions(spark, sf_dir), I.stored_embeddings(spark, sf_dir))
 
 
 _CELLS = [
@@ -218,6 +218,6 @@ def v5_cell_top_k_sampled(spark, sf_dir):
     "count(*) AS n_chunks FROM used WHERE used <= 700 GROUP BY query_id"
 )))
 def v8_retrieval_context(spark, sf_dir):
-    chunks = I.embedded_chunks(spark, sf_dir)
+    chunks = I.stored_embeddings(spark, sf_dir)
     found = retrieval.top_k(I.questions(spark, sf_dir), chunks)
     return retrieval.contexts(found, chunks, replace(CONFIG, max_tokens=700))

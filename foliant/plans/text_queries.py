@@ -44,7 +44,7 @@ def s2_size_limit(spark, sf_dir):
     f"(SELECT *, {S.file_type('source_file')} AS file_type FROM ({S.documents(I.NOISY_TEXT)}))"
 ))
 def s3_type_routing(spark, sf_dir):
-    docs = I.documents(spark, sf_dir, I.NOISY_TEXT).withColumn(
+    docs = I.heavy_documents(spark, sf_dir, I.NOISY_TEXT).withColumn(
         "file_type", tx.detect_file_type("source_file")
     )
     return docs.select(
@@ -88,7 +88,7 @@ def s4_extraction_cascade(spark, sf_dir):
     f"FROM ({S.documents()}))) WHERE part <> '' GROUP BY source_file"
 ))
 def s5_page_assembly(spark, sf_dir):
-    numbered = I.documents(spark, sf_dir).select(
+    numbered = I.heavy_documents(spark, sf_dir).select(
         "source_file", "content",
         F.explode(F.sequence(
             F.lit(0), F.floor((F.length("content") - 1) / 500).cast("int")
@@ -167,7 +167,7 @@ def t1_detect_file_type(spark, sf_dir):
     f"(SELECT doc_id, {I.NOISY_TEXT} AS noisy FROM documents)"
 ))
 def t2_clean_text(spark, sf_dir):
-    docs = I.documents(spark, sf_dir, I.NOISY_TEXT)
+    docs = I.heavy_documents(spark, sf_dir, I.NOISY_TEXT)
     cleaned = docs.withColumn("cleaned", tx.clean_text("content"))
     return cleaned.select(
         "doc_id", F.col("cleaned").alias("content"),
@@ -181,7 +181,7 @@ def t2_clean_text(spark, sf_dir):
     f"(SELECT doc_id, {I.PDF_TEXT} AS noisy FROM documents)"
 ))
 def t3_clean_pdf_text(spark, sf_dir):
-    docs = I.documents(spark, sf_dir, I.PDF_TEXT)
+    docs = I.heavy_documents(spark, sf_dir, I.PDF_TEXT)
     cleaned = docs.withColumn("cleaned", tx.clean_pdf_text("content"))
     return cleaned.select(
         "doc_id", F.col("cleaned").alias("content"),
@@ -265,7 +265,7 @@ _SENTENCE_CHARS = (
 
 @query("t9_sentence_boundaries", f"WITH {_SENTENCE_CHARS} SELECT doc_id, boundary FROM ends")
 def t9_sentence_boundaries(spark, sf_dir):
-    docs = I.documents(spark, sf_dir, I.SENTENCE_TEXT)
+    docs = I.heavy_documents(spark, sf_dir, I.SENTENCE_TEXT)
     return docs.select(
         "doc_id", F.explode(st.sentence_boundaries(F.col("content"))).alias("boundary")
     )
@@ -332,7 +332,7 @@ def t12_sections(spark, sf_dir):
     "USING (doc_id, start)"
 ))
 def t13_optimal_chunk_end(spark, sf_dir):
-    docs = I.documents(spark, sf_dir, I.SENTENCE_TEXT).select(
+    docs = I.heavy_documents(spark, sf_dir, I.SENTENCE_TEXT).select(
         "doc_id", F.length("content").cast("bigint").alias("n"),
         st.sentence_boundaries(F.col("content")).alias("boundaries"),
     )
@@ -354,8 +354,8 @@ def t15_format_timestamp(spark, sf_dir):
 
 
 @query("t16_message_id", (
-    "SELECT event_id, concat('id_', epoch_ms(ts)) AS id, "
-    "concat('id_', epoch_ms(ts), '_', event_id) AS unique_id FROM events"
+    "SELECT event_id, concat('id_', epoch_us(ts) // 1000) AS id, "
+    "concat('id_', epoch_us(ts) // 1000, '_', event_id) AS unique_id FROM events"
 ))
 def t16_message_id(spark, sf_dir):
     return I.table(spark, sf_dir, "events").select(
@@ -379,7 +379,7 @@ def f1_not_empty(spark, sf_dir):
     f"SELECT doc_id, file_type, strlen(text)::INTEGER AS n FROM ({S.ROUTED})"
 ))
 def f2_minimum_length(spark, sf_dir):
-    kept = extraction.cleaned_documents(I.documents(spark, sf_dir))
+    kept = extraction.cleaned_documents(I.heavy_documents(spark, sf_dir))
     return kept.select("doc_id", "file_type", F.octet_length("content").alias("n"))
 
 

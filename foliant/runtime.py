@@ -29,13 +29,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy row-wise work enough partitions.
 
-    A scan that already has as many splits as there are cores stays as it is,
-    so a large table is not shuffled; a few big files are spread by a key that
-    is unique per row (or round-robin without one).
+    Input too small to fill one scan split per core is spread by a key that
+    is unique per row.  Larger input comes in enough splits by itself and is
+    not shuffled.  The size is the planner's estimate; nothing is run for it.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size >= cores * split or _is_spread(df, cores):
         return df
     return df.repartition(cores, *keys)
+
+
+def _is_spread(df: DataFrame, cores: int) -> bool:
+    """True if the last shuffle of the plan already made one partition per core."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1:
+        if node.getClass().getSimpleName() == "RepartitionByExpression":
+            return True
+        node = node.children().head()
+    return False

@@ -1,12 +1,15 @@
 """Incremental ingest of documents into a stored corpus (ST1–ST3).
 
 Each micro-batch is checked against the stored paths, chunked, embedded and
-written below its own ``batch_id`` folder.  A replayed batch overwrites just
-that folder, so a restart after a failure adds nothing twice.
+written below its own ``run`` and ``batch_id`` folder.  A replayed batch
+overwrites just that folder, so a restart after a failure adds nothing twice.
+The run is the id of the streaming query, which lives in its checkpoint: a
+stream with another checkpoint counts its batches anew, but in other folders.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +21,11 @@ from foliant.functions.embedding import Embedder, embed
 from foliant.operators.corpus import first_by_path, new_documents
 from foliant.operators.extraction import document_chunks
 
-_INGESTED = "source_file string, session string, n_chunks bigint, batch_id bigint"
+_INGESTED = "source_file string, session string, n_chunks bigint, run string, batch_id bigint"
 _CHUNKS = (
     "id string, content string, source_file string, chunk_index int, start_position bigint, "
     "end_position bigint, token_count bigint, overlap_previous bigint, file_type string, "
-    "session string, embedding array<float>, batch_id bigint"
+    "session string, embedding array<float>, run string, batch_id bigint"
 )
 
 
@@ -44,7 +47,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _overwrite_batch(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("batch_id").option(
+    df.write.mode("overwrite").partitionBy("run", "batch_id").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
 
@@ -54,42 +57,49 @@ def ingest_batch(
     batch_id: int,
     root: str,
     *,
+    run: str = "manual",
     embedder: Embedder | None = None,
     config: ChunkingConfig = ChunkingConfig(),
-    order: str = "source_file",
+    order: str | None = None,
 ) -> None:
     """Add one batch of ``(source_file, content, session)`` rows to the corpus (ST2, ST3).
 
     The path check comes before cleaning and chunking.  The chunks are
     written first; the document list, taken from the written chunks, is what
     later batches are checked against.  A document without chunks is not
-    listed, so it may come again.
+    listed, so it may come again.  Where a batch may hold a path twice,
+    ``order`` names the column whose smallest value is kept.
     """
     spark = documents.sparkSession
-    stored = ingested_documents(spark, root).filter(F.col("batch_id") != batch_id)
+    this_batch = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    stored = ingested_documents(spark, root).filter(~this_batch)
     fresh = new_documents(documents, stored)
-    if order != "source_file":
+    if order:
         fresh = first_by_path(fresh, order)
     chunks = document_chunks(fresh, config, keep=("session",))
     vector = embed("content", embedder) if embedder else F.lit(None).cast("array<float>")
     labelled = chunks.withColumns({
-        "embedding": vector, "batch_id": F.lit(batch_id).cast("bigint"),
+        "embedding": vector, "run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint"),
     })
     _overwrite_batch(labelled, f"{root}/chunks")
-    written = ingested_chunks(spark, root).filter(F.col("batch_id") == batch_id)
-    listed = written.groupBy("source_file", "session", "batch_id").agg(
+    written = ingested_chunks(spark, root).filter(this_batch)
+    listed = written.groupBy("source_file", "session", "run", "batch_id").agg(
         F.count(F.lit(1)).alias("n_chunks")
     )
     _overwrite_batch(
-        listed.select("source_file", "session", "n_chunks", "batch_id"), f"{root}/documents"
+        listed.select("source_file", "session", "n_chunks", "run", "batch_id"),
+        f"{root}/documents",
     )
 
 
-def batch_writer(root: str, **options) -> Callable[[DataFrame, int], None]:
+def batch_writer(root: str, checkpoint: str, **options) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function around ``ingest_batch``."""
+    fallback = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def write(documents: DataFrame, batch_id: int) -> None:
-        ingest_batch(documents, batch_id, root, **options)
+        context = documents.sparkSession.sparkContext
+        run = context.getLocalProperty("sql.streaming.queryId") or fallback
+        ingest_batch(documents, batch_id, root, run=run, **options)
 
     return write
 
@@ -99,7 +109,7 @@ def start_ingest(
     available_now: bool = True, interval: str = "5 minutes", **options,
 ) -> StreamingQuery:
     """Start a streaming ingest: all there is now, or one batch per interval (ST1, ST2)."""
-    writer = documents.writeStream.foreachBatch(batch_writer(root, **options)).option(
+    writer = documents.writeStream.foreachBatch(batch_writer(root, checkpoint, **options)).option(
         "checkpointLocation", checkpoint
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
