@@ -14,6 +14,14 @@ FILE_METADATA = T.StructType([
     T.StructField("page", T.IntegerType()),
 ])
 
+# Columns of Spark's binary file source.
+FILES = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("content", T.BinaryType()),
+])
+
 DOCUMENTS = T.StructType([
     T.StructField("source_file", T.StringType()),
     T.StructField("content", T.StringType()),

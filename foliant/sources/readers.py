@@ -27,7 +27,8 @@ def read_documents(
 ) -> DataFrame:
     """Whole files as documents (S1); the size limit is pushed into the scan.
 
-    Bytes that are no UTF-8 become replacement characters.
+    Bytes that are no UTF-8 become replacement characters.  Spark lists no
+    empty files, which would give no chunks anyway.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -42,8 +43,8 @@ def stream_documents(
 ) -> DataFrame:
     """Files of a folder as a stream, a bounded number per batch (ST1)."""
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch).load(path)
+        spark.readStream.format("binaryFile").schema(schema.FILES)
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
     )
     return _as_documents(files, config)
 
