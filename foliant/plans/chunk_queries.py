@@ -62,6 +62,12 @@ def g2_chunk_text_small(spark, sf_dir):
     return text_chunks(I.documents(spark, sf_dir), config).select(*_CHUNK_COLUMNS)
 
 
+@query("g2_chunk_text_markdown", S.with_ctes(S.chunks(separators=MARKDOWN_SEPARATORS), _CHUNK_BODY))
+def g2_chunk_text_markdown(spark, sf_dir):
+    config = ChunkingConfig(separators=MARKDOWN_SEPARATORS)
+    return text_chunks(I.documents(spark, sf_dir), config).select(*_CHUNK_COLUMNS)
+
+
 @query("g2_chunk_text_routed", S.with_ctes(S.chunks(S.ROUTED), _CHUNK_BODY))
 def g2_chunk_text_routed(spark, sf_dir):
     return I.routed_chunks(spark, sf_dir).select(*_CHUNK_COLUMNS)

@@ -41,6 +41,85 @@ def k1_chunk_documents(spark, sf_dir):
     return _with_weight(readers.read_chunk_documents(spark, path))
 
 
+@query("s8_chunk_scan", S.with_ctes(S.chunks(), (
+    "SELECT source_file, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars, "
+    "count(*) FILTER (WHERE strlen(content) > 0) AS n_filled FROM chunks GROUP BY source_file"
+)))
+def s8_chunk_scan(spark, sf_dir):
+    """Scan of chunk documents without embeddings."""
+    path = fresh_path(spark, "chunk-scan")
+    chunks = I.plain_chunks(spark, sf_dir).withColumn(
+        "embedding", F.lit(None).cast("array<float>")
+    )
+    writers.write_documents(docs.chunk_documents_json(chunks), path)
+    return readers.read_chunk_documents(spark, path).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"),
+        F.count_if(F.length("content") > 0).alias("n_filled"),
+    )
+
+
+@query("s9_chat_scan", S.with_ctes(S.CHAT, (
+    "SELECT session, count(*) AS n_messages, sum(len(source_chunks))::BIGINT AS n_sources, "
+    f"min({S.CHAT_TIME}) AS first_asked FROM chat GROUP BY session"
+)))
+def s9_chat_scan(spark, sf_dir):
+    """Scan of chat documents of at most ten messages each."""
+    path = fresh_path(spark, "chat-scan")
+    writers.write_documents(docs.chat_documents_json(I.chat(spark, sf_dir), "seq", 10), path)
+    return readers.read_chat_documents(spark, path).groupBy(
+        F.col("session").cast("string").alias("session")
+    ).agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.sum(F.size("source_chunks")).alias("n_sources"),
+        tx.format_timestamp(F.min("timestamp")).alias("first_asked"),
+    )
+
+
+@query("s10_metadata_scan", S.with_ctes([*S.chunks(S.ROUTED), *S.CHAT, *S.SESSIONS], (
+    "SELECT session AS name, total_chunks, total_messages, description, "
+    "(SELECT count(*) FROM paths p WHERE p.session = sessions.session) AS n_listed FROM sessions"
+)))
+def s10_metadata_scan(spark, sf_dir):
+    """Scan of metadata documents whose document lists come in parts of ten."""
+    path = fresh_path(spark, "metadata-scan")
+    listed = I.documents(spark, sf_dir).select("session", "source_file", "doc_id")
+    writers.write_documents(
+        docs.metadata_documents_json(I.sessions(spark, sf_dir), listed, "doc_id", 10), path
+    )
+    return readers.read_metadata_documents(spark, path).groupBy(
+        "name", "total_chunks", "total_messages", "description"
+    ).agg(F.sum(F.size("documents")).alias("n_listed"))
+
+
+_POLICY = (
+    ("document_add", "metadata"), ("document_add", "chunks"), ("manual_save", "metadata"),
+    ("manual_save", "chat"), ("manual_save", "chunks"),
+)
+
+
+@query("k7_save_policy", S.with_ctes([*S.chunks(S.ROUTED), *S.CHAT, *S.SESSIONS], (
+    "SELECT operation, name, CASE name WHEN 'metadata' THEN (SELECT count(*) FROM sessions) "
+    "WHEN 'chat' THEN (SELECT count(*) FROM chat) ELSE (SELECT count(*) FROM chunks) END AS n_rows "
+    "FROM (VALUES " + ", ".join(str(p) for p in _POLICY) + ") AS t(operation, name)"
+)))
+def k7_save_policy(spark, sf_dir):
+    """The tables each operation writes, with their rows."""
+    tables = {
+        "metadata": I.sessions(spark, sf_dir), "chat": I.chat(spark, sf_dir),
+        "chunks": I.routed_chunks(spark, sf_dir),
+    }
+    counts = None
+    for operation in ("document_add", "chat_message", "manual_save"):
+        root = fresh_path(spark, operation)
+        for name in writers.save(operation, tables, root):
+            one = writers.read_table(spark, root, name).agg(F.count(F.lit(1)).alias("n_rows"))
+            one = one.select(
+                F.lit(operation).alias("operation"), F.lit(name).alias("name"), "n_rows"
+            )
+            counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
 @query("k6_chunk_table", _CHUNKS_SQL)
 def k6_chunk_table(spark, sf_dir):
     """The columnar table, written and read back."""

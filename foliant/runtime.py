@@ -11,14 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests) a local folder is made.
+    Only where none is named (local sessions, tests) a local folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="foliant-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return (configured or f"{tempfile.gettempdir()}/foliant-shared").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
