@@ -8,11 +8,11 @@ match) segments anchored with ``\\G`` and the segment lengths are summed up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 _PAGE_BREAK = r"\n\s*---\s*Page\s+\d+\s*---\s*\n"
 _SECTION = r"(?:\A|(?<=[\n\r]))\s*\d+\.\s+[A-Z][^\n]{5,50}\s*(?=[\n\r]|\z)"
 
@@ -21,11 +21,6 @@ ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "vs.")
 INTENDED_ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "vs.", "etc.", "e.g.", "i.e.", "Prof.")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value, so that an expression used several times is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_total(lengths: Column) -> Column:
     """Inclusive prefix sums of an integer array.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value, so that an expression used several times is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _replace_in(text: Column, sign: str, pattern: str, replacement: str) -> Column:
+    """``regexp_replace`` of the texts that contain ``sign``.
+
+    Every match of the pattern holds the sign.  Looking for it is a search in
+    the bytes, many times cheaper than a regex over a text without a match.
+    """
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, replacement)
+    ).otherwise(t))
+
+
 def detect_file_type(path: Column | str) -> Column:
     """Type from the text after the last dot of the whole path."""
     path = _col(path)
@@ -45,8 +63,8 @@ def clean_text(text: Column | str, remove_extra_whitespace: bool = True) -> Colu
     """
     text = _col(text)
     if remove_extra_whitespace:
-        text = F.regexp_replace(text, "  +", " ")
-        text = F.regexp_replace(text, "\n\n\n+", "\n\n")
+        text = _replace_in(text, "  ", "  +", " ")
+        text = _replace_in(text, "\n\n\n", "\n\n\n+", "\n\n")
         text = F.replace(text, F.lit("\r"), F.lit(""))
     return F.btrim(text, F.lit(" \t\n"))
 
@@ -54,52 +72,76 @@ def clean_text(text: Column | str, remove_extra_whitespace: bool = True) -> Colu
 def clean_pdf_text(text: Column | str) -> Column:
     """Undo the artefacts of text extracted from page layouts."""
     text = _col(text)
-    for pattern, replacement in (
-        (rf"-{WS}*\n{WS}*", ""),                        # hyphenated line breaks
-        (r"  +", " "),                                  # layout spacing
-        (rf"\n{WS}*[0-9]+{WS}*\n", "\n\n"),             # bare page numbers
-        (rf"([.!?]){WS}*\n{WS}*([a-z])", "$1 $2"),      # sentences broken by columns
-        (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),      # control characters
-        (r"\n\n\n+", "\n\n"),
+    for sign, pattern, replacement in (
+        ("-", rf"-{WS}*\n{WS}*", ""),                          # hyphenated line breaks
+        ("  ", r"  +", " "),                                    # layout spacing
+        ("\n", rf"\n{WS}*[0-9]+{WS}*\n", "\n\n"),              # bare page numbers
+        ("\n", rf"([.!?]){WS}*\n{WS}*([a-z])", "$1 $2"),       # sentences broken by columns
+        ("", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),        # control characters
+        ("\n\n\n", r"\n\n\n+", "\n\n"),
     ):
-        text = F.regexp_replace(text, pattern, replacement)
+        text = _replace_in(text, sign, pattern, replacement)
     return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
-def _first_fragment(text: Column) -> Column:
-    """The leading word if it looks like the tail of a cut word, else ''."""
-    return F.regexp_extract(F.left(text, F.lit(4)), r"\A([a-z][^ ]{0,2}) ", 1)
+BLANKS = " \t\n\r"
+
+
+def _any(text: Column, test: Callable[[Column, Column], Column], signs: str) -> Column:
+    found = F.lit(False)
+    for sign in signs:
+        found = found | test(text, F.lit(sign))
+    return found
+
+
+# The rules of chunk cleaning.  Each asks for the first or last byte before it
+# touches the text, as most chunks need few of them.
+
+def trim_front(text: Column) -> Column:
+    return F.when(
+        _any(text, F.startswith, BLANKS), F.ltrim(text, F.lit(BLANKS))
+    ).otherwise(text)
+
+
+def trim_back(text: Column) -> Column:
+    return F.when(
+        _any(text, F.endswith, BLANKS), F.rtrim(text, F.lit(BLANKS))
+    ).otherwise(text)
 
 
 def drop_leading_punctuation(text: Column) -> Column:
     """One orphaned mark at the front, with the blanks behind it."""
     return F.when(
-        F.left(text, F.lit(1)).isin(".", ",", ";", ":", ")", "]"),
-        F.regexp_replace(text, r"\A.[ \t]*", ""),
+        _any(text, F.startswith, ".,;:)]"), F.regexp_replace(text, r"\A.[ \t]*", "")
     ).otherwise(text)
 
 
 def drop_trailing_bracket(text: Column) -> Column:
     """One orphaned opening bracket at the end, with the blanks before it."""
     return F.when(
-        F.right(text, F.lit(1)).isin("(", "[", "{"),
-        F.regexp_replace(text, r"[ \t]*.\z", ""),
+        _any(text, F.endswith, "([{"), F.regexp_replace(text, r"[ \t]*.\z", "")
     ).otherwise(text)
 
 
-def drop_fragment(text: Column) -> Column:
-    """A first word of at most three bytes that starts in lower case."""
-    word = _first_fragment(text)
-    return F.when(
-        (F.octet_length(text) > 3) & (word != "") & (F.octet_length(word) <= 3),
-        F.substr(text, F.length(word) + 2),
-    ).otherwise(text)
+def first_fragment(text: Column) -> Column:
+    """A first word of at most three bytes in lower case, taken for a cut word, else ''."""
+    word = F.regexp_extract(F.left(text, F.lit(4)), r"\A([a-z][^ ]{0,2}) ", 1)
+    return F.when((F.octet_length(text) > 3) & (F.octet_length(word) <= 3), word).otherwise(
+        F.lit("")
+    )
+
+
+def drop_fragment(text: Column, word: Column) -> Column:
+    """The text behind its first fragment and the blank after it."""
+    return F.when(word != "", F.substr(text, F.length(word) + 2)).otherwise(text)
 
 
 def clean_chunk(piece: Column | str) -> Column:
     """Trim a chunk and drop orphaned punctuation and word fragments (T4)."""
-    trimmed = F.btrim(_col(piece), F.lit(" \t\n\r"))
-    return drop_fragment(drop_trailing_bracket(drop_leading_punctuation(trimmed)))
+    text = _col(piece)
+    for rule in (trim_front, trim_back, drop_leading_punctuation, drop_trailing_bracket):
+        text = let(text, rule)
+    return let(text, lambda t: let(first_fragment(t), lambda w: drop_fragment(t, w)))
 
 
 def estimate_tokens(text: Column | str) -> Column:

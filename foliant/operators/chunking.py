@@ -14,35 +14,44 @@ from foliant.functions.spans import chunk_spans, drifting_positions
 from foliant.runtime import spread
 
 
-def _apply_rule(pieces: Column, rule, size=None) -> Column:
-    """Rewrite the text of each piece; with ``size`` the start moves by what was cut."""
-    pieces = F.transform(pieces, lambda p: F.struct(
-        p["start"].alias("start"), p["old"].alias("old"), rule(p["old"]).alias("new"),
-    ))
-    cut = (lambda p: size(p["old"]) - size(p["new"])) if size else (lambda p: F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(
-        (p["start"] + cut(p)).alias("start"), p["new"].alias("old"),
-    ))
-
-
 def clean_pieces(pieces: Column, unit: str = "chars") -> Column:
     """Chunk cleaning over a span array; offsets follow what is cut off (T4).
 
-    One transform per rule, so that no rule is evaluated twice.
+    One pass per rule, which first moves the offset by what the rule before
+    cut.  Blanks, marks and brackets are single bytes, so byte lengths, which
+    cost nothing, give the number of characters cut.
     """
     size = F.octet_length if unit == "bytes" else F.length
-    blanks = F.lit(" \t\n\r")
+
+    def state(start: Column, end: Column, old: Column, new: Column) -> Column:
+        return F.struct(
+            start.alias("start"), end.alias("end"), old.alias("old"), new.alias("new")
+        )
+
+    def cut(p: Column) -> Column:
+        return F.octet_length(p["old"]) - F.octet_length(p["new"])
+
+    def after_front(rule):
+        return lambda p: state(p["start"] + cut(p), p["end"], p["new"], rule(p["new"]))
+
+    def after_back(rule):
+        return lambda p: state(p["start"], p["end"] - cut(p), p["new"], rule(p["new"]))
+
+    pieces = F.transform(pieces, lambda p: state(
+        p["start"], p["end"], p["content"], tx.trim_front(p["content"])
+    ))
+    pieces = F.transform(pieces, after_front(tx.trim_back))
+    pieces = F.transform(pieces, after_back(tx.drop_leading_punctuation))
+    pieces = F.transform(pieces, after_front(tx.drop_trailing_bracket))
     pieces = F.transform(pieces, lambda p: F.struct(
-        (p["start"] + size(p["content"]) - size(F.ltrim(p["content"], blanks))).alias("start"),
-        F.btrim(p["content"], blanks).alias("old"),
+        p["start"].alias("start"), (p["end"] - cut(p)).alias("end"), p["new"].alias("text"),
+        tx.first_fragment(p["new"]).alias("word"),
     ))
-    pieces = _apply_rule(pieces, tx.drop_leading_punctuation, size)
-    pieces = _apply_rule(pieces, tx.drop_trailing_bracket)
-    pieces = _apply_rule(pieces, tx.drop_fragment, size)
     return F.transform(pieces, lambda p: F.struct(
-        p["start"].cast("bigint").alias("start"),
-        (p["start"] + size(p["old"])).cast("bigint").alias("end"),
-        p["old"].alias("content"),
+        (p["start"] + F.when(p["word"] != "", size(p["word"]) + 1).otherwise(F.lit(0))).alias(
+            "start"),
+        p["end"].alias("end"),
+        tx.drop_fragment(p["text"], p["word"]).alias("content"),
     ))
 
 

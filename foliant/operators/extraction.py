@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliant.config import SUPPORTED_TYPES, ChunkingConfig
 from foliant.functions import text as tx
-from foliant.functions.structure import let
 from foliant.operators.chunking import chunk_documents
 from foliant.runtime import spread
 
@@ -122,7 +121,7 @@ def typed_documents(
 
 def _cleaned(config: ChunkingConfig) -> Column:
     """Cleaned content; NULL for extracted text that is too short (S3, F2)."""
-    cleaned = let(clean_by_type(F.col("file_type"), F.col("content")), lambda c: F.when(
+    cleaned = tx.let(clean_by_type(F.col("file_type"), F.col("content")), lambda c: F.when(
         tx.long_enough(F.col("file_type"), c, config.min_extracted_bytes), c
     ))
     return F.when(F.col("extraction_failed"), F.col("content")).otherwise(cleaned)
