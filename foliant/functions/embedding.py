@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,17 +43,21 @@ class HashedWords:
         bucket = self.known.get(word)
         if bucket is None:
             bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-            if len(self.known) < 1 << 17:
+            if len(self.known) < 1 << 19:
                 self.known[word] = bucket
         return bucket
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for row, text in enumerate(texts):
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            slots = [self._bucket(w) for w in words if w]
-            if slots:
-                out[row] = np.bincount(slots, minlength=self.dim)
+        flat = pc.replace_substring(pc.replace_substring(pa.array(texts), "\n", " "), "\t", " ")
+        split = pc.split_pattern(flat, " ")
+        rows = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        words = split.flatten().dictionary_encode()
+        # One hash per distinct word of the batch; -1 marks the empty word.
+        distinct = [self._bucket(w) if w else -1 for w in words.dictionary.to_pylist()]
+        buckets = np.array(distinct, dtype=np.int64)[words.indices.to_numpy()]
+        cells = (rows * self.dim + buckets)[buckets >= 0]
+        counts = np.bincount(cells, minlength=len(texts) * self.dim).astype(np.float64)
+        out = counts.reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 
