@@ -13,6 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strings(column: pa.Array) -> list:
+    """Values of a string column; several times faster than ``to_pylist``."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Embedder(Protocol):
     """A model: ``open`` loads it once per Python worker, ``encode`` embeds a batch.
 
@@ -42,7 +49,8 @@ class HashedWords:
     def _bucket(self, word: str) -> int:
         bucket = self.known.get(word)
         if bucket is None:
-            bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+            digest = hashlib.md5(word.encode()).digest()
+            bucket = int.from_bytes(digest[:4], "big") % self.dim
             if len(self.known) < 1 << 19:
                 self.known[word] = bucket
         return bucket
@@ -53,7 +61,7 @@ class HashedWords:
         rows = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         words = split.flatten().dictionary_encode()
         # One hash per distinct word of the batch; -1 marks the empty word.
-        distinct = [self._bucket(w) if w else -1 for w in words.dictionary.to_pylist()]
+        distinct = [self._bucket(w) if w else -1 for w in strings(words.dictionary)]
         buckets = np.array(distinct, dtype=np.int64)[words.indices.to_numpy()]
         cells = (rows * self.dim + buckets)[buckets >= 0]
         counts = np.bincount(cells, minlength=len(texts) * self.dim).astype(np.float64)
@@ -81,7 +89,7 @@ def embed(text: Column | str, embedder: Embedder, truncate_dim: int | None = Non
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.open()
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
+            texts = [t or "" for t in strings(batch)]
             step = batch_size or max(len(texts), 1)
             parts = [embedder.encode(texts[i:i + step]) for i in range(0, len(texts), step)]
             if not parts:

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.config import ChunkingConfig
+from foliant.functions.embedding import strings
 
 SPANS_TYPE = "array<struct<start:bigint,end:bigint,content:string>>"
 _ARROW_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("content", pa.string())])
@@ -88,7 +89,7 @@ def _span_array(texts: pa.Array, config: ChunkingConfig) -> pa.Array:
     as_bytes = config.unit == "bytes"
     separators = [s.encode() if as_bytes else s for s in config.separators]
     offsets, starts, ends, contents = [0], [], [], []
-    for text in texts.to_pylist():
+    for text in strings(texts):
         if text is not None:
             if as_bytes:
                 text = text.encode()
@@ -129,7 +130,7 @@ def drifting_positions(text: Column, pieces: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def positions(texts: pa.Array, piece_lists: pa.Array) -> pa.Array:
         out = []
-        for whole, found in zip(texts.to_pylist(), piece_lists.to_pylist()):
+        for whole, found in zip(strings(texts), piece_lists.to_pylist()):
             if whole is None or found is None:
                 out.append(None)
                 continue

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.config import RetrievalConfig
+from foliant.functions.embedding import strings
 from foliant.functions.vectors import is_embedded
 
 DIGITS = 6
@@ -37,6 +38,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _ids(column: pa.Array) -> list:
+    return strings(column) if pa.types.is_string(column.type) else column.to_pylist()
+
+
 def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     product = queries @ vectors.T
     if metric == "inner_product":
@@ -225,7 +230,7 @@ def _broadcast_matches(stored, collected, dim, celled, result, settings) -> Data
         ids, matrix, probed = shipped.value
         parts = (
             (
-                b.column("id").to_pylist(),
+                _ids(b.column("id")),
                 _matrix(b.column("vector"), dim),
                 b.column("cell").to_numpy() if celled else None,
             )
@@ -275,7 +280,7 @@ def _grid_matches(stored, asked, dim, room, celled, result, settings) -> DataFra
     schema = _arrow_schema(result)
 
     def search(chunks: pa.Table, queries: pa.Table) -> pa.Table:
-        part = [(chunks["id"].to_pylist(), _matrix(chunks["vector"], dim), None)]
+        part = [(_ids(chunks["id"]), _matrix(chunks["vector"], dim), None)]
         found = _search(
             part if chunks.num_rows else [], queries["query_id"].to_pylist(),
             _matrix(queries["vector"], dim), None, *settings,

@@ -38,7 +38,7 @@ def test_t9_intended_abbreviations(spark):
     assert fixed == [[len("etc. And Prof. X said i.e. this.")]]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="aA.!? \n\tDrMs1-", max_size=120), min_size=20, max_size=40))
 def test_t9_t10_random_texts(spark, texts):
     assert run(spark, texts, structure.sentence_boundaries) == [boundaries(t) for t in texts]
@@ -54,7 +54,7 @@ PARTS = ["\n\n--- Page 1 ---\n\n", "\n---Page 2---\n", "1. Heading here\n", "\n2
          "text ", "\n", " ", "\r", "3. Abcdefg", "--- Page x ---", "\t12. Zzzzzz zz\n\n"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=20, max_size=40))
 def test_t11_t12_random_texts(spark, texts):
     assert run(spark, texts, structure.page_breaks) == [
