@@ -186,7 +186,7 @@ def located_chunks(
     documents: DataFrame, config: ChunkingConfig = ChunkingConfig(), *, text: str = "content"
 ) -> DataFrame:
     """Chunks with the section and page they start in and their locator."""
-    marked = documents.select(
+    marked = spread(documents.select("source_file", text), "source_file").select(
         "source_file", text,
         st.sections(F.col(text)).alias("_sections"), st.page_breaks(F.col(text)).alias("_breaks"),
     )

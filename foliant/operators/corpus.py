@@ -93,6 +93,21 @@ def embedding_coverage(chunks: DataFrame) -> DataFrame:
     return counted.withColumn("complete", F.col("n_embedded") == F.col("n_chunks"))
 
 
+def incomplete_documents(chunks: DataFrame) -> DataFrame:
+    """Paths with at least one chunk that got no embedding (V9)."""
+    missing = chunks.filter(~is_embedded(F.col("embedding")))
+    return missing.select("source_file").distinct()
+
+
+def fully_embedded(chunks: DataFrame) -> DataFrame:
+    """Chunks of the documents that are embedded throughout (V9).
+
+    For models that answer NULL instead of failing: one missing embedding
+    rejects its whole document.
+    """
+    return chunks.join(incomplete_documents(chunks), "source_file", "left_anti")
+
+
 def embedding_batches(chunks: DataFrame, batch_size: int = 16) -> DataFrame:
     """Chunks of each document in request batches (A5).
 

@@ -60,6 +60,17 @@ def j1_attach_embeddings(spark, sf_dir):
     )
 
 
+@query("v9_reject_incomplete", S.with_ctes([*S.chunks(), _CHUNK_VECTORS], (
+    "SELECT id, source_file FROM chunks WHERE source_file NOT IN (SELECT source_file FROM chunks "
+    "WHERE id NOT IN (SELECT id FROM vectors))"
+)))
+def v9_reject_incomplete(spark, sf_dir):
+    embedded = corpus.attach_embeddings(
+        I.plain_chunks(spark, sf_dir), _chunk_vectors(spark, sf_dir), "vec_id"
+    )
+    return corpus.fully_embedded(embedded).select("id", "source_file")
+
+
 _EXISTING = (
     f"existing AS (SELECT DISTINCT source_file FROM ({S.documents()}) d "
     "JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1)"
