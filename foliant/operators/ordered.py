@@ -3,7 +3,8 @@
 A window over ``partitionBy(group)`` puts a whole group into one task.  Here
 a group is cut into ranges of its order column first: windows then run per
 (group, range), and a second, small window over one row per (group, range)
-carries counts or boundary rows across.  Results equal the plain window.
+carries counts or boundary rows across.  Results equal the plain window,
+which is used as it is where the whole table is no larger than one range.
 """
 
 from __future__ import annotations
@@ -13,23 +14,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
+MAX_RANGES = 32_768
 
 
-def _with_range(df: DataFrame, order: str, rows_per_range: int) -> DataFrame:
+def _with_range(df: DataFrame, order: str, rows_per_range: int) -> DataFrame | None:
     """Add ``_range``, rising with the order column, from its quantiles.
 
-    The cut points are literals, so every use of the column and every
-    recomputation of a lost task agrees on them.
+    None if one range is enough.  The cut points are literals, so every use
+    of the column and every recomputation of a lost task agrees on them.
     """
     ranges = min(-(-df.count() // rows_per_range), MAX_RANGES)
     if ranges <= 1:
-        return df.withColumn("_range", F.lit(0))
+        return None
     numeric = df.select(F.col(order).cast("double").alias("_order"))
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(numeric.approxQuantile("_order", steps, 0.25 / ranges)))
     if not cuts:
-        return df.withColumn("_range", F.lit(0))
+        return None
     bucketizer = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_cut"
     )
@@ -43,6 +44,9 @@ def with_position(
 ) -> DataFrame:
     """0-based position of each row in its group by a unique numeric order column."""
     ranged = _with_range(df, order, rows_per_range)
+    if ranged is None:
+        number = F.row_number().over(Window.partitionBy(group).orderBy(order))
+        return df.withColumn(name, (number - 1).cast("bigint"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -67,17 +71,28 @@ def with_next(
     ``values`` maps new column names to expressions over the next row; they
     are NULL at the end of a group.
     """
-    ranged = _with_range(df, order, rows_per_range).withColumn(
-        "_row", F.struct(*[expression.alias(name) for name, expression in values.items()])
-    )
+    row = F.struct(*[expression.alias(name) for name, expression in values.items()])
+    ranged = _with_range(df, order, rows_per_range)
+    if ranged is None:
+        window = Window.partitionBy(group).orderBy(order)
+        after = df.withColumn("_next", F.lead(row).over(window))
+        return after.withColumns({name: F.col("_next")[name] for name in values}).drop("_next")
+    ranged = ranged.withColumn("_row", row)
     inside = Window.partitionBy(group, "_range").orderBy(order)
     across = Window.partitionBy(group).orderBy("_range")
-    heads = (
-        ranged.groupBy(group, "_range").agg(F.min_by("_row", order).alias("_head"))
-        .withColumn("_following", F.lead("_head").over(across))
-        .select(group, "_range", "_following")
+    # Only ranges with a later range in their group need a row from there, and
+    # most groups lie in one range.
+    carried = (
+        ranged.groupBy(group, "_range").agg(F.min(order).alias("_first"))
+        .withColumn("_at", F.lead("_first").over(across)).filter(F.col("_at").isNotNull())
+        .select(group, "_range", "_at")
+    )
+    heads = ranged.select(
+        group, F.col(order).alias("_at"), F.col("_row").alias("_following")
+    ).join(carried, [group, "_at"]).drop("_at")
+    joined = ranged.withColumn("_next", F.lead("_row").over(inside)).join(
+        heads, [group, "_range"], "left"
     )
-    joined = ranged.withColumn("_next", F.lead("_row").over(inside)).join(heads, [group, "_range"])
     chosen = F.coalesce("_next", "_following")
     return joined.withColumns({name: chosen[name] for name in values}).drop(
         "_range", "_row", "_next", "_following"
