@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe_queries, token_queries  # noqa: F401  (importing registers queries)
+from foliant.llm import bpe_queries, dedup_queries, token_queries  # noqa: F401  (importing registers queries)
 from foliant.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
