@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe_queries, dedup_queries, token_queries  # noqa: F401  (importing registers queries)
+from foliant.llm import (  # noqa: F401  (importing a module registers its queries)
+    bpe_queries,
+    dedup_queries,
+    shard_queries,
+    token_queries,
+)
 from foliant.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
