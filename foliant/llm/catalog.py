@@ -7,6 +7,7 @@ from foliant.llm import (  # noqa: F401  (importing a module registers its queri
     dedup_queries,
     shard_queries,
     token_queries,
+    warc_queries,
 )
 from foliant.llm.registry import ORACLES, QUERIES
 
