@@ -60,13 +60,28 @@ class Stretches(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         coder = self.coder
-        ids = coder.pack(
-            [i for piece in coder.pattern.findall(stretch) for i in coder.piece(piece.encode())]
-        )
+        letters = stretch[1:] if stretch[0] == " " else stretch
+        if coder.word_wise and letters.isalpha():
+            pieces = [stretch]
+        else:
+            pieces = coder.pattern.findall(stretch)
+        if len(pieces) == 1:
+            ids = coder.pack(coder.piece(stretch.encode()))
+        else:
+            ids = b"".join([self.of_piece(piece) for piece in pieces])
         if len(stretch) <= KEPT_LENGTH:
             self[stretch] = ids
         return ids
 
+    def of_piece(self, piece: str) -> bytes:
+        """Ids of a piece, which may be a stretch elsewhere."""
+        ids = self.get(piece)
+        if ids is None:
+            ids = self.coder.pack(self.coder.piece(piece.encode()))
+            if len(piece) <= KEPT_LENGTH:
+                self[piece] = ids
+        return ids
+
 
 class Coder:
     """Encoder and decoder for one rank table and one splitting pattern."""
@@ -81,6 +96,7 @@ class Coder:
         self.never = max(ranks.values(), default=0) + 1
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.word_wise = stretches is not None
         self.splitter = re.compile(stretches) if stretches else self.pattern
         self.split: dict[int, tuple[int, int] | None] = {}
         self.usable = {  # tokens that merging can produce at all
@@ -224,7 +240,8 @@ def coding(spark: SparkSession, ranks_path: str, pattern: str, stretches: str |
     usual vocabularies) travels to the workers as a broadcast, and each worker
     builds its automaton once.  ``stretches`` may name a coarser standard-library
     pattern, such as ``WORD_WISE``, each match of which ``pattern`` splits as it
-    does within the text; ids are then kept by such stretches.  A null text is empty and gives no ids; null ids
+    does within the text (letters after an optional blank not at all); ids are
+    then kept by such stretches.  A null text is empty and gives no ids; null ids
     give no bytes.  Work is row by row: no row is ever split, sampled or cut.
     """
     with open(ranks_path, "rb") as file:

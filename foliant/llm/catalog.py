@@ -5,6 +5,7 @@ from __future__ import annotations
 from foliant.llm import (  # noqa: F401  (importing a module registers its queries)
     bpe_queries,
     dedup_queries,
+    leak_queries,
     near_queries,
     shard_queries,
     token_queries,
