@@ -9,6 +9,7 @@ from foliant.llm import (  # noqa: F401  (importing a module registers its queri
     near_queries,
     shard_queries,
     token_queries,
+    toxicity_queries,
     warc_queries,
 )
 from foliant.llm.registry import ORACLES, QUERIES
