@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliant.llm import (  # noqa: F401  (importing a module registers its queries)
     bpe_queries,
+    class_queries,
     dedup_queries,
     leak_queries,
     near_queries,

@@ -40,11 +40,11 @@ class FitRule:
 
     rows_per_label: int = 3000
     longest_text: int = 20_000
-    dimensions: int = 1 << 18
+    dimensions: int = 1 << 16
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7)
-    epochs: int = 70
+    epochs: int = 90
     rate: float = 0.1
-    decay: float = 1e-5
+    decay: float = 1e-4
     first_bias: float = -6.0
 
 

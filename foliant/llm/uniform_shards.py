@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.shared import stored
 
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 50_000
 #: Populations up to which numpy draws hypergeometric numbers.
 DIRECT = 1_000_000_000
 PLACE_BITS = 33  # of monotonically_increasing_id
