@@ -11,6 +11,7 @@ from foliant.llm import (  # noqa: F401  (importing a module registers its queri
     shard_queries,
     token_queries,
     toxicity_queries,
+    url_queries,
     warc_queries,
 )
 from foliant.llm.registry import ORACLES, QUERIES
