@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import once_per_worker
 
 #: Words whose ids a worker keeps, and the bytes up to which it keeps them.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 48
+KEPT_WORDS, KEPT_LENGTH = 800_000, 48
 #: Words in one call of the tokenizer, and characters of text taken at a time.
 WORDS_PER_CALL, CHARACTERS_AT_ONCE = 200, 1 << 20
 #: Signs that always begin a new stretch after a letter.
@@ -115,14 +115,14 @@ class WordIds:
         for word, core, after in parts:
             ids = learnt.get(core) or self.kept[core]
             found[word] = ids + signs[after] if after else ids
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
         for some in (found, learnt):
             self.kept.update((w, ids) for w, ids in some.items() if len(w) <= KEPT_LENGTH)
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of texts."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
         split = [text.lower().split() for text in texts]
         known = self.kept
         new = {word for some in split for word in some} - known.keys()

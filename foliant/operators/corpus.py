@@ -10,37 +10,58 @@ from foliant.functions import text as tx
 from foliant.functions.vectors import is_embedded
 from foliant.operators.ordered import ROWS_PER_RANGE, with_next, with_position
 
+#: A document is known by its session and path; two sessions may hold one path.
+DOCUMENT = ("session", "source_file")
+
+
 
 # -- documents ---------------------------------------------------------------
 
-def first_by_path(incoming: DataFrame, order: str) -> DataFrame:
-    """One row per path, the first by ``order``.
+def first_by_path(
+    incoming: DataFrame, order: str | None = None, keys: tuple[str, ...] = DOCUMENT
+) -> DataFrame:
+    """One row per document, the first by ``order``.
 
-    Only the two narrow columns are aggregated; the contents are filtered by
-    a semi join afterwards.
+    Rows with equal orders, or all where none is given, go by a hash of their
+    columns, so one row is kept in any case.  Each task keeps one row per
+    document before the shuffle.
     """
-    firsts = incoming.groupBy("source_file").agg(F.min(order).alias(order))
-    return incoming.join(firsts, ["source_file", order], "left_semi")
+    columns = incoming.columns
+    rank = F.struct(*([F.col(order)] if order else []), F.xxhash64(*columns))
+    return incoming.groupBy(*keys).agg(
+        F.min_by(F.struct(*columns), rank).alias("_first")
+    ).select("_first.*")
 
 
-def new_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Documents whose path is not in the corpus yet.
+def new_documents(
+    incoming: DataFrame, existing: DataFrame, keys: tuple[str, ...] = DOCUMENT
+) -> DataFrame:
+    """Documents that are not in the corpus yet, by session and path.
 
-    The stored paths are cut down to those of the incoming documents first.
-    A batch of paths is small and can be broadcast, so the large stored side
+    The stored keys are cut down to those of the incoming documents first.
+    A batch of keys is small and can be broadcast, so the large stored side
     is only scanned, and the contents meet a list no longer than the batch.
     """
-    known = existing.select("source_file").join(
-        incoming.select("source_file"), "source_file", "left_semi"
-    )
-    return incoming.join(known, "source_file", "left_anti")
+    asked = incoming.select(*keys)
+    stored = existing.select(*(F.col(key).alias(f"_{key}") for key in keys))
+    known = stored.join(asked, _pairs(stored, asked, keys), "left_semi")
+    return incoming.join(known, _pairs(known, incoming, keys), "left_anti")
 
 
-def changed_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+def _pairs(marked: DataFrame, plain: DataFrame, keys: tuple[str, ...]) -> Column:
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & marked[f"_{key}"].eqNullSafe(plain[key])
+    return condition
+
+
+def changed_documents(
+    incoming: DataFrame, existing: DataFrame, keys: tuple[str, ...] = DOCUMENT
+) -> DataFrame:
     """Documents that are new or have another modification time."""
-    return incoming.join(
-        existing.select("source_file", "modified"), ["source_file", "modified"], "left_anti"
-    )
+    keys = (*keys, "modified")
+    stored = existing.select(*(F.col(key).alias(f"_{key}") for key in keys))
+    return incoming.join(stored, _pairs(stored, incoming, keys), "left_anti")
 
 
 def distinct_documents(chunks: DataFrame) -> DataFrame:
@@ -94,18 +115,20 @@ def embedding_coverage(chunks: DataFrame) -> DataFrame:
 
 
 def incomplete_documents(chunks: DataFrame) -> DataFrame:
-    """Paths with at least one chunk that got no embedding (V9)."""
+    """Documents with at least one chunk that got no embedding (V9)."""
     missing = chunks.filter(~is_embedded(F.col("embedding")))
-    return missing.select("source_file").distinct()
+    return missing.select(*DOCUMENT).distinct()
 
 
 def fully_embedded(chunks: DataFrame) -> DataFrame:
     """Chunks of the documents that are embedded throughout (V9).
 
     For models that answer NULL instead of failing: one missing embedding
-    rejects its whole document.
+    rejects its whole document.  One pass; a window holds one document.
     """
-    return chunks.join(incomplete_documents(chunks), "source_file", "left_anti")
+    document = Window.partitionBy(*DOCUMENT)
+    missing = F.max(~is_embedded(F.col("embedding"))).over(document)
+    return chunks.withColumn("_missing", missing).filter(~F.col("_missing")).drop("_missing")
 
 
 def embedding_batches(chunks: DataFrame, batch_size: int = 16) -> DataFrame:
@@ -114,7 +137,7 @@ def embedding_batches(chunks: DataFrame, batch_size: int = 16) -> DataFrame:
     The chunk index already numbers them, so no window is needed.
     """
     return chunks.groupBy(
-        "source_file", F.floor(F.col("chunk_index") / batch_size).alias("batch")
+        *DOCUMENT, F.floor(F.col("chunk_index") / batch_size).alias("batch")
     ).agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.sum("token_count").alias("n_tokens"),

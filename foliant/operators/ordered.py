@@ -1,99 +1,111 @@
 """Positions and neighbours inside groups that may be very large.
 
-A window over ``partitionBy(group)`` puts a whole group into one task.  Here
-a group is cut into ranges of its order column first: windows then run per
-(group, range), and a second, small window over one row per (group, range)
-carries counts or boundary rows across.  Results equal the plain window,
-which is used as it is where the whole table is no larger than one range.
+A window over ``partitionBy(group)`` puts a whole group into one task.  That is
+what happens here to groups of up to ``rows_per_range`` rows.  Larger groups are
+dealt into ranges of their order column: windows then run per (group, range),
+and a second, small window over one row per (group, range) carries counts or
+boundary rows across.  Both ways give the same rows: NULL is a group and an
+order like any other, and rows with equal orders follow each other by a hash of
+their columns.
+
+Finding the large groups takes one count over the group column alone; where
+there is none, nothing else is run or added to the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.runtime import fresh_path
+
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 32_768
 
 
-def _with_range(df: DataFrame, order: str, rows_per_range: int) -> DataFrame | None:
-    """Add ``_range``, rising with the order column, from its quantiles.
+def _order(df: DataFrame, order: str) -> list[Column]:
+    """The order column, then a tie-breaker; rows equal in both are alike."""
+    comparable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.col(order), F.xxhash64(*comparable)]
+
+
+def _same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
+    condition = F.lit(True)
+    for column in columns:
+        condition = condition & left[column].eqNullSafe(right[column])
+    return condition
+
 
-    None if one range is enough.  The cut points are literals, so every use
-    of the column and every recomputation of a lost task agrees on them.
+def _split(df: DataFrame, group: str, order: str, rows_per_range: int):
+    """Rows of ordinary groups, and those of large groups with their ``_range``, or None.
+
+    Ranges are those of a range exchange, so equal orders share one; they are
+    written, since bounds are sampled anew by each evaluation.
     """
-    ranges = min(-(-df.count() // rows_per_range), MAX_RANGES)
-    if ranges <= 1:
-        return None
-    numeric = df.select(F.col(order).cast("double").alias("_order"))
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(numeric.approxQuantile("_order", steps, 0.25 / ranges)))
-    if not cuts:
-        return None
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_cut"
-    )
-    marked = bucketizer.transform(df.withColumn("_order", F.col(order).cast("double")))
-    return marked.withColumn("_range", F.col("_cut").cast("int")).drop("_order", "_cut")
+    large = df.groupBy(group).count().filter(F.col("count") > rows_per_range)
+    rows = large.agg(F.sum("count")).first()[0]
+    if not rows:
+        return df, None
+    spark = df.sparkSession
+    large = large.select(F.col(group).alias("_group"))
+    inside = F.col(group).eqNullSafe(F.col("_group"))
+    path = fresh_path(spark, "ranges")
+    ranged = df.join(large, inside, "left_semi").repartitionByRange(
+        -(-rows // rows_per_range) + 1, group, order
+    ).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return df.join(large, inside, "left_anti"), spark.read.schema(ranged.schema).parquet(path)
 
 
 def with_position(
     df: DataFrame, group: str, order: str, *, name: str = "position",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """0-based position of each row in its group by a unique numeric order column."""
-    ranged = _with_range(df, order, rows_per_range)
+    """0-based position of each row in its group by an order column."""
+    small, ranged = _split(df, group, order, rows_per_range)
+    number = F.row_number().over(Window.partitionBy(group).orderBy(*_order(df, order)))
+    numbered = small.withColumn(name, (number - 1).cast("bigint"))
     if ranged is None:
-        number = F.row_number().over(Window.partitionBy(group).orderBy(order))
-        return df.withColumn(name, (number - 1).cast("bigint"))
+        return numbered
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = ranged.groupBy(group, "_range").count().select(
         group, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(group, "_range").orderBy(order)
-    numbered = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, [group, "_range"])
-        .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_range", "_offset", "_inside")
+    inside = Window.partitionBy(group, "_range").orderBy(*_order(df, order))
+    local = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
+    joined = local.join(offsets, _same(local, offsets, group, "_range")).select(
+        *(local[c] for c in df.columns),
+        (F.col("_offset") + F.col("_inside")).cast("bigint").alias(name),
     )
+    return numbered.unionByName(joined)
 
 
 def with_next(
     df: DataFrame, group: str, order: str, values: dict[str, Column], *,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Add values of the next row of the group by a unique numeric order column.
+    """Add values of the next row of the group by an order column.
 
     ``values`` maps new column names to expressions over the next row; they
     are NULL at the end of a group.
     """
     row = F.struct(*[expression.alias(name) for name, expression in values.items()])
-    ranged = _with_range(df, order, rows_per_range)
+    small, ranged = _split(df, group, order, rows_per_range)
+    following = F.lead(row).over(Window.partitionBy(group).orderBy(*_order(df, order)))
+    after = small.withColumn("_next", following).withColumns(
+        {name: F.col("_next")[name] for name in values}
+    ).drop("_next")
     if ranged is None:
-        window = Window.partitionBy(group).orderBy(order)
-        after = df.withColumn("_next", F.lead(row).over(window))
-        return after.withColumns({name: F.col("_next")[name] for name in values}).drop("_next")
-    ranged = ranged.withColumn("_row", row)
-    inside = Window.partitionBy(group, "_range").orderBy(order)
+        return after
+    inside = Window.partitionBy(group, "_range").orderBy(*_order(df, order))
     across = Window.partitionBy(group).orderBy("_range")
-    # Only ranges with a later range in their group need a row from there, and
-    # most groups lie in one range.
-    carried = (
-        ranged.groupBy(group, "_range").agg(F.min(order).alias("_first"))
-        .withColumn("_at", F.lead("_first").over(across)).filter(F.col("_at").isNotNull())
-        .select(group, "_range", "_at")
-    )
-    heads = ranged.select(
-        group, F.col(order).alias("_at"), F.col("_row").alias("_following")
-    ).join(carried, [group, "_at"]).drop("_at")
-    joined = ranged.withColumn("_next", F.lead("_row").over(inside)).join(
-        heads, [group, "_range"], "left"
-    )
-    chosen = F.coalesce("_next", "_following")
-    return joined.withColumns({name: chosen[name] for name in values}).drop(
-        "_range", "_row", "_next", "_following"
+    heads = ranged.groupBy(group, "_range").agg(
+        F.min_by(F.struct(row.alias("row")), F.struct(*_order(df, order))).alias("_head")
+    ).select(group, "_range", F.lead("_head").over(across)["row"].alias("_following"))
+    local = ranged.withColumn("_next", F.lead(row).over(inside))
+    joined = local.join(heads, _same(local, heads, group, "_range")).select(
+        *(local[c] for c in df.columns),
+        *(F.coalesce("_next", "_following")[name].alias(name) for name in values),
     )
+    return after.unionByName(joined)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.functions.vectors import is_embedded
 from foliant.operators import corpus
+from foliant.operators.extraction import text_chunks
 from foliant.plans import inputs as I
 from foliant.plans import sql as S
-from foliant.plans.registry import query
+from foliant.plans.registry import ORACLES, query
 
 _EVENT_SESSIONS = (
     "SELECT concat('user_', user_id) AS name, min(ts) AS created_at, max(ts) AS last_modified, "
@@ -28,17 +29,22 @@ def _event_sessions(spark, sf_dir):
 
 _CHUNK_VECTORS = (
     "vectors AS (SELECT concat('chunk_', md5(source_file), '_0') AS id, vec_id, embedding "
-    f"FROM embeddings e JOIN ({S.documents()}) d ON d.doc_id = e.vec_id % 300)"
+    f"FROM ({S.documents()}) d JOIN embeddings e "
+    "ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) "
+    "OR e.vec_id = (d.doc_id + 7) % (SELECT count(*) FROM embeddings) AND d.doc_id % 3 = 0)"
 )
 
 
 def _chunk_vectors(spark, sf_dir):
-    """Vectors for the first chunks of the low-numbered documents, with duplicates."""
-    vectors = I.table(spark, sf_dir, "embeddings").withColumn("doc_id", F.col("vec_id") % 300)
-    paths = I.documents(spark, sf_dir).select("doc_id", "source_file")
-    return vectors.join(paths, "doc_id").select(
-        tx.chunk_id("source_file", F.lit(0)).alias("id"), "vec_id", "embedding"
-    )
+    """A vector for the first chunk of every document, and two for every third."""
+    vectors = I.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    own = F.col("doc_id") % n
+    numbers = F.when(F.col("doc_id") % 3 == 0, F.array_distinct(
+        F.array(own, (F.col("doc_id") + 7) % n))).otherwise(F.array(own))
+    wanted = I.documents(spark, sf_dir).select(
+        tx.chunk_id("source_file", F.lit(0)).alias("id"), F.explode(numbers).alias("vec_id"))
+    return wanted.join(vectors, "vec_id").select("id", "vec_id", "embedding")
 
 
 @query("j1_attach_embeddings", S.with_ctes([
@@ -72,7 +78,7 @@ def v9_reject_incomplete(spark, sf_dir):
 
 
 _EXISTING = (
-    f"existing AS (SELECT DISTINCT source_file FROM ({S.documents()}) d "
+    f"existing AS (SELECT DISTINCT session, source_file FROM ({S.documents()}) d "
     "JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1)"
 )
 
@@ -80,16 +86,26 @@ _EXISTING = (
 def _existing(spark, sf_dir):
     """Paths already in the corpus: those of documents labelled as good."""
     good = I.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return I.documents(spark, sf_dir).join(good, "doc_id", "left_semi").select("source_file")
+    return I.documents(spark, sf_dir).join(good, "doc_id", "left_semi").select(
+        "session", "source_file")
+
 
+_INCOMING = (
+    f"docs AS (SELECT * FROM ({S.documents()}) UNION ALL SELECT * REPLACE ('copy' AS session) "
+    f"FROM ({S.documents()}) WHERE doc_id % 5 = 0)"
+)
 
-@query("j2_new_documents", S.with_ctes([f"docs AS ({S.documents()})", _EXISTING], (
-    "SELECT doc_id, source_file FROM docs d WHERE NOT EXISTS "
-    "(SELECT 1 FROM existing e WHERE e.source_file = d.source_file)"
+
+@query("j2_new_documents", S.with_ctes([_INCOMING, _EXISTING], (
+    "SELECT doc_id, session, source_file FROM docs d WHERE NOT EXISTS "
+    "(SELECT 1 FROM existing e WHERE e.source_file = d.source_file AND e.session = d.session)"
 )))
 def j2_new_documents(spark, sf_dir):
-    fresh = corpus.new_documents(I.documents(spark, sf_dir), _existing(spark, sf_dir))
-    return fresh.select("doc_id", "source_file")
+    """Every fifth path comes in a second session too, where it is new."""
+    docs = I.documents(spark, sf_dir)
+    again = docs.filter("doc_id % 5 = 0").withColumn("session", F.lit("copy"))
+    fresh = corpus.new_documents(docs.unionByName(again), _existing(spark, sf_dir))
+    return fresh.select("doc_id", "session", "source_file")
 
 
 @query("j6_answer_sources", S.with_ctes([*S.chunks(), *S.CHAT], (
@@ -195,9 +211,9 @@ def a4_document_list(spark, sf_dir):
 
 
 @query("a5_embedding_batches", S.with_ctes(S.chunks(), (
-    "SELECT source_file, (chunk_index // 16)::BIGINT AS batch, count(*) AS n_texts, "
+    "SELECT session, source_file, (chunk_index // 16)::BIGINT AS batch, count(*) AS n_texts, "
     "sum(token_count)::BIGINT AS n_tokens, string_agg(id, ',' ORDER BY chunk_index) AS ids "
-    "FROM chunks GROUP BY 1, 2"
+    "FROM chunks GROUP BY 1, 2, 3"
 )))
 def a5_embedding_batches(spark, sf_dir):
     return corpus.embedding_batches(I.plain_chunks(spark, sf_dir))
@@ -211,14 +227,16 @@ def a6_distinct_documents(spark, sf_dir):
 
 
 @query("a6_first_by_path", (
-    "SELECT concat('text/', md5(text)) AS source_file, min(doc_id) AS doc_id FROM documents "
-    "GROUP BY md5(text)"
+    "SELECT source AS session, concat('text/', md5(text)) AS source_file, min(doc_id // 2) AS place "
+    "FROM documents GROUP BY source, md5(text)"
 ))
 def a6_first_by_path(spark, sf_dir):
+    """Rows with the same text share a path; two of a session may have the same place."""
     by_text = I.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("text/"), F.md5("text")).alias("source_file"), "doc_id"
+        F.col("source").alias("session"), F.concat(F.lit("text/"), F.md5("text")).alias("source_file"),
+        "doc_id", F.expr("doc_id div 2").alias("place"),
     )
-    return corpus.first_by_path(by_text, "doc_id").select("source_file", "doc_id")
+    return corpus.first_by_path(by_text, "place").select("session", "source_file", "place")
 
 
 @query("a7_message_counts", S.with_ctes(
@@ -292,6 +310,13 @@ def w7_pair_messages(spark, sf_dir):
     return pairs.select("conv_id", "turn", "question", "answer")
 
 
+@query("w7_pair_messages_ranged", ORACLES["w7_pair_messages"])
+def w7_pair_messages_ranged(spark, sf_dir):
+    """The same with every longer conversation cut into ranges."""
+    pairs = corpus.pair_messages(I.table(spark, sf_dir, "conversations"), rows_per_range=4)
+    return pairs.select("conv_id", "turn", "question", "answer")
+
+
 # -- maintenance -------------------------------------------------------------
 
 @query("u1_append", S.with_ctes(S.chunks(), (
@@ -301,11 +326,11 @@ def w7_pair_messages(spark, sf_dir):
     "WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY session"
 )))
 def u1_append(spark, sf_dir):
-    chunks, labels = I.plain_chunks(spark, sf_dir), I.table(spark, sf_dir, "labels")
-    known = labels.select("doc_id")
-    both = corpus.append(
-        chunks.join(known, "doc_id", "left_semi"), chunks.join(known, "doc_id", "left_anti")
-    )
+    docs, known = I.documents(spark, sf_dir), I.table(spark, sf_dir, "labels").select("doc_id")
+    both = corpus.append(*(
+        text_chunks(docs.join(known, "doc_id", how), keep=("doc_id", "session"))
+        for how in ("left_semi", "left_anti")
+    ))
     return both.groupBy("session").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens")
     )
@@ -326,14 +351,14 @@ def u2_delete_session(spark, sf_dir):
 )))
 def u3_changed_documents(spark, sf_dir):
     labels = I.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    docs = I.documents(spark, sf_dir).select("doc_id", "source_file").join(
+    docs = I.documents(spark, sf_dir).select("doc_id", "session", "source_file").join(
         labels, "doc_id", "left"
     )
     incoming = docs.select(
-        "source_file",
+        "session", "source_file",
         (F.col("doc_id") + F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("modified"),
     )
     stored = docs.filter(F.col("toxic").isNotNull()).select(
-        "source_file", F.col("doc_id").alias("modified")
+        "session", "source_file", F.col("doc_id").alias("modified")
     )
-    return corpus.changed_documents(incoming, stored)
+    return corpus.changed_documents(incoming, stored).select("source_file", "modified")

@@ -14,6 +14,7 @@ from foliant.plans import sql as S
 from foliant.plans.registry import query
 
 CONFIG = RetrievalConfig()
+MOST_BROADCAST = 10_000
 
 _HEADS = (
     "heads AS (SELECT label, min(vec_id) AS head_id, arg_min(embedding, vec_id) AS head "
@@ -24,7 +25,10 @@ _TO_HEAD = f"WITH {_HEADS} SELECT vec_id, {{}} FROM embeddings JOIN heads USING
 
 def _with_head(spark, sf_dir):
     """Each vector with the head of its label."""
-    return I.table(spark, sf_dir, "embeddings").join(I.label_heads(spark, sf_dir), "label")
+    heads = I.label_heads(spark, sf_dir)
+    # A row per label; labels are few, but that is checked.
+    few = heads.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return I.table(spark, sf_dir, "embeddings").join(F.broadcast(heads) if few else heads, "label")
 
 
 @query("v1_truncate", (

@@ -27,7 +27,7 @@ def _with_weight(chunks):
     scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
     weight = F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return chunks.select(
-        F.col("session").cast("string").alias("session"), "id", "content", "source_file",
+        "session", "id", "content", "source_file",
         "chunk_index", "start_position", "end_position",
         F.when(F.exists(scaled, lambda x: x != 0), weight).alias("weight"),
     )
@@ -66,9 +66,7 @@ def s9_chat_scan(spark, sf_dir):
     """Scan of chat documents of at most ten messages each."""
     path = fresh_path(spark, "chat-scan")
     writers.write_documents(docs.chat_documents_json(I.chat(spark, sf_dir), "seq", 10), path)
-    return readers.read_chat_documents(spark, path).groupBy(
-        F.col("session").cast("string").alias("session")
-    ).agg(
+    return readers.read_chat_documents(spark, path).groupBy("session").agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.sum(F.size("source_chunks")).alias("n_sources"),
         tx.format_timestamp(F.min("timestamp")).alias("first_asked"),
@@ -93,7 +91,8 @@ def s10_metadata_scan(spark, sf_dir):
 
 _POLICY = (
     ("document_add", "metadata"), ("document_add", "chunks"), ("manual_save", "metadata"),
-    ("manual_save", "chat"), ("manual_save", "chunks"),
+    ("manual_save", "chat"), ("manual_save", "chunks"), ("close", "metadata"), ("close", "chat"),
+    ("close", "chunks"),
 )
 
 
@@ -103,48 +102,69 @@ _POLICY = (
     "FROM (VALUES " + ", ".join(str(p) for p in _POLICY) + ") AS t(operation, name)"
 )))
 def k7_save_policy(spark, sf_dir):
-    """The tables each operation writes, with their rows."""
+    """Operations one after another in one folder; the tables each writes, with their rows at the end."""
     tables = {
         "metadata": I.sessions(spark, sf_dir), "chat": I.chat(spark, sf_dir),
         "chunks": I.routed_chunks(spark, sf_dir),
     }
-    counts = None
-    for operation in ("document_add", "chat_message", "manual_save"):
-        root = fresh_path(spark, operation)
-        for name in writers.save(operation, tables, root):
-            one = writers.read_table(spark, root, name).agg(F.count(F.lit(1)).alias("n_rows"))
-            one = one.select(
-                F.lit(operation).alias("operation"), F.lit(name).alias("name"), "n_rows"
-            )
-            counts = one if counts is None else counts.unionByName(one)
+    root, counts = fresh_path(spark, "saved"), None
+    written = [
+        (operation, name)
+        for operation in ("document_add", "document_add", "chat_message", "manual_save", "close")
+        for name in writers.save(operation, tables, root)
+    ]
+    for operation, name in sorted(set(written)):
+        one = writers.read_table(spark, root, name).agg(F.count(F.lit(1)).alias("n_rows"))
+        one = one.select(F.lit(operation).alias("operation"), F.lit(name).alias("name"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
+@query("u2_delete_and_recreate", (
+    "SELECT source AS session, count(*) AS n_documents FROM documents WHERE source <> 'src3' "
+    "AND (source <> 'src7' OR doc_id % 2 = 0) GROUP BY source"
+))
+def u2_delete_and_recreate(spark, sf_dir):
+    """Two sessions are deleted, one of them is saved anew with half of its documents."""
+    root = fresh_path(spark, "recreated")
+    listed = I.documents(spark, sf_dir).select("session", "source_file", "doc_id")
+    writers.save("document_add", {"chunks": listed}, root)
+    for session in ("src3", "src7"):
+        writers.delete_session(spark, root, session)
+    half = listed.filter("session = 'src7' AND doc_id % 2 = 0")
+    writers.save("document_add", {"chunks": half}, root)
+    return writers.read_table(spark, root, "chunks").groupBy("session").agg(
+        F.count(F.lit(1)).alias("n_documents"))
+
+
 @query("k6_chunk_table", _CHUNKS_SQL)
 def k6_chunk_table(spark, sf_dir):
     """The columnar table, written and read back."""
     path = fresh_path(spark, "chunk-table")
     writers.write_table(I.embedded_chunks(spark, sf_dir), path)
-    return _with_weight(spark.read.parquet(path))
+    return _with_weight(writers.read_sessions(spark, path))
+
+
+_LISTED = 10
 
 
 @query("k2_metadata_documents", S.with_ctes([*S.chunks(S.ROUTED), *S.CHAT, *S.SESSIONS], (
     f"SELECT session, session AS name, {S.stamp('created_at')} AS created_at, "
     f"{S.stamp('last_modified')} AS last_modified, description, total_chunks, total_messages, "
-    "(SELECT string_agg(source_file, ',' ORDER BY doc_id) FROM paths p "
-    "WHERE p.session = sessions.session) AS documents FROM sessions"
+    "coalesce(documents, '') AS documents FROM sessions LEFT JOIN ("
+    "SELECT session AS listed, string_agg(source_file, ',' ORDER BY doc_id) AS documents FROM ("
+    "SELECT *, (row_number() OVER (PARTITION BY session ORDER BY doc_id) - 1) "
+    f"// {_LISTED} AS part FROM paths) GROUP BY session, part) ON listed = session"
 )))
 def k2_metadata_documents(spark, sf_dir):
-    """Saved session metadata, read back."""
+    """Saved session metadata, read back (K2, S10), with lists in parts of bounded length."""
     path = fresh_path(spark, "metadata-documents")
     listed = I.documents(spark, sf_dir).select("session", "source_file", "doc_id")
     writers.write_documents(
-        docs.metadata_documents_json(I.sessions(spark, sf_dir), listed, "doc_id"), path
+        docs.metadata_documents_json(I.sessions(spark, sf_dir), listed, "doc_id", _LISTED), path
     )
     saved = readers.read_metadata_documents(spark, path)
-    return saved.withColumns({
-        "session": F.col("session").cast("string"), "documents": F.array_join("documents", ","),
-    })
+    return saved.withColumn("documents", F.array_join("documents", ","))
 
 
 @query("k3_chat_documents", S.with_ctes(S.CHAT, (
@@ -157,7 +177,7 @@ def k3_chat_documents(spark, sf_dir):
     writers.write_documents(docs.chat_documents_json(I.chat(spark, sf_dir), "seq"), path)
     saved = readers.read_chat_documents(spark, path)
     return saved.select(
-        F.col("session").cast("string").alias("session"), "id", "question", "answer",
+        "session", "id", "question", "answer",
         tx.format_timestamp("timestamp").alias("asked_at"),
         F.array_join("source_chunks", ";").alias("sources"),
     )
@@ -223,7 +243,7 @@ def k5_csv_export(spark, sf_dir):
     path = fresh_path(spark, "csv-export")
     rows = docs.flat_export(I.chat(spark, sf_dir))
     writers.write_rows(rows, path, "csv")
-    saved = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
+    saved = spark.read.schema(rows.schema).csv(path, header=True, multiLine=True, escape='"', quote='"')
     return saved.select(*rows.columns)
 
 
@@ -288,12 +308,21 @@ def st2_replayed_batch(spark, sf_dir):
     return _ingested(spark, root)
 
 
-@query("st3_path_deduplication", _INGEST_SQL)
+@query("st3_path_deduplication", S.with_ctes(S.chunks(S.ROUTED), (
+    "SELECT session, source_file, count(*) AS n_chunks, sum(token_count)::BIGINT AS n_tokens "
+    "FROM chunks GROUP BY session, source_file UNION ALL "
+    "SELECT 'copy', source_file, count(*), sum(token_count)::BIGINT FROM chunks "
+    "WHERE doc_id % 5 = 0 GROUP BY source_file"
+)))
 def st3_path_deduplication(spark, sf_dir):
-    """Known paths in a later batch are skipped."""
+    """Known documents in a later batch are skipped, also those that it holds twice.
+
+    The same path in another session is another document.
+    """
     root = fresh_path(spark, "dedup")
     documents = I.documents(spark, sf_dir).select("doc_id", "session", "source_file", "content")
     labelled = I.table(spark, sf_dir, "labels").select("doc_id")
+    copies = documents.filter("doc_id % 5 = 0").withColumn("session", F.lit("copy"))
     ingest.ingest_batch(documents.join(labelled, "doc_id", "left_semi"), 0, root)
-    ingest.ingest_batch(documents, 1, root)
+    ingest.ingest_batch(documents.unionByName(copies).unionByName(documents), 1, root)
     return _ingested(spark, root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,30 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where none is named (local sessions, tests) a local folder is used.
+    Only a session without other machines (tests) may leave it out.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{tempfile.gettempdir()}/foliant-shared").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir names no shared folder for {master or 'the cluster'}")
+    return f"{tempfile.gettempdir()}/foliant-shared"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used before."""
+    """A new path below the shared folder, never used before.
+
+    What is written there belongs to the caller, who may remove it once no
+    DataFrame reads it any more; nothing else does.
+    """
     return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy row-wise work enough partitions.
 
-    Input too small to fill one scan split per core is spread by a key that
-    is unique per row.  Larger input comes in enough splits by itself and is
-    not shuffled.  The size is the planner's estimate; nothing is run for it.
+    Input of fewer scan splits than cores is spread by a key that is unique per
+    row.  Spark cuts files so that each core has a split, as long as splits do
+    not get smaller than the cost of opening a file; so input with that many
+    bytes per core comes in enough splits by itself and is not shuffled.  The
+    size is the planner's estimate; nothing is run for it.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    split = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
     if size >= cores * split or _is_spread(df, cores):
         return df
     return df.repartition(cores, *keys)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.config import SavePolicy
 
+_SAVED = "_saved_at"
+_MARKS = "session string, deleted_at bigint"
 _SORT = ("session", "section", "key", "place")
 
 
 def _balanced(df: DataFrame) -> DataFrame:
-    """Let adaptive execution split big sessions and join small ones before a write."""
-    return df.hint("rebalance", "session")
+    """Let adaptive execution split big sessions and join small ones before a write.
+
+    A folder cannot tell an empty name from a missing one, so it is refused.
+    """
+    named = F.when(F.col("session") == "", F.raise_error(F.lit("a session has an empty name")))
+    return df.withColumn("session", named.otherwise(F.col("session"))).hint("rebalance", "session")
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
@@ -49,28 +59,55 @@ def write_table(chunks: DataFrame, path: str, mode: str = "append") -> None:
     _balanced(chunks).write.mode(mode).partitionBy("session").parquet(path)
 
 
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """A table below ``session=…`` folders; the names are strings as they were written."""
+    found = spark.read.parquet(path).schema
+    fields = [f for f in found.fields if f.name != "session"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("session", T.StringType())])
+                             ).parquet(path)
+
+
+def _now() -> int:
+    return time.time_ns()
+
+
 def save(operation: str, tables: dict[str, DataFrame], root: str,
          policy: SavePolicy = SavePolicy()) -> tuple[str, ...]:
-    """Append the tables an operation saves; returns their names (K7)."""
+    """Write the tables an operation saves; returns their names (K7).
+
+    A table holds the whole state of its sessions, and takes the place of what
+    was saved of them before; other sessions stay as they are.
+    """
     written = []
     for name in policy.tables(operation):
         if name in tables:
-            write_table(tables[name], f"{root}/{name}")
+            saved = tables[name].withColumn(_SAVED, F.lit(_now()))
+            _balanced(saved).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("session").parquet(f"{root}/{name}")
             written.append(name)
     return tuple(written)
 
 
 def delete_session(spark: SparkSession, root: str, session_id: str) -> None:
-    """Mark a session as deleted (U2); its files stay, readers leave it out."""
-    marked = spark.createDataFrame([(session_id,)], "session string")
+    """Mark a session as deleted (U2); its files stay, readers leave them out.
+
+    What is saved under the name afterwards is a new session.
+    """
+    marked = spark.createDataFrame([(session_id, _now())], _MARKS)
     marked.write.mode("append").parquet(f"{root}/deleted_sessions")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A saved table without its deleted sessions."""
-    table = spark.read.parquet(f"{root}/{name}")
-    marks = f"{root}/deleted_sessions"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(marks)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return table
-    return table.join(spark.read.parquet(marks).distinct(), "session", "left_anti")
+    """A saved table without what was saved of a session before it was deleted."""
+    table = read_sessions(spark, f"{root}/{name}")
+    try:
+        marks = spark.read.schema(_MARKS).parquet(f"{root}/deleted_sessions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return table.drop(_SAVED)
+    last = marks.groupBy(F.col("session").alias("_session")).agg(
+        F.max("deleted_at").alias("_deleted"))
+    gone = (table.session == last["_session"]) & (table[_SAVED] <= last["_deleted"])
+    return table.join(last, gone, "left_anti").drop(_SAVED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant import schema
 from foliant.config import ChunkingConfig
@@ -49,23 +50,27 @@ def stream_documents(
     return _as_documents(files, config)
 
 
+def _with_session(document: T.StructType) -> T.StructType:
+    """The session of the files' folders, a string whatever it looks like; NULL where there is none."""
+    return T.StructType([*document.fields, T.StructField("session", T.StringType())])
+
+
 def read_chunk_documents(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Chunks of saved ``{"chunks": […]}`` documents.
 
     One document per line reads in parallel; ``multi_line`` takes files that
     hold one pretty-printed document.
     """
-    documents = spark.read.schema(schema.CHUNK_DOCUMENT).json(path, multiLine=multi_line)
-    # A session partition column, if there is one, is read with the files.
-    kept = [c for c in documents.columns if c != "chunks"]
-    return documents.select(*kept, F.inline("chunks"))
+    documents = spark.read.schema(_with_session(schema.CHUNK_DOCUMENT)).json(
+        path, multiLine=multi_line)
+    return documents.select("session", F.inline("chunks"))
 
 
 def read_chat_documents(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Messages of saved ``{"messages": […]}`` documents."""
-    documents = spark.read.schema(schema.CHAT_DOCUMENT).json(path, multiLine=multi_line)
-    kept = [c for c in documents.columns if c != "messages"]
-    return documents.select(*kept, F.inline("messages")).withColumn(
+    documents = spark.read.schema(_with_session(schema.CHAT_DOCUMENT)).json(
+        path, multiLine=multi_line)
+    return documents.select("session", F.inline("messages")).withColumn(
         "timestamp", F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss")
     )
 
@@ -74,7 +79,8 @@ def read_metadata_documents(
     spark: SparkSession, path: str, *, multi_line: bool = False
 ) -> DataFrame:
     """Session metadata documents (S10); long document lists come in several parts."""
-    return spark.read.schema(schema.METADATA_DOCUMENT).json(path, multiLine=multi_line)
+    return spark.read.schema(_with_session(schema.METADATA_DOCUMENT)).json(
+        path, multiLine=multi_line)
 
 
 def parse_chunk_input(values: DataFrame, value: str = "value") -> DataFrame:

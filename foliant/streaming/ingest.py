@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,10 +41,12 @@ def ingested_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def _overwrite_batch(df: DataFrame, path: str) -> None:
@@ -67,15 +70,13 @@ def ingest_batch(
     The path check comes before cleaning and chunking.  The chunks are
     written first; the document list, taken from the written chunks, is what
     later batches are checked against.  A document without chunks is not
-    listed, so it may come again.  Where a batch may hold a path twice,
-    ``order`` names the column whose smallest value is kept.
+    listed, so it may come again.  A document is known by session and path; of
+    rows of one batch that share both, one is kept, the first by ``order``.
     """
     spark = documents.sparkSession
     this_batch = (F.col("run") == run) & (F.col("batch_id") == batch_id)
     stored = ingested_documents(spark, root).filter(~this_batch)
-    fresh = new_documents(documents, stored)
-    if order:
-        fresh = first_by_path(fresh, order)
+    fresh = first_by_path(new_documents(documents, stored), order)
     chunks = document_chunks(fresh, config, keep=("session",))
     vector = embed("content", embedder) if embedder else F.lit(None).cast("array<float>")
     labelled = chunks.withColumns({

@@ -56,16 +56,37 @@ def test_j1_last_duplicate_wins_and_unmatched_stay(spark):
 
 def test_j2_and_a6(spark):
     incoming = spark.createDataFrame(
-        [("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "source_file string, n int, content string")
-    stored = spark.createDataFrame([("b",), ("b",), ("q",)], "source_file string")
+        [("s", "a", 2, "x"), ("s", "a", 1, "y"), ("s", "b", 3, "z"), ("t", "b", 3, "w"),
+         ("t", "b", 3, "w"), (None, "b", 1, "v")],
+        "session string, source_file string, n int, content string")
+    stored = spark.createDataFrame(
+        [("s", "b"), ("s", "b"), ("s", "q")], "session string, source_file string")
     fresh = corpus.first_by_path(corpus.new_documents(incoming, stored), "n")
-    assert [tuple(r) for r in fresh.select("source_file", "content").collect()] == [("a", "y")]
+    found = [tuple(r) for r in fresh.select("session", "source_file", "content").collect()]
+    assert sorted(found, key=str) == sorted(
+        [("s", "a", "y"), ("t", "b", "w"), (None, "b", "v")], key=str)
+
+
+def test_a6_equal_orders_leave_one_row(spark):
+    rows = spark.createDataFrame(
+        [("s", "a", 1, "x"), ("s", "a", 1, "y")], "session string, source_file string, n int, c string")
+    assert corpus.first_by_path(rows, "n").count() == 1
+    assert corpus.first_by_path(rows).count() == 1
+
+
+def test_v9_documents_of_two_sessions(spark):
+    rows = spark.createDataFrame(
+        [("s", "a", "1", None), ("s", "a", "2", [1.0]), ("t", "a", "3", [1.0])],
+        "session string, source_file string, id string, embedding array<float>")
+    assert [r.id for r in corpus.fully_embedded(rows).collect()] == ["3"]
 
 
 def test_u3_modified_documents_come_again(spark):
-    incoming = spark.createDataFrame([("a", 1), ("b", 2)], "source_file string, modified int")
-    stored = spark.createDataFrame([("a", 1), ("b", 1)], "source_file string, modified int")
-    assert [r.source_file for r in corpus.changed_documents(incoming, stored).collect()] == ["b"]
+    kind = "session string, source_file string, modified int"
+    incoming = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("t", "a", 1)], kind)
+    stored = spark.createDataFrame([("s", "a", 1), ("s", "b", 1)], kind)
+    changed = corpus.changed_documents(incoming, stored).collect()
+    assert sorted((r.session, r.source_file) for r in changed) == [("s", "b"), ("t", "a")]
 
 
 def test_a1_sessions_of_either_table(spark):

@@ -191,6 +191,54 @@ def test_u2_deleted_sessions_are_left_out(spark, tmp_path):
     assert [r.id for r in writers.read_table(spark, root, "chunks").collect()] == ["b"]
 
 
+def test_k7_a_save_takes_the_place_of_the_last(spark, tmp_path):
+    root = str(tmp_path / "store")
+    kind = "session string, id string"
+    both = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "c")], kind)
+    for operation in ("document_add", "document_add", "manual_save", "close"):
+        writers.save(operation, {"chunks": both}, root)
+    assert writers.read_table(spark, root, "chunks").count() == 3
+    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "d")], kind)}, root)
+    assert sorted(r.id for r in writers.read_table(spark, root, "chunks").collect()) == ["c", "d"]
+    writers.delete_session(spark, root, "s")
+    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "e")], kind)}, root)
+    assert sorted(r.id for r in writers.read_table(spark, root, "chunks").collect()) == ["c", "e"]
+
+
+def test_session_names_stay_strings(spark, tmp_path):
+    names = ["007", "7", "2024-01-01", "1e3"]
+    rows = spark.createDataFrame([(n, f"id{n}") for n in names], "session string, id string")
+    root = str(tmp_path / "store")
+    writers.save("document_add", {"chunks": rows}, root)
+    writers.delete_session(spark, root, "7")
+    left = writers.read_table(spark, root, "chunks").collect()
+    assert sorted((r.session, r.id) for r in left) == sorted(
+        (n, f"id{n}") for n in names if n != "7")
+    chat = chat_table(spark, 1).crossJoin(spark.createDataFrame([(n,) for n in names], "n string"))
+    saved = docs.chat_documents_json(chat.withColumn("session", F.col("n")), "seq")
+    writers.write_documents(saved, str(tmp_path / "chat"))
+    back = readers.read_chat_documents(spark, str(tmp_path / "chat"))
+    assert {r.session for r in back.collect()} == set(names)
+
+
+def test_empty_session_names_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("", "a")], "session string, id string")
+    with pytest.raises(Exception, match="empty name"):
+        writers.save("document_add", {"chunks": rows}, str(tmp_path / "store"))
+
+
+def test_ingest_keeps_one_row_per_document(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    rows = spark.createDataFrame(
+        [("s", "a.txt", "text"), ("s", "a.txt", "text"), ("t", "a.txt", "text")],
+        "session string, source_file string, content string")
+    ingest.ingest_batch(rows, 0, root)
+    ingest.ingest_batch(rows, 1, root)
+    assert ingest.ingested_chunks(spark, root).count() == 2
+    assert {(r.session, r.n_chunks) for r in ingest.ingested_documents(spark, root).collect()} == {
+        ("s", 1), ("t", 1)}
+
+
 def test_unknown_export_format(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.write_rows(chat_table(spark), str(tmp_path / "x"), "xls")
