@@ -24,7 +24,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker, stored, words
@@ -203,35 +204,53 @@ def _slices(items: DataFrame, key: str, text: str, per_slice: int) -> Iterator[l
 _FOUND = "array<struct<item:bigint,start:int,n_words:int,similarity:double>>"
 
 
+def _matcher(sent: Broadcast, name: tuple, rule: WindowRule):
+    """Column function for one slice of the items."""
+
+    @F.arrow_udf(_FOUND)
+    def match(texts: pa.Array) -> pa.Array:
+        index = once_per_worker(name, lambda: ItemIndex(sent.value, rule))
+        names = ("item", "start", "n_words", "similarity")
+        return pa.array(
+            [[dict(zip(names, m)) for m in index.matches(t.as_py())] for t in texts],
+            type=pa.list_(pa.struct([
+                ("item", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()),
+                ("similarity", pa.float64()),
+            ])),
+        )
+
+    return match
+
+
+def matching(
+    items: DataFrame, rule: WindowRule = WindowRule(), *, key: str = "item_id", text: str = "text"
+):
+    """Column function: a text's matches with the items, an array, empty if there are none.
+
+    Of an item's windows the most similar counts, of ties the first.  Null and
+    empty texts match nothing, and so do items without words.
+    """
+    context = items.sparkSession.sparkContext
+    parts = [
+        _matcher(context.broadcast(some), ("benchmark", hash(tuple(some)), rule), rule)
+        for some in _slices(items, key, text, rule.items_per_slice)
+    ]
+
+    def matches(column: Column) -> Column:
+        found = [match(column) for match in parts]
+        return F.concat(*found) if found else F.array().cast(_FOUND)
+
+    return matches
+
+
 def contaminations(
     docs: DataFrame, items: DataFrame, rule: WindowRule = WindowRule(), *, text: str = "text",
     item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``docs`` with ``contaminations``: item, first word, words and similarity of each match.
 
-    An array, empty for a clean document; of an item's windows the most similar
-    counts, of ties the first.  Null and empty texts match nothing, and so do
-    items without words.  Rows with repeated keys are judged each by its text.
+    A column of that name is replaced.  Rows with repeated keys are judged each
+    by its text.
     """
-    spark = docs.sparkSession
-    found = None
-    for i, some in enumerate(_slices(items, item_key, item_text, rule.items_per_slice)):
-        sent = spark.sparkContext.broadcast(some)
-        name = ("benchmark", hash(tuple(some)), rule)
-
-        @F.arrow_udf(_FOUND)
-        def match(texts: pa.Array, sent=sent, name=name) -> pa.Array:
-            index = once_per_worker(name, lambda: ItemIndex(sent.value, rule))
-            names = ("item", "start", "n_words", "similarity")
-            return pa.array(
-                [[dict(zip(names, m)) for m in index.matches(t.as_py())] for t in texts],
-                type=pa.list_(pa.struct([
-                    ("item", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()),
-                    ("similarity", pa.float64()),
-                ])),
-            )
-
-        one = match(F.col(text))
-        found = one if found is None else F.concat(found, one)
-    empty = F.array().cast(_FOUND)
-    return docs.withColumn("contaminations", empty if found is None else found)
+    matches = matching(items, rule, key=item_key, text=item_text)
+    return docs.withColumn("contaminations", matches(F.col(text)))
