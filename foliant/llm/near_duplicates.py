@@ -59,13 +59,11 @@ def similar(similarity: float = 0.8, *, shingle: int = 5, numbers: int = 8) -> N
 
 def fingerprints(text: Column, rule: NearRule) -> Column:
     """The fingerprint of a text as a list of signed 64-bit integers; null and no words: zeros."""
-    seeds = tuple(range(rule.seed, rule.seed + rule.numbers))
-
     @F.arrow_udf("array<bigint>")
     def prints(texts: pa.Array) -> pa.Array:
-        found = [fingerprint(words(t.as_py()), rule.shingle, seeds) for t in texts]
+        found = [fingerprint(words(t.as_py()), rule.shingle, rule.numbers, rule.seed) for t in texts]
         flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        starts = np.arange(len(found) + 1, dtype=np.int32) * len(seeds)
+        starts = np.arange(len(found) + 1, dtype=np.int32) * rule.numbers
         return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
 
     return prints(text)

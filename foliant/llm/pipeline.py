@@ -1,10 +1,89 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline, and their run from documents to token ids.
+
+Each stage takes all documents that the one before it kept, and is written as
+Parquet below the shared folder.  The stages up to the last return the columns
+of the documents, whatever they are; added columns never take their names.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.llm.block_names import exact_duplicates
+from foliant.llm.byte_bpe import WORD_WISE, coding
+from foliant.llm.decontamination import matching
+from foliant.llm.near_duplicates import near_components, similar
+from foliant.llm.shared import lower_ascii, stored, table
+from foliant.llm.toxicity import judge, train
+from foliant.llm.toxicity_queries import THRESHOLD, third
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below the threshold; empty ones stay."""
+    model = train(docs, table(spark, sf_dir, "labels"), training=third() != 1)
+    judged = judge(spark, model)
+    return docs.filter(judged(F.col("text")).getField("score") < THRESHOLD)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, but for the case of A-Z, the document with the largest id.
+
+    Of repeated rows one stays.
+    """
+    kept = exact_duplicates(docs.select("doc_id", "text")).filter("kept").select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    own = docs.withColumn("_own_sha", F.sha2(lower_ascii(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha"))
+    first = F.row_number().over(
+        Window.partitionBy("doc_id", "_own_sha").orderBy("doc_id"))
+    return (
+        own.join(kept, same, "left_semi").withColumn("_place", first).filter("_place = 1")
+        .select(*docs.columns)
+    )
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the one with the smallest id.
+
+    Documents without an id stay if they are like none that has one.
+    """
+    found = near_components(docs.select("doc_id", "text"), similar(0.8))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage like a benchmark item."""
+    matches = matching(table(spark, sf_dir, "benchmark"))
+    return docs.filter(F.size(matches(F.col("text"))) == 0)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every whole text as little-endian unsigned 32-bit integers."""
+    to_ids, _ = coding(
+        spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+        WORD_WISE,
+    )
+    return docs.select("doc_id", to_ids(F.col("text")).alias("ids")).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids"
+    )
+
+
+STAGES = [
+    ("toxicity", harmless), ("exact dedup", distinct), ("near dedup", dissimilar),
+    ("decontamination", uncontaminated), ("byte-level BPE", tokens),
+]
+
+#: The first stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,13 @@
 
 A fingerprint bit is 1 if it is set in over half of the hashes of the text's
 shingles.  The first 64 bits come from XXH64 with the given seed; more bits, for
-wider fingerprints, from the following seeds.
+wider fingerprints, from mixing that hash again.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 #: Shingles whose bits are counted at a time.
@@ -27,24 +29,26 @@ def shingles(words: list[bytes], size: int):
         yield view[start : end - 1]
 
 
-def fingerprint(words: list[bytes], size: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
-    """Fingerprint as unsigned 64-bit numbers, one for each seed; no words: zeros."""
+def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Hashes as good as independent of the given ones (the SplitMix64 finalizer)."""
+    x = hashes + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(words: list[bytes], size: int, numbers: int = 1, seed: int = 42) -> np.ndarray:
+    """Fingerprint as so many unsigned 64-bit numbers; no words: zeros."""
     import xxhash
 
-    digest, result = xxhash.xxh64_intdigest, np.zeros(len(seeds), dtype=np.uint64)
-    for i, seed in enumerate(seeds):
-        counts, number, some = np.zeros(64, dtype=np.int64), 0, []
-
-        def add(some: list[int]) -> np.ndarray:
-            hashes = np.array(some, dtype="<u8").view(np.uint8).reshape(-1, 8)
-            return np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-
-        for shingle in shingles(words, size):
-            some.append(digest(shingle, seed))
-            if len(some) == SHINGLES_AT_ONCE:
-                counts, number, some = counts + add(some), number + len(some), []
-        if some:
-            counts, number = counts + add(some), number + len(some)
-        bits = (2 * counts > number).astype(np.uint8)
-        result[i] = np.packbits(bits, bitorder="little").view("<u8")[0]
-    return result
+    digest = xxhash.xxh64_intdigest
+    counts, total, found = np.zeros((numbers, 64), dtype=np.int64), 0, shingles(words, size)
+    while some := [digest(shingle, seed) for shingle in islice(found, SHINGLES_AT_ONCE)]:
+        hashes = np.array(some, dtype="<u8")
+        total += len(some)
+        for i in range(numbers):
+            octets = (_mixed(hashes, i) if i else hashes).view(np.uint8).reshape(-1, 8)
+            counts[i] += np.unpackbits(octets, axis=1, bitorder="little").sum(
+                axis=0, dtype=np.int64)
+    bits = (2 * counts > total).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker
@@ -183,13 +183,9 @@ class Scorer:
 _RESULT = "struct<score:double,sentences:array<struct<start:int,end:int,score:double>>>"
 
 
-def toxicity(docs: DataFrame, model: Model, *, text: str = "text", offending: float = 0.5):
-    """``docs`` with ``toxicity``: the score from 0 to 1 and the offending sentences.
-
-    Sentences have character offsets.  Null and empty texts score 0.  Rows are
-    scored one by one, so repeated rows have the same score.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def judge(spark: SparkSession, model: Model, *, offending: float = 0.5):
+    """Column function: a text's score and offending sentences."""
+    sent = spark.sparkContext.broadcast(model)
     name = ("toxicity", hash(model.weights.tobytes()), model.bias)
     kind = pa.struct([
         ("score", pa.float64()),
@@ -199,9 +195,22 @@ def toxicity(docs: DataFrame, model: Model, *, text: str = "text", offending: fl
     ])
 
     @F.arrow_udf(_RESULT)
-    def judge(texts: pa.Array) -> pa.Array:
+    def judged(texts: pa.Array) -> pa.Array:
         scorer = once_per_worker(name, lambda: Scorer(sent.value))
         found = (scorer.score(t.as_py(), offending) for t in texts)
         return pa.array([{"score": s, "sentences": where} for s, where in found], type=kind)
 
-    return docs.withColumn("toxicity", judge(F.col(text)))
+    return judged
+
+
+def toxicity(
+    docs: DataFrame, model: Model, *, text: str = "text", offending: float = 0.5
+) -> DataFrame:
+    """``docs`` with ``toxicity``: the score from 0 to 1 and the offending sentences.
+
+    A column of that name is replaced.  Sentences have character offsets.  Null
+    and empty texts score 0.  Rows are scored one by one, so repeated rows have
+    the same score.
+    """
+    judged = judge(docs.sparkSession, model, offending=offending)
+    return docs.withColumn("toxicity", judged(F.col(text)))
