@@ -185,6 +185,9 @@ def matches(
 ) -> DataFrame:
     """Scored (query, chunk) matches: all above a threshold (J5) or the best ``k`` per task.
 
+    All matches above a threshold may be as many as queries times chunks; give
+    ``k`` too, or use ``top_k`` with a threshold, to bound them per query.
+
     If both sides have a ``cell`` column (an array of cells to probe on the
     query side) only pairs in the same cell are scored (V5).
     """
@@ -326,23 +329,21 @@ def sampled_centroids(corpus: DataFrame, nlist: int, *, corpus_id: str = "id",
 
 
 def kmeans_centroids(
-    corpus: DataFrame, nlist: int, *, corpus_id: str = "id", vector: str = "embedding",
-    rows_per_centroid: int = 256, seed: int = 7,
+    corpus: DataFrame, nlist: int, *, vector: str = "embedding", max_iterations: int = 10,
+    seed: int = 7,
 ) -> np.ndarray:
-    """Centroids of k-means, trained on a bounded share of the rows.
+    """Centroids of k-means over every embedded row; MLlib passes over them in parallel.
 
-    Only the training is bounded; every row is assigned to a cell afterwards.
+    ``corpus`` should be a stored table, since each iteration reads it.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = corpus.filter(is_embedded(F.col(vector)))
-    share = rows_per_centroid * nlist / max(usable.count(), 1)
-    if share < 1:
-        spot = F.pmod(F.xxhash64(corpus_id), F.lit(1_000_000))
-        usable = usable.filter(spot < int(share * 1_000_000) + 1)
     training = usable.select(array_to_vector(F.col(vector)).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10, initMode="k-means||").fit(training)
+    model = KMeans(
+        k=nlist, seed=seed, maxIter=max_iterations, initMode="k-means||"
+    ).fit(training)
     return np.array(model.clusterCenters())
 
 
@@ -388,7 +389,7 @@ def cell_top_k(
 ) -> DataFrame:
     """Approximate top-k: score only the ``nprobe`` cells nearest to a query (V5)."""
     if centroids is None:
-        centroids = kmeans_centroids(corpus, config.nlist, corpus_id=corpus_id, vector=vector)
+        centroids = kmeans_centroids(corpus, config.nlist, vector=vector)
     return top_k(
         with_probes(queries, centroids, config.nprobe, vector=vector, metric=config.metric),
         assign_cells(corpus, centroids, vector=vector, metric=config.metric),
@@ -396,6 +397,38 @@ def cell_top_k(
     )
 
 
+def write_cells(
+    corpus: DataFrame, path: str, *, centroids: np.ndarray | None = None,
+    config: RetrievalConfig = RetrievalConfig(), vector: str = "embedding",
+) -> None:
+    """Store a corpus by cell, with the centroids beside it (V5).
+
+    Large cells are written by several tasks, small ones together.
+    """
+    if centroids is None:
+        centroids = kmeans_centroids(corpus, config.nlist, vector=vector)
+    cells = assign_cells(corpus, centroids, vector=vector, metric=config.metric)
+    cells.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/cells")
+    corpus.sparkSession.createDataFrame(
+        [(i, [float(x) for x in row]) for i, row in enumerate(centroids)],
+        "cell int, centroid array<double>",
+    ).coalesce(1).write.parquet(f"{path}/centroids")  # nlist rows
+
+
+def search_cells(
+    queries: DataFrame, path: str, *, config: RetrievalConfig = RetrievalConfig(),
+    vector: str = "embedding", **columns,
+) -> DataFrame:
+    """Best chunks per query among the ``nprobe`` nearest stored cells; others are not read (V5)."""
+    spark = queries.sparkSession
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").toArrow()
+    centroids = _matrix(rows["centroid"], len(rows["centroid"][0]))
+    return top_k(
+        with_probes(queries, centroids, config.nprobe, vector=vector, metric=config.metric),
+        spark.read.parquet(f"{path}/cells"), config=config, vector=vector, **columns,
+    )
+
+
 # -- contexts (V8) -----------------------------------------------------------
 
 def contexts(found: DataFrame, chunks: DataFrame,

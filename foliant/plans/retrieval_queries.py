@@ -11,7 +11,8 @@ from foliant.functions import vectors as vec
 from foliant.operators import retrieval
 from foliant.plans import inputs as I
 from foliant.plans import sql as S
-from foliant.plans.registry import query
+from foliant.plans.registry import ORACLES, query
+from foliant.runtime import fresh_path
 
 CONFIG = RetrievalConfig()
 MOST_BROADCAST = 10_000
@@ -114,14 +115,19 @@ _SCORES = [
 ]
 
 
+MOST_SIMILAR = 100
+
+
 @query("j5_similar_pairs", S.with_ctes(
-    _SCORES, f"SELECT query_id, id, score FROM scores WHERE score >= {CONFIG.similarity_threshold}"
+    _SCORES, "SELECT query_id, id, score FROM ranks "
+    f"WHERE score >= {CONFIG.similarity_threshold} AND rank <= {MOST_SIMILAR}"
 ))
 def j5_similar_pairs(spark, sf_dir):
-    return retrieval.matches(
-        I.questions(spark, sf_dir), I.embedded_chunks(spark, sf_dir),
+    """The most similar chunks of each query, a bounded number, above the threshold."""
+    return retrieval.top_k(
+        I.questions(spark, sf_dir), I.embedded_chunks(spark, sf_dir), k=MOST_SIMILAR,
         threshold=CONFIG.similarity_threshold,
-    )
+    ).select("query_id", "id", "score")
 
 
 @query("v4_flat_top_k", S.with_ctes(
@@ -172,10 +178,34 @@ def _vector_search(spark, sf_dir, config):
     return retrieval.top_k(heads, vectors, config=config)
 
 
-@query("v5_cell_top_k")
+def _stored_cells(spark, sf_dir):
+    path = fresh_path(spark, "cells")
+    retrieval.write_cells(I.stored_embeddings(spark, sf_dir), path)
+    return path
+
+
+@query("v5_cell_top_k", ORACLES["v4_flat_top_k"])
 def v5_cell_top_k(spark, sf_dir):
-    """k-means cells; approximate, so there is no SQL to compare with."""
-    return retrieval.cell_top_k(I.questions(spark, sf_dir), I.stored_embeddings(spark, sf_dir))
+    """k-means cells as a stored table; probing all of them equals the flat search."""
+    return retrieval.search_cells(
+        I.questions(spark, sf_dir), _stored_cells(spark, sf_dir),
+        config=replace(CONFIG, nprobe=CONFIG.nlist),
+    )
+
+
+@query("v5_cell_recall", "SELECT count(*) AS n_queries, true AS enough FROM benchmark")
+def v5_cell_recall(spark, sf_dir):
+    """Whether half of the cells hold four fifths of the exact results."""
+    chunks, asked = I.stored_embeddings(spark, sf_dir), I.questions(spark, sf_dir)
+    path = fresh_path(spark, "cells")
+    retrieval.write_cells(chunks, path)
+    near = retrieval.search_cells(asked, path, config=replace(CONFIG, nprobe=CONFIG.nlist // 2))
+    exact = retrieval.top_k(asked, chunks)
+    found = exact.join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return found.agg(
+        F.countDistinct("query_id").alias("n_queries"),
+        (F.count("hit") >= 0.8 * F.count(F.lit(1))).alias("enough"),
+    )
 
 
 _CELLS = [
