@@ -21,9 +21,12 @@ def supported(file_type: Column, types: tuple[str, ...] = SUPPORTED_TYPES) -> Co
     return file_type.isin(*types)
 
 
-def clean_by_type(file_type: Column, content: Column) -> Column:
+def clean_by_type(
+    file_type: Column, content: Column, config: ChunkingConfig = ChunkingConfig()
+) -> Column:
     """PDF text and everything else take different cleaners (S3)."""
-    return F.when(file_type == "pdf", tx.clean_pdf_text(content)).otherwise(tx.clean_text(content))
+    plain = tx.clean_text(content, config.remove_extra_whitespace)
+    return F.when(file_type == "pdf", tx.clean_pdf_text(content)).otherwise(plain)
 
 
 def placeholder(source_file: Column) -> Column:
@@ -121,7 +124,7 @@ def typed_documents(
 
 def _cleaned(config: ChunkingConfig) -> Column:
     """Cleaned content; NULL for extracted text that is too short (S3, F2)."""
-    cleaned = tx.let(clean_by_type(F.col("file_type"), F.col("content")), lambda c: F.when(
+    cleaned = tx.let(clean_by_type(F.col("file_type"), F.col("content"), config), lambda c: F.when(
         tx.long_enough(F.col("file_type"), c, config.min_extracted_bytes), c
     ))
     return F.when(F.col("extraction_failed"), F.col("content")).otherwise(cleaned)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.config import ExportConfig
+from foliant.config import ChunkingConfig, ExportConfig
 from foliant.functions import text as tx
 from foliant.functions.embedding import HashedWords
 from foliant.plans import inputs as I
@@ -220,6 +220,38 @@ def k4_text_export(spark, sf_dir):
     )
 
 
+@query("k4_written_export", S.with_ctes(
+    _EXPORT_CTES, "SELECT session, line, count(*) AS n FROM (SELECT session, unnest("
+    "string_split(line, chr(10))) AS line FROM lines) GROUP BY session, line"
+))
+def k4_written_export(spark, sf_dir):
+    """The lines of the written text export by session, read back from its files."""
+    path = fresh_path(spark, "text-export")
+    writers.write_export(docs.text_export(
+        I.sessions(spark, sf_dir), I.documents(spark, sf_dir), I.chat(spark, sf_dir),
+        document_order="doc_id", chat_order="seq",
+    ), path)
+    saved = spark.read.schema("value string, session string").option("lineSep", "\n").text(path)
+    return saved.groupBy("session", F.col("value").alias("line")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("s1_document_files", (
+    "SELECT doc_id, strlen(text) + 1 AS size, 'txt' AS file_type, md5(concat(text, chr(10))) AS md5 "
+    "FROM documents WHERE strlen(text) + 1 <= 4096"
+))
+def s1_document_files(spark, sf_dir):
+    """Documents as files of a folder, read with the size limit pushed into the scan."""
+    path = fresh_path(spark, "document-files")
+    I.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")).repartition(
+        "doc_id").write.partitionBy("doc_id").text(path)
+    config = ChunkingConfig(max_file_size_mb=4096 / 1024 / 1024)
+    return readers.read_documents(spark, path, config).select(
+        F.regexp_extract("source_file", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+        "size", "file_type", F.md5("content").alias("md5"),
+    )
+
+
 @query("k5_markdown_export", S.with_ctes(S.CHAT, (
     "SELECT session, 0 AS section, seq AS key, l.place::INTEGER AS place, l.line AS line FROM "
     "(SELECT session, seq, unnest([{'place': 0, 'line': concat('## ', question)}, "

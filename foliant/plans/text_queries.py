@@ -53,6 +53,21 @@ def s3_type_routing(spark, sf_dir):
     )
 
 
+@query("s3_kept_whitespace", (
+    f"SELECT doc_id, CASE WHEN file_type = 'pdf' THEN {S.clean_pdf('text')} "
+    "ELSE trim(text, concat(' ', chr(9), chr(10))) END AS content FROM "
+    f"(SELECT *, {S.file_type('source_file')} AS file_type FROM ({S.documents(I.NOISY_TEXT)}))"
+))
+def s3_kept_whitespace(spark, sf_dir):
+    """Plain text is only trimmed where blanks are to be kept."""
+    docs = I.heavy_documents(spark, sf_dir, I.NOISY_TEXT).withColumn(
+        "file_type", tx.detect_file_type("source_file")
+    )
+    config = ChunkingConfig(remove_extra_whitespace=False)
+    return docs.select("doc_id", extraction.clean_by_type(
+        F.col("file_type"), F.col("content"), config).alias("content"))
+
+
 _LAYOUT = "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN '' ELSE text END"
 _RAW = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('raw ', text) END"
 _PAGE = "CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('page ', text) END"

@@ -4,16 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EMBEDDING = T.ArrayType(T.FloatType(), False)
-
-FILE_METADATA = T.StructType([
-    T.StructField("size", T.LongType()),
-    T.StructField("modified", T.LongType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("section", T.StringType()),
-    T.StructField("page", T.IntegerType()),
-])
-
 # Columns of Spark's binary file source.
 FILES = T.StructType([
     T.StructField("path", T.StringType()),
@@ -22,14 +12,6 @@ FILES = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
-DOCUMENTS = T.StructType([
-    T.StructField("source_file", T.StringType()),
-    T.StructField("content", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("modified", T.TimestampType()),
-    T.StructField("file_type", T.StringType()),
-])
-
 # One element of the "chunks" list of a chunk document.
 CHUNK_ENTRY = T.StructType([
     T.StructField("id", T.StringType()),
@@ -69,11 +51,3 @@ CHUNK_INPUT = T.ArrayType(T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("metadata", T.StringType()),
 ]))
-
-CHUNKS = T.StructType([
-    *CHUNK_ENTRY.fields[:6],
-    T.StructField("token_count", T.LongType()),
-    T.StructField("metadata", FILE_METADATA),
-    T.StructField("embedding", EMBEDDING),
-    T.StructField("session", T.StringType()),
-])
