@@ -43,7 +43,9 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import once_per_worker, stored, words
 
 #: Characters of text after which a task passes on what it has counted.
-CHARACTERS_AT_ONCE = 1 << 24
+CHARACTERS_AT_ONCE = 1 << 23
+#: Texts whose tokens are laid out in arrays at a time, and contexts scored at a time.
+TEXTS_AT_ONCE, CONTEXTS_AT_ONCE = 500, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -136,6 +138,13 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into ones of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def _with_ends(lists: pa.Array, rare: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts in a row, each text followed by its end (``rare`` + 1).
 
@@ -160,10 +169,9 @@ def _summed(numbers: DataFrame, size: int, keys_of, *columns: str) -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             for keys, weights in keys_of(batch):
-                np.add.at(total, keys, weights) if weights is not None else np.add(
-                    total, np.bincount(keys, minlength=size), out=total)
+                np.add.at(total, keys, 1 if weights is None else weights)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
@@ -214,15 +222,22 @@ def joining_class(
     starts: np.ndarray, histories: np.ndarray, counts: np.ndarray, pairs: np.ndarray, k: int
 ) -> np.ndarray:
     """The class that gains most when words join it; word i has the cells from ``starts[i]`` on."""
-    cells, which = np.unique(
-        np.stack([histories, counts]), axis=1, return_inverse=True
-    )
-    gains = _change(pairs[cells[0], :k].astype(np.float64), cells[1][:, None].astype(np.float64))
-    gain = np.add.reduceat(gains[which.ravel()], starts, axis=0)
-    total = np.add.reduceat(counts, starts)
-    totals, which = np.unique(total, return_inverse=True)
-    margin = _change(pairs.sum(axis=0)[None, :k].astype(np.float64), totals[:, None].astype(float))
-    return np.argmax(gain - margin[which], axis=1)
+    best = np.empty(len(starts), dtype=np.int64)
+    stops = np.append(starts[1:], len(counts))
+    margins = pairs.sum(axis=0)[None, :k].astype(np.float64)
+    first = 0
+    while first < len(starts):
+        # Whole words, as many as have a bounded number of cells.
+        last = max(first + 1, int(np.searchsorted(stops, starts[first] + CONTEXTS_AT_ONCE, "right")))
+        low, high = starts[first], stops[last - 1]
+        histories_here, counts_here = histories[low:high], counts[low:high].astype(np.float64)
+        gains = _change(pairs[histories_here, :k].astype(np.float64), counts_here[:, None])
+        inside = starts[first:last] - low
+        gain = np.add.reduceat(gains, inside, axis=0)
+        total = np.add.reduceat(counts_here, inside)
+        best[first:last] = np.argmax(gain - _change(margins, total[:, None]), axis=1)
+        first = last
+    return best
 
 
 # -- the model ---------------------------------------------------------------
@@ -393,7 +408,7 @@ def _other_rows(numbers: DataFrame, history: np.ndarray, rare: int, *columns: st
                         "word binary, history int"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             tokens, ends = _with_ends(batch.column(0), rare)
             at = np.flatnonzero(tokens == rare)
             text_of = pa.array(np.searchsorted(ends, at))
@@ -472,7 +487,7 @@ def scores(model: ClassModel, *columns: str) -> DataFrame:
         word_logs[rare + 1] = 0.0  # the end is its class's only word
         known = t.counts > 0
         base_logs = np.log10(t.counts + 1.0) - scale
-        for batch in batches:
+        for batch in _parts(batches):
             tokens, ends = _with_ends(batch.column(1), rare)
             now, before = tokens[1:], tokens[:-1]
             of_text = np.searchsorted(ends, np.arange(1, len(tokens)))
