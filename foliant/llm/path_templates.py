@@ -9,7 +9,8 @@ walked from the root by tables:
    that rarely repeat has all of them made one wildcard.
 2. *Merge.*  Of the branches left below one parent, those whose share of blocked
    labels does not differ significantly from that of all of them together (z
-   test on labelled rows; none labelled counts as alike) are merged into one.
+   test on labelled rows) are merged into one, and those without any label into
+   another: they do not take over the labels of their neighbours.
 3. *Judge.*  A template, the sequence of generalised segments, is rejected if
    its share of blocked among its labelled rows, smoothed towards that of all
    labelled rows, reaches the threshold.
@@ -126,11 +127,12 @@ def _level(shapes: DataFrame, at: int, rule: TemplateRule) -> DataFrame:
     alike = off * off <= rule.deviations**2 * m * every_b * (every_m - every_b)
     crowded = (F.col("children") > rule.children) & (
         F.col("all_n") < rule.rows_per_child * F.col("children"))
-    joint = crowded | ((F.col("children") > 1) & ((F.col("labelled") == 0) | alike))
+    several = F.col("children") > 1
     forms = stored(
         nodes.join(parents, ["host", "template"]).select(
             "host", "template", "segment",
-            F.when(joint, "*").otherwise(F.col("segment")).alias("form"),
+            F.when(crowded, "*").when(several & (F.col("labelled") == 0), "~")
+            .when(several & alike, "*").otherwise(F.col("segment")).alias("form"),
         ), "template-forms",
     )
     return here.join(forms, ["host", "template", "segment"], "left").select(

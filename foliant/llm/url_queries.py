@@ -54,8 +54,9 @@ here{at} AS (
 ), forms{at} AS (
     SELECT host, template, segment, CASE
         WHEN children > {_RULE.children} AND all_n < {_RULE.rows_per_child} * children THEN '*'
-        WHEN children > 1 AND (m = 0 OR (b * every_m - every_b * m) * (b * every_m - every_b * m)
-            <= {_RULE.deviations ** 2} * m * every_b * (every_m - every_b)) THEN '*'
+        WHEN children > 1 AND m = 0 THEN '~'
+        WHEN children > 1 AND (b * every_m - every_b * m) * (b * every_m - every_b * m)
+            <= {_RULE.deviations ** 2} * m * every_b * (every_m - every_b) THEN '*'
         ELSE segment END AS form
     FROM nodes{at} JOIN parents{at} USING (host, template)
 ), shapes{at + 1} AS (
