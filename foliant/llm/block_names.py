@@ -72,9 +72,9 @@ def block_identities(
     texts = docs.select(F.col(key).alias("key"), normalise(F.col(text)).alias("text"))
     names, seed = _block_names(texts.select("text"), block_bytes, tries)
     last = F.expr(f"cast((greatest(octet_length(text), 1) - 1) div {block_bytes} AS bigint)")
-    placed = texts.select(
-        F.monotonically_increasing_id().alias("row"), "key", last.alias("last"),
-        F.sha2("text", 256).alias("text_sha256"),
+    # Numbered before the blocks are exploded, so that a document has one number.
+    placed = texts.withColumn("row", F.monotonically_increasing_id()).select(
+        "row", "key", last.alias("last"), F.sha2("text", 256).alias("text_sha256"),
         F.posexplode(_blocks(F.col("text"), block_bytes)).alias("at", "block"),
     ).select(
         "row", F.col("at").cast("bigint").alias("at"), "last", F.when(F.col("at") == 0, F.struct("key", "text_sha256")).alias("document"),
