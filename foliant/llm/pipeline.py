@@ -20,8 +20,19 @@ from foliant.llm.toxicity import judge, train
 from foliant.llm.toxicity_queries import THRESHOLD, third
 
 
+ROWS_PER_BATCH = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts make large Arrow batches; with fewer rows both sides need less memory."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold; empty ones stay."""
+    _small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"), training=third() != 1)
     judged = judge(spark, model)
     return docs.filter(judged(F.col("text")).getField("score") < THRESHOLD)
@@ -49,6 +60,7 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay if they are like none that has one.
     """
+    _small_batches(spark)
     found = near_components(docs.select("doc_id", "text"), similar(0.8))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_kept_id")).distinct()
@@ -57,12 +69,14 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage like a benchmark item."""
+    _small_batches(spark)
     matches = matching(table(spark, sf_dir, "benchmark"))
     return docs.filter(F.size(matches(F.col("text"))) == 0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every whole text as little-endian unsigned 32-bit integers."""
+    _small_batches(spark)
     to_ids, _ = coding(
         spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
         WORD_WISE,

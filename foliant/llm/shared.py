@@ -47,10 +47,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 def once_per_worker(key: tuple, build: Callable[[], object]):
-    """An object built once in each Python worker process and kept for its later tasks."""
+    """An object built once in each Python worker process and kept for its later tasks.
+
+    The last one only, so that the next operator's tasks find its memory free.
+    """
     kept = sys.modules.setdefault(
         "foliant_worker_objects", types.ModuleType("foliant_worker_objects")
     ).__dict__.setdefault("kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = build()
     return kept[key]

@@ -15,6 +15,7 @@ labelled rows; every document is scored, whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from foliant.llm.shared import once_per_worker
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -87,17 +88,16 @@ def fit(rows: Iterable[tuple[str, int]], rule: FitRule, totals: tuple[int, int])
     if len(set(labels.tolist())) < 2:
         return Model(weights.astype(np.float32), -30.0, rule)
     known: dict[str, list[int]] = {}
-    at, of_sentence, of_document = [], [], []
+    at, of_sentence, of_document = array("i"), array("i"), array("i")
     for document, (text, _) in enumerate(rows):
         for _, _, words in sentences(text or ""):
             for word in sorted(words):
                 if word not in known:
                     known[word] = features(word, rule)
-                at += known[word]
-                of_sentence += [len(of_document)] * len(known[word])
+                at.extend(known[word])
+                of_sentence.extend([len(of_document)] * len(known[word]))
             of_document.append(document)
-    at, of_sentence = np.array(at, dtype=np.int32), np.array(of_sentence, dtype=np.int32)
-    of_document = np.array(of_document, dtype=np.int32)
+    at, of_sentence, of_document = (np.asarray(a) for a in (at, of_sentence, of_document))
     share = np.array([totals[y] / max(1, int((labels == y).sum())) for y in (0, 1)])[labels]
     share = share / share.sum()
     bias, first, second = rule.first_bias, np.zeros(rule.dimensions + 1), np.zeros(
