@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import stored
 
 BITS = 64
-KEYS_PER_GROUP = 32_768
-STEP = 4
+KEYS_PER_GROUP = 131_072
+STEP = 2
 #: Node pairs or key pairs worked on at a time, and keys below which pairs are compared directly.
 AT_ONCE, DIRECT = 1 << 18, 16
 
