@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import once_per_worker
 
 #: Stretches whose ids a worker keeps, and the length up to which it keeps them.
-KEPT_STRETCHES, KEPT_LENGTH = 600_000, 48
+KEPT_STRETCHES, KEPT_LENGTH = 400_000, 48
 #: Compatible or incompatible pairs that a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 #: Stretches that are joined at a time.
 STRETCHES_AT_ONCE = 200_000
 
@@ -108,7 +108,7 @@ class Coder:
             self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
         self.prefixes: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.stretches = Stretches(self)
 
     # -- one piece ---------------------------------------------------------
@@ -137,7 +137,8 @@ class Coder:
         that is merged before one of them is merged into its own token; of
         equal ranks the one further left is merged first.
         """
-        known = self.pairs.get((left, right))
+        pair = left * self.never + right
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         known, a, b, until_a, until_b = True, left, right, self.never, self.never
@@ -155,7 +156,7 @@ class Coder:
                 break
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = known
+        self.pairs[pair] = known
         return known
 
     def shorter(self, token: int) -> int:
@@ -175,7 +176,7 @@ class Coder:
         reach, usable, sizes, pairs = (
             self.automaton.longest_prefix, self.usable.get, self.sizes, self.pairs.get
         )
-        failed: set[int] = set()
+        never, failed = self.never, set()
         taken: list[int] = []
         at, last, token = 0, -1, -2  # -1: none, -2: not yet looked for
         while at < size:
@@ -188,7 +189,7 @@ class Coder:
                     token = usable(head[:length]) if length else -1
             while token >= 0 and (
                 at + sizes[token] in failed
-                or last >= 0 and not (pairs((last, token)) or self.compatible(last, token))
+                or last >= 0 and not (pairs(last * never + token) or self.compatible(last, token))
             ):
                 token = self.shorter(token)
             if token >= 0:
