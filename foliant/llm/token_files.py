@@ -94,8 +94,8 @@ class WordIds:
         packed, stops = ids.tobytes(), (4 * stops).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; short ones are kept."""
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of new words."""
         found, parts, new = {}, [], {}
         for word in words:
             core = word.rstrip(SIGNS)
@@ -115,31 +115,22 @@ class WordIds:
         for word, core, after in parts:
             ids = learnt.get(core) or self.kept[core]
             found[word] = ids + signs[after] if after else ids
-        for some in (found, learnt):
-            self.kept.update((w, ids) for w, ids in some.items() if len(w) <= KEPT_LENGTH)
-        return found
+        self.kept.update(found)
+        self.kept.update((core, ids) for core, ids in learnt.items() if len(core) <= KEPT_LENGTH)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of texts."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         split = [text.lower().split() for text in texts]
-        known = self.kept
-        new = {word for some in split for word in some} - known.keys()
+        new = set().union(*split) - self.kept.keys()
         if new:
-            known = Known(self.kept, self.learn(list(new)))
-        return [b"".join(map(known.__getitem__, some)) for some in split]
-
-
-class Known(dict):
-    """New words, and those kept before."""
-
-    def __init__(self, kept: dict, new: dict):
-        super().__init__(new)
-        self.kept = kept
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.kept[word]
+            self.learn(list(new))
+        packed = [b"".join(map(self.kept.__getitem__, some)) for some in split]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del self.kept[word]
+        return packed
 
 
 def _stretches(text: str) -> Iterator[str]:
