@@ -324,3 +324,7 @@ def test_nothing_to_learn_from(spark):
     rows = brown_classes.scores(small_model(docs), "doc_id").collect()
     assert len(rows) == 2 and all(math.isfinite(r.score) and r.n_known == 0 for r in rows)
     assert brown_classes.scores(small_model(docs.limit(0)), "doc_id").count() == 0
+
+
+def test_similar_joins_every_slice():
+    assert sorted(similar(0.8).slices()) == [(n, at) for n in range(8) for at in (0, 32)]
