@@ -7,6 +7,7 @@ wider fingerprints, from mixing that hash again.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
@@ -37,15 +38,36 @@ def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(words: list[bytes], size: int, numbers: int = 1, seed: int = 42) -> np.ndarray:
-    """Fingerprint as so many unsigned 64-bit numbers; no words: zeros."""
+def _hashes(words: list[bytes], size: int, seed: int):
+    """Hashes of the shingles, repeats included, in bounded parts."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    counts, total, found = np.zeros((numbers, 64), dtype=np.int64), 0, shingles(words, size)
+    digest, found = xxhash.xxh64_intdigest, shingles(words, size)
     while some := [digest(shingle, seed) for shingle in islice(found, SHINGLES_AT_ONCE)]:
-        hashes = np.array(some, dtype="<u8")
-        total += len(some)
+        yield np.array(some, dtype="<u8")
+
+
+def hash_set(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order."""
+    parts = list(_hashes(words, size, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def fingerprint(words: list[bytes], size: int, numbers: int = 1, seed: int = 42) -> np.ndarray:
+    """Fingerprint as so many unsigned 64-bit numbers; no words: zeros."""
+    return _print(_hashes(words, size, seed), numbers)
+
+
+def set_fingerprint(hashes: np.ndarray, numbers: int = 1) -> np.ndarray:
+    """The same of a set of hashes, each of which counts once."""
+    parts = range(0, len(hashes), SHINGLES_AT_ONCE)
+    return _print((hashes[at : at + SHINGLES_AT_ONCE] for at in parts), numbers)
+
+
+def _print(parts: Iterable[np.ndarray], numbers: int) -> np.ndarray:
+    counts, total = np.zeros((numbers, 64), dtype=np.int64), 0
+    for hashes in parts:
+        total += len(hashes)
         for i in range(numbers):
             octets = (_mixed(hashes, i) if i else hashes).view(np.uint8).reshape(-1, 8)
             counts[i] += np.unpackbits(octets, axis=1, bitorder="little").sum(

@@ -11,13 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import brown_classes, warc
-from foliant.llm.binary_trie import near_pairs, trie_links
+from foliant.llm.binary_trie import Forest, near_pairs, trie_links
 from foliant.llm.block_names import exact_duplicates
 from foliant.llm.components import components
 from foliant.llm.near_duplicates import NearRule, near_components, similar
 from foliant.llm.path_templates import TemplateRule, judge_urls
 from foliant.llm.shared import stored, words
 from foliant.llm.simhash import fingerprint
+from foliant.llm.similar_sets import set_links
 from foliant.llm.uniform_shards import hypergeometric, matrix_row, uniform_shards
 
 
@@ -328,3 +329,46 @@ def test_nothing_to_learn_from(spark):
 
 def test_similar_joins_every_slice():
     assert sorted(similar(0.8).slices()) == [(n, at) for n in range(8) for at in (0, 32)]
+
+
+def jaccard(a, b):
+    one, two = (set(zip(*(words(t)[i:] for i in range(5)))) for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("elements_per_group", [600, 1 << 22])
+def test_similar_is_the_jaccard_of_sets(spark, elements_per_group):
+    draw = random.Random(8)
+    prose = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+    line = prose(12)
+    texts = [" ".join(line * 40 + prose(60)) for _ in range(4)]  # one repeated line, little else
+    base = prose(200)
+    texts += [" ".join(base), " ".join(base + base[:5] * 60)]  # 0.8 as sets, not as multisets
+    for n in (0, 5, 10, 15, 20, 25, 30):  # beyond 0.8 and below
+        texts += [" ".join(base[: 200 - 2 * n] + prose(2 * n)) for _ in range(3)]
+    parent = list(range(len(texts)))
+    top = lambda i: i if parent[i] == i else top(parent[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_components(docs, similar(0.8), elements_per_group=elements_per_group).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: top(i) for i in range(len(texts))}
+
+
+def test_set_links_against_brute_force():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 14, 12)) for _ in range(60)]
+    for joined in (np.zeros(60, bool), np.arange(60) % 9 == 0):
+        i, j = set_links(np.concatenate(sets), np.array([len(s) for s in sets]), joined, 0.8)
+        parent = Forest(60)
+        parent.join(i, j)
+        wanted = Forest(60)
+        for a in range(60):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if joined[a] & joined[b] or both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                    wanted.join(np.array([a]), np.array([b]))
+        assert (parent.roots(np.arange(60)) == wanted.roots(np.arange(60))).all()
