@@ -191,7 +191,7 @@ def _node_pairs(
 
 def trie_links(
     items: DataFrame, *, bits: int = BITS, budget: int = 2, radius: int | None = None,
-    keys_per_group: int = KEYS_PER_GROUP,
+    keys_per_group: int = KEYS_PER_GROUP, crowd: int | None = None,
 ) -> DataFrame:
     """Links (a, b) that connect all items within the budget of each other.
 
@@ -199,7 +199,30 @@ def trie_links(
     With ``radius``, a column ``wide`` holds a longer fingerprint as a list, and
     items within the budget are linked only if these are within the radius.
     ``items`` is read several times and should be a written table.
+
+    Where links are only candidates, ``crowd`` bounds the items of one key: more
+    are all linked without regard to the radius, by one of them that stands for
+    all, and so are keys within the budget.  No group then holds over twice as
+    many, or ``keys_per_group`` if that is more.
     """
+    stars = None
+    if bits < BITS:  # groups compare whole keys
+        items = items.withColumn("key", F.col("key").bitwiseAND(F.lit(-1 << (BITS - bits))))
+    if crowd is not None:
+        crowded = stored(
+            items.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+            .filter(F.col("n") > crowd).select("key", "least"), "trie-crowds",
+        )
+        if not crowded.isEmpty():
+            # Read from a table, so that adaptive execution can split a key with very many rows.
+            within = items.join(crowded, "key", "left")
+            stars = within.filter("id != least").select(
+                F.col("id").alias("a"), F.col("least").alias("b"))
+            items = stored(
+                within.filter("least IS NULL OR id = least").select(
+                    "id", "key", F.when(F.col("least").isNull(), F.col("wide")).alias("wide")
+                ), "trie-items",
+            )
     columns = ["id", "key"] + (["wide"] if radius is not None else [])
     sides = []
     for depth, pairs in _node_pairs(items.select("key"), bits, budget, keys_per_group):
@@ -225,8 +248,13 @@ def trie_links(
         first = int((side == 0).sum())
         wide = None
         if radius is not None:
-            flat = table.column("wide").combine_chunks().flatten().to_numpy()
-            wide = flat.view(np.uint64).reshape(len(ids), -1)[order]
+            lists = table.column("wide").combine_chunks()
+            stands = lists.is_null().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            numbers = len(flat) // max(1, len(stands) - int(stands.sum()))
+            wide = np.zeros((len(ids), numbers), dtype=np.uint64)
+            wide[~stands] = flat.reshape(-1, numbers) if numbers else 0
+            wide, stands = wide[order], stands[order]
         forest, shift = Forest(len(ids)), 0 if p == q else first
         found = near_pairs(
             keys[:first], None if p == q else keys[first:], depth, diff, budget, bits
@@ -235,9 +263,11 @@ def trie_links(
             j = j + shift
             if wide is not None:
                 close = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= radius
+                close |= stands[i] | stands[j]
                 i, j = i[close], j[close]
             forest.join(i, j)
         i, j = forest.links()
         return pa.table({"a": ids[i], "b": ids[j]})
 
-    return rows.groupBy("depth", "p", "q").applyInArrow(linked, "a bigint, b bigint")
+    found = rows.groupBy("depth", "p", "q").applyInArrow(linked, "a bigint, b bigint")
+    return found if stars is None else found.unionByName(stars)

@@ -20,6 +20,9 @@ from foliant.llm.shared import stored, words
 from foliant.llm.simhash import fingerprint, hash_set, set_fingerprint
 from foliant.llm.similar_sets import ELEMENTS_PER_GROUP, exact_links
 
+#: Texts that share a slice beyond which all of them are candidates of each other.
+CROWD = 1024
+
 
 @dataclass(frozen=True)
 class NearRule:
@@ -168,6 +171,7 @@ def near_components(
         found = stored(trie_links(
             items, bits=rule.bits, budget=rule.budget, radius=rule.radius,
             keys_per_group=keys_per_group,
+            crowd=None if rule.similarity is None else min(CROWD, keys_per_group // 2),
         ), "trie-links")
         links = found if links is None else links.unionByName(found)
     if rule.similarity is not None:

@@ -3,14 +3,16 @@
 import base64
 import hashlib
 import math
+import os
 import random
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import brown_classes, warc
+from foliant.llm import binary_trie, brown_classes, warc
 from foliant.llm.binary_trie import Forest, near_pairs, trie_links
 from foliant.llm.block_names import exact_duplicates
 from foliant.llm.components import components
@@ -20,6 +22,7 @@ from foliant.llm.shared import stored, words
 from foliant.llm.simhash import fingerprint
 from foliant.llm.similar_sets import set_links
 from foliant.llm.uniform_shards import hypergeometric, matrix_row, uniform_shards
+from foliant.runtime import shared_dir
 
 
 def lowered(text):
@@ -372,3 +375,36 @@ def test_set_links_against_brute_force():
                 if joined[a] & joined[b] or both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
                     wanted.join(np.array([a]), np.array([b]))
         assert (parent.roots(np.arange(60)) == wanted.roots(np.arange(60))).all()
+
+
+def test_a_crowd_on_one_slice_makes_no_large_group(spark, monkeypatch):
+    """Distinct wide fingerprints that share a slice, in groups of at most so many rows."""
+    draw = np.random.default_rng(5)
+    wide = draw.integers(0, 2**62, (300, 2), dtype=np.uint64)
+    wide[:200, 0] = (wide[0, 0] >> np.uint64(32) << np.uint64(32)) | (wide[:200, 0] & np.uint64(0xFFFFFFFF))
+    wide[200, 0] = wide[0, 0] ^ np.uint64(1 << 40)  # near the crowd
+    wide[201] = wide[202] ^ np.uint64(1 << 50)  # near one another, far from the crowd
+    items = stored(spark.createDataFrame(
+        [(i, int(w[0]), [int(x) for x in w]) for i, w in enumerate(wide.view(np.int64))],
+        "id long, key long, wide array<long>"), "wide-keys")
+    seen = str(shared_dir(spark)) + "/group-sizes-" + uuid.uuid4().hex
+    os.makedirs(seen)
+    plain = binary_trie.near_pairs
+
+    def watched(a, b, *rest):
+        size = len(a) + (0 if b is None else len(b))
+        open(f"{seen}/{size}-{uuid.uuid4().hex}", "w").close()
+        return plain(a, b, *rest)
+
+    monkeypatch.setattr(binary_trie, "near_pairs", watched)
+    found = {r.a: r.b for r in components(trie_links(
+        items, bits=32, budget=3, radius=20, keys_per_group=64, crowd=32)).collect()}
+    assert {i for i in range(300) if found.get(i, i) == 0} == set(range(201))
+    assert found[202] == 201 and not {i for i in found if i > 202}
+    assert max(int(name.split("-")[0]) for name in os.listdir(seen)) <= 64
+
+
+def test_only_the_first_bits_of_a_key_count(spark):
+    rows = [(0, 7 << 40, [0]), (1, (7 << 40) | 0x7FFFFFFF, [0]), (2, 0x7FFF << 40, [0])]
+    items = stored(spark.createDataFrame(rows, "id long, key long, wide array<long>"), "keys")
+    assert [tuple(r) for r in trie_links(items, bits=32, budget=3, radius=1).collect()] == [(1, 0)]
