@@ -15,6 +15,7 @@ labelled rows; every document is scored, whole.
 from __future__ import annotations
 
 import re
+import warnings
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,8 +36,9 @@ KEPT_WORDS = 100_000
 class FitRule:
     """The sample's bounds and the fit.
 
-    ``rows_per_label`` and ``longest_text`` (characters) bound the sample of
-    labelled rows that the classifier is fitted on; nothing else is bounded.
+    ``rows_per_label`` bounds the sample of labelled keys that the classifier is
+    fitted on, and ``longest_text`` (characters) what is taken of each text: of
+    longer ones a sample of sentences.  Nothing else is bounded.
     """
 
     rows_per_label: int = 3000
@@ -76,44 +78,56 @@ def _noisy_or(harmless_logs: np.ndarray) -> np.ndarray:
     return -np.expm1(harmless_logs)
 
 
-def fit(rows: Iterable[tuple[str, int]], rule: FitRule, totals: tuple[int, int]) -> Model:
+def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
     """Fit on (text, label) rows; ``totals`` are all labelled rows by label, for their weights.
 
+    A third value says how many sentences each of the text's stands for, so that
+    a sample of a long text's sentences counts for its whole length.
+
     Without rows of one label there is nothing to tell apart: the weights stay
     zero, and the bias leaves texts harmless.
     """
     rows = list(rows)
     weights = np.zeros(rule.dimensions)
-    labels = np.array([label for _, label in rows], dtype=np.int64)
+    labels = np.array([row[1] for row in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(weights.astype(np.float32), -30.0, rule)
-    known: dict[str, list[int]] = {}
-    at, of_sentence, of_document = array("i"), array("i"), array("i")
-    for document, (text, _) in enumerate(rows):
-        for _, _, words in sentences(text or ""):
+    # Words are kept once with their features, and sentences as words.
+    known: dict[str, int] = {}
+    at, of_word = array("i"), array("i")
+    word_at, of_sentence, of_document = array("i"), array("i"), array("i")
+    for document, row in enumerate(rows):
+        for _, _, words in sentences(row[0] or ""):
             for word in sorted(words):
                 if word not in known:
-                    known[word] = features(word, rule)
-                at.extend(known[word])
-                of_sentence.extend([len(of_document)] * len(known[word]))
+                    own = features(word, rule)
+                    at.extend(own)
+                    of_word.extend([len(known)] * len(own))
+                    known[word] = len(known)
+                word_at.append(known[word])
+                of_sentence.append(len(of_document))
             of_document.append(document)
-    at, of_sentence, of_document = (np.asarray(a) for a in (at, of_sentence, of_document))
+    at, of_word, word_at, of_sentence, of_document = (
+        np.asarray(a) for a in (at, of_word, word_at, of_sentence, of_document))
     share = np.array([totals[y] / max(1, int((labels == y).sum())) for y in (0, 1)])[labels]
     share = share / share.sum()
+    times = np.array([row[2] if len(row) > 2 else 1.0 for row in rows])[of_document]
     bias, first, second = rule.first_bias, np.zeros(rule.dimensions + 1), np.zeros(
         rule.dimensions + 1)
     positive = labels[of_document] == 1
     for step in range(1, rule.epochs + 1):
-        logits = bias + np.bincount(of_sentence, weights[at], minlength=len(of_document))
+        of_words = np.bincount(of_word, weights[at], minlength=len(known))
+        logits = bias + np.bincount(of_sentence, of_words[word_at], minlength=len(of_document))
         chance = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         harmless = np.log1p(-np.minimum(chance, 1 - 1e-9))
         toxic = np.maximum(
-            _noisy_or(np.bincount(of_document, harmless, minlength=len(rows))), 1e-9
+            _noisy_or(np.bincount(of_document, times * harmless, minlength=len(rows))), 1e-9
         )
         blame = np.where(positive, -chance * ((1 - toxic) / toxic)[of_document], chance)
-        blame *= share[of_document]
+        blame *= share[of_document] * times
+        word_blame = np.bincount(word_at, blame[of_sentence], minlength=len(known))
         slope = np.append(
-            np.bincount(at, blame[of_sentence], minlength=rule.dimensions) + rule.decay * weights,
+            np.bincount(at, word_blame[of_word], minlength=rule.dimensions) + rule.decay * weights,
             blame.sum(),
         )
         first = 0.9 * first + 0.1 * slope
@@ -131,23 +145,68 @@ def train(
 ) -> Model:
     """Fit on a sample of the labelled documents for which ``training``, on the key, holds.
 
-    At most ``rows_per_label`` keys per label are taken in the order of a hash
-    of the key; their texts are found by a scan that joins this bounded list.
-    Of repeated keys the larger label counts; null keys and labels are left out.
+    At most ``rows_per_label`` keys per label that have a text are taken in the
+    order of a hash of the key; their texts are found by a scan that joins this
+    bounded list.  Of repeated keys the larger label and one text count; null
+    keys and labels are left out.  A label without rows is warned of.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & training).groupBy(
         key).agg(F.max(label).cast("int").alias("_label"))
     counts = dict(marked.groupBy("_label").count().collect())  # two rows
     order = [F.xxhash64(key), F.col(key)]
+    present = docs.filter(F.length(text) > 0).select(key)
+    usable = marked.join(present, key, "left_semi")
     chosen = None
     for value in (0, 1):
-        some = marked.filter(F.col("_label") == value).orderBy(*order).limit(rule.rows_per_label)
+        some = usable.filter(F.col("_label") == value).orderBy(*order).limit(rule.rows_per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).filter(
-        F.length(text) <= rule.longest_text
-    )
-    sample = sorted(tuple(row) for row in rows.select(key, text, "_label").collect())
-    return fit([row[1:] for row in sample], rule, (counts.get(0, 0), counts.get(1, 0)))
+    rows = docs.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key)
+    bounded = _bounded(F.col(text), rule.longest_text).alias("_text")
+    least = F.min(F.struct(F.xxhash64("_text.text"), "_text")).getField("_text").alias("_text")
+    rows = rows.select(key, "_label", bounded).groupBy(key, "_label").agg(least)
+    sample = [row[1:] for row in sorted(
+        tuple(row) for row in rows.select(key, "_text.text", "_label", "_text.times").collect())]
+    for value in {0, 1} - {row[1] for row in sample}:
+        warnings.warn(f"no text with {label} = {value} to fit on: every text will count as harmless")
+    return fit(sample, rule, (counts.get(0, 0), counts.get(1, 0)))
+
+
+def sampled_sentences(text: str, most: int) -> tuple[str, float]:
+    """As many sentences of a text as ``most`` characters hold, and how many each stands for.
+
+    They are taken in the order of hashes.  Where the first alone is longer, its
+    distinct words in the order of theirs.
+    """
+    import xxhash
+
+    def taken(parts: Iterable[tuple[int, str]]) -> list[str]:
+        some, room = [], most
+        for at, part in sorted(parts, key=lambda p: (xxhash.xxh64_intdigest(p[1].encode(), p[0]), p)):
+            room -= len(part) + 1
+            if room < 0:
+                break
+            some.append(part)
+        return some
+
+    whole = list(sentences(text))
+    some = taken((start, text[start:end]) for start, end, _ in whole)
+    if not some and whole:
+        first = min(whole, key=lambda s: xxhash.xxh64_intdigest(text[s[0]:s[1]].encode(), s[0]))
+        some = [" ".join(taken((0, word) for word in first[2]))]
+    return "\n".join(some), len(whole) / max(1, len(some))
+
+
+def _bounded(text: Column, most: int) -> Column:
+    """``struct<text, times>`` with the whole text and 1 up to so many characters."""
+    kind = pa.struct([("text", pa.string()), ("times", pa.float64())])
+
+    @F.arrow_udf("struct<text:string,times:double>")
+    def bounded(texts: pa.Array) -> pa.Array:
+        found = (None if t.as_py() is None else sampled_sentences(t.as_py(), most) for t in texts)
+        return pa.array([None if f is None else dict(zip(("text", "times"), f)) for f in found], kind)
+
+    whole = F.struct(text.alias("text"), F.lit(1.0).alias("times"))
+    return F.coalesce(bounded(F.when(F.length(text) > most, text)), whole)
 
 
 class Scorer:

@@ -191,3 +191,29 @@ def test_multi_index_gives_all_within_the_radius():
             number ^= 1 << bit
         assert index.within_radius(number) == {
             i for i, own in enumerate(index.prints) if (own ^ number).bit_count() <= 15}
+
+
+def test_long_labelled_texts_take_part_in_the_fit(spark):
+    clean = " ".join(f"Sentence {i} of a long report." for i in range(3000))
+    rows = [(i, clean + " Quite nasty words." * 300 * (i % 2)) for i in range(12)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(99, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, training=F.lit(True))
+    scorer = toxicity.Scorer(model)
+    assert scorer.score(rows[1][1], 0.5)[0] > 0.7 > scorer.score(rows[0][1], 0.5)[0]
+
+
+def test_texts_fill_the_sample_and_an_empty_label_is_warned_of(spark):
+    docs = spark.createDataFrame([(5, "nasty words."), (6, "kind words.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, toxic int")
+    rule = toxicity.FitRule(rows_per_label=1)
+    assert toxicity.train(docs, labels, training=F.lit(True), rule=rule).bias > -30
+    with pytest.warns(UserWarning, match="toxic = 0"):
+        toxicity.train(docs, labels.filter("toxic = 1"), training=F.lit(True))
+
+
+def test_sampled_sentences_are_bounded():
+    assert toxicity.sampled_sentences("One. Two. Six.", 10)[1] == 3 / 2
+    text = "One sentence. Two sentences! " * 50
+    assert 0 < len(toxicity.sampled_sentences(text, 300)[0]) <= 300
+    assert 0 < len(toxicity.sampled_sentences("word" + " other words" * 90, 40)[0]) <= 40
