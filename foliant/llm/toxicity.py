@@ -82,7 +82,8 @@ def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
     """Fit on (text, label) rows; ``totals`` are all labelled rows by label, for their weights.
 
     A third value says how many sentences each of the text's stands for, so that
-    a sample of a long text's sentences counts for its whole length.
+    a sample of a long text's sentences counts for its whole length, and a fourth
+    how many rows the text does.
 
     Without rows of one label there is nothing to tell apart: the weights stay
     zero, and the bias leaves texts harmless.
@@ -109,7 +110,9 @@ def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
             of_document.append(document)
     at, of_word, word_at, of_sentence, of_document = (
         np.asarray(a) for a in (at, of_word, word_at, of_sentence, of_document))
-    share = np.array([totals[y] / max(1, int((labels == y).sum())) for y in (0, 1)])[labels]
+    copies = np.array([row[3] if len(row) > 3 else 1 for row in rows])
+    share = np.array([totals[y] / max(1, int(copies[labels == y].sum())) for y in (0, 1)])[labels]
+    share = share * copies
     share = share / share.sum()
     times = np.array([row[2] if len(row) > 2 else 1.0 for row in rows])[of_document]
     bias, first, second = rule.first_bias, np.zeros(rule.dimensions + 1), np.zeros(
@@ -147,25 +150,27 @@ def train(
 
     At most ``rows_per_label`` keys per label that have a text are taken in the
     order of a hash of the key; their texts are found by a scan that joins this
-    bounded list.  Of repeated keys the larger label and one text count; null
+    bounded list.  Of repeated keys the larger label counts, and one text for
+    all their rows; null
     keys and labels are left out.  A label without rows is warned of.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & training).groupBy(
         key).agg(F.max(label).cast("int").alias("_label"))
     counts = dict(marked.groupBy("_label").count().collect())  # two rows
     order = [F.xxhash64(key), F.col(key)]
-    present = docs.filter(F.length(text) > 0).select(key)
+    present = docs.filter(F.col(text).isNotNull()).select(key)
     usable = marked.join(present, key, "left_semi")
     chosen = None
     for value in (0, 1):
         some = usable.filter(F.col("_label") == value).orderBy(*order).limit(rule.rows_per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key)
+    rows = docs.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key)
     bounded = _bounded(F.col(text), rule.longest_text).alias("_text")
     least = F.min(F.struct(F.xxhash64("_text.text"), "_text")).getField("_text").alias("_text")
-    rows = rows.select(key, "_label", bounded).groupBy(key, "_label").agg(least)
+    rows = rows.select(key, "_label", bounded).groupBy(key, "_label").agg(least, F.count(F.lit(1)).alias("_copies"))
     sample = [row[1:] for row in sorted(
-        tuple(row) for row in rows.select(key, "_text.text", "_label", "_text.times").collect())]
+        tuple(row) for row in rows.select(
+            key, "_text.text", "_label", "_text.times", "_copies").collect())]
     for value in {0, 1} - {row[1] for row in sample}:
         warnings.warn(f"no text with {label} = {value} to fit on: every text will count as harmless")
     return fit(sample, rule, (counts.get(0, 0), counts.get(1, 0)))
