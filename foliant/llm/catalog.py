@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.llm import (  # noqa: F401  (importing a module registers its queries)
+    audit_queries,
     bpe_queries,
     class_queries,
     dedup_queries,
