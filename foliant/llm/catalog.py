@@ -8,6 +8,8 @@ from foliant.llm import (  # noqa: F401  (importing a module registers its queri
     class_queries,
     dedup_queries,
     leak_queries,
+    mining_queries,
+    minhash_queries,
     near_queries,
     shard_queries,
     token_queries,
