@@ -35,7 +35,7 @@ TERM_BYTES = bytes(
 TEXT_AT_ONCE, TERMS_HELD = 1 << 20, 1 << 18
 ROWS_AT_ONCE = 1 << 14
 #: Sources in a block of the pair tables, term counts in one task group, shares worked on at once.
-SOURCES_PER_BLOCK, COUNTS_PER_GROUP, SHARES_AT_ONCE = 256, 1 << 20, 1 << 20
+SOURCES_PER_BLOCK, COUNTS_PER_GROUP, SHARES_AT_ONCE = 256, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
