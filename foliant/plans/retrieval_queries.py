@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import RetrievalConfig
 from foliant.functions import vectors as vec
-from foliant.operators import retrieval
+from foliant.operators import cells, retrieval
 from foliant.plans import inputs as I
 from foliant.plans import sql as S
 from foliant.plans.registry import ORACLES, query
@@ -130,6 +130,15 @@ def j5_similar_pairs(spark, sf_dir):
     ).select("query_id", "id", "score")
 
 
+@query("j5_all_pairs", S.with_ctes(
+    _SCORES, f"SELECT query_id, id, score FROM ranks WHERE score >= {CONFIG.similarity_threshold}"
+))
+def j5_all_pairs(spark, sf_dir):
+    """All chunks above the threshold of each query, read from the cells that can hold one."""
+    return cells.pairs_above(
+        I.questions(spark, sf_dir), _bounded_cells(spark, sf_dir), CONFIG.similarity_threshold)
+
+
 @query("v4_flat_top_k", S.with_ctes(
     _SCORES, "SELECT query_id, id, score, rank FROM ranks WHERE rank <= 5"
 ))
@@ -178,6 +187,36 @@ def _vector_search(spark, sf_dir, config):
     return retrieval.top_k(heads, vectors, config=config)
 
 
+def _bounded_cells(spark, sf_dir):
+    path = fresh_path(spark, "bounded-cells")
+    cells.write_bounded_cells(I.stored_embeddings(spark, sf_dir), path)
+    return path
+
+
+@query("v5_exact_cells", ORACLES["v4_flat_top_k"])
+def v5_exact_cells(spark, sf_dir):
+    """Cells with bounds at the default settings: rows equal the flat search, parts are left unread."""
+    return cells.exact_cell_top_k(I.questions(spark, sf_dir), _bounded_cells(spark, sf_dir))
+
+
+@query("v5_exact_cells_threshold", ORACLES["f5_similarity_threshold"])
+def v5_exact_cells_threshold(spark, sf_dir):
+    return cells.exact_cell_top_k(
+        I.questions(spark, sf_dir), _bounded_cells(spark, sf_dir),
+        threshold=CONFIG.similarity_threshold)
+
+
+@query("v5_exact_cells_l2", ORACLES["v4_flat_top_k_l2"])
+def v5_exact_cells_l2(spark, sf_dir):
+    """The same by distances, over the given vectors."""
+    config, path = replace(CONFIG, metric="l2"), fresh_path(spark, "bounded-cells")
+    heads = I.label_heads(spark, sf_dir).select(
+        F.col("label").alias("query_id"), F.col("head").alias("embedding"))
+    vectors = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    cells.write_bounded_cells(vectors, path, config=config)
+    return cells.exact_cell_top_k(heads, path, config=config)
+
+
 def _stored_cells(spark, sf_dir):
     path = fresh_path(spark, "cells")
     retrieval.write_cells(I.stored_embeddings(spark, sf_dir), path)

@@ -60,3 +60,29 @@ def _is_spread(df: DataFrame, cores: int) -> bool:
             return True
         node = node.children().head()
     return False
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written below the shared folder and read back.
+
+    Cuts the lineage where a loop goes on with its own results, and survives lost
+    executors.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a folder or file through the file system that Spark reads it by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly below a folder; none if it does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(at))
