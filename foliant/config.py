@@ -52,6 +52,12 @@ class RetrievalConfig:
     broadcast_bytes: int = 64 * 1024 * 1024
 
 
+@dataclass(frozen=True)
+class IngestConfig:
+    path_buckets: int = 64              # of the document list, fixed for a folder
+    compact_every: int = 16             # batches whose lists are merged at once
+
+
 @dataclass(frozen=True)
 class ExportConfig:
     include_metadata: bool = True

@@ -101,3 +101,38 @@ def embed(text: Column | str, embedder: Embedder, truncate_dim: int | None = Non
             yield _as_arrow(vectors[:, :truncate_dim] if truncate_dim else vectors)
 
     return run(F.col(text) if isinstance(text, str) else text)
+
+
+def embed_or_reason(text: Column | str, embedder: Embedder, batch_size: int | None = None) -> Column:
+    """``struct<embedding, reason>``: a text that the model refuses gets a reason instead (V9).
+
+    A batch that fails is tried again text by text.  Vectors that are not finite are
+    refused, too.  A model that cannot be opened fails the task.
+    """
+    kind = pa.struct([("embedding", pa.list_(pa.float32())), ("reason", pa.string())])
+
+    def one(texts: list[str]) -> list[tuple]:
+        try:
+            vectors = np.asarray(embedder.encode(texts), dtype=np.float32)
+            if len(vectors) != len(texts):
+                raise ValueError("the model returned another number of vectors than texts")
+        except Exception as error:  # noqa: BLE001  (whatever the model raises is the reason)
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [found for text in texts for found in one([text])]
+        finite = np.isfinite(vectors).all(axis=1)
+        return [(v.tolist(), None) if ok else (None, "the vector is not finite")
+                for v, ok in zip(vectors, finite)]
+
+    @F.arrow_udf("struct<embedding:array<float>,reason:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embedder.open()
+        for batch in batches:
+            texts = [t or "" for t in strings(batch)]
+            step = batch_size or max(len(texts), 1)
+            found = [row for i in range(0, len(texts), step) for row in one(texts[i:i + step])]
+            yield pa.StructArray.from_arrays([
+                pa.array([v for v, _ in found], pa.list_(pa.float32())),
+                pa.array([r for _, r in found], pa.string())], fields=list(kind))
+
+    return run(F.col(text) if isinstance(text, str) else text)

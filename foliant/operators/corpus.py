@@ -64,6 +64,34 @@ def changed_documents(
     return incoming.join(stored, _pairs(stored, incoming, keys), "left_anti")
 
 
+def newest_by_path(
+    incoming: DataFrame, version: str, keys: tuple[str, ...] = DOCUMENT
+) -> DataFrame:
+    """One row per document, that with the largest ``version`` (U3); of equal ones any."""
+    columns = incoming.columns
+    rank = F.struct(F.col(version), F.xxhash64(*columns))
+    return incoming.groupBy(*keys).agg(
+        F.max_by(F.struct(*columns), rank).alias("_newest")
+    ).select("_newest.*")
+
+
+def newer_documents(
+    incoming: DataFrame, existing: DataFrame, version: str, keys: tuple[str, ...] = DOCUMENT
+) -> DataFrame:
+    """Documents that are new or have a larger version than all of the stored ones.
+
+    The stored rows are cut down to the keys of the incoming documents first, like in
+    ``new_documents``.  A missing version is less than any other.
+    """
+    asked = incoming.select(*keys)
+    stored = existing.select(
+        *(F.col(key).alias(f"_{key}") for key in keys), F.col(version).alias("_version"))
+    known = stored.join(asked, _pairs(stored, asked, keys), "left_semi").groupBy(
+        *(f"_{key}" for key in keys)).agg(F.max("_version").alias("_version"))
+    no_newer = F.coalesce(incoming[version] <= known["_version"], incoming[version].isNull())
+    return incoming.join(known, _pairs(known, incoming, keys) & no_newer, "left_anti")
+
+
 def distinct_documents(chunks: DataFrame) -> DataFrame:
     """Paths as a set."""
     return chunks.select("session", "source_file").distinct()
