@@ -8,6 +8,8 @@ match) segments anchored with ``\\G`` and the segment lengths are summed up.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +153,60 @@ def optimal_chunk_end(
     )
 
 
+def marks_before(positions: Column, marks: Column) -> Column:
+    """How many marks lie at or before each position; both ``array<bigint>``, marks ascending.
+
+    One binary search for each position, so a document takes time in proportion to
+    its length, however many marks and positions it has.
+    """
+    @F.arrow_udf("array<int>")
+    def counted(places: pa.Array, known: pa.Array) -> pa.Array:
+        found, sizes = [], []
+        for own, of in zip(places, known):
+            own, of = (() if x.values is None else x.values.to_numpy() for x in (own, of))
+            found.append(np.searchsorted(of, own, side="right").astype(np.int32))
+            sizes.append(len(own))
+        offsets = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+    return counted(positions, marks)
+
+
+def optimal_chunk_ends(
+    text_length: Column, starts: Column, boundaries: Column, target: int
+) -> Column:
+    """``optimal_chunk_end`` for an array of starts, by binary search.
+
+    Only the last boundary up to the ideal end and the first one after it can be the nearest.
+    """
+    ideals = F.transform(starts, lambda s: s + F.lit(target))
+
+    def chosen(start: Column, before: Column) -> Column:
+        ideal = start + F.lit(target)
+        near = F.array(*(F.get(boundaries, before - shift) for shift in (1, 0)))
+        usable = F.filter(near, lambda b: (b - start >= target * 0.5) & (b - start <= target * 1.5)
+                          & (b > start) & (F.abs(b - ideal) < target))
+        best = F.array_min(F.transform(
+            usable, lambda b: F.struct(F.abs(b - ideal).alias("gap"), b.alias("pos"))))
+        return F.when(ideal >= text_length, text_length).otherwise(
+            F.coalesce(best["pos"], ideal)).cast("bigint")
+
+    return F.zip_with(starts, marks_before(ideals, boundaries), chosen)
+
+
+def sections_at(section_list: Column, positions: Column) -> Column:
+    """``section_at`` for an array of positions, by binary search."""
+    starts = F.transform(section_list, lambda s: s["start_position"])
+    return F.transform(marks_before(positions, starts), lambda n: F.coalesce(
+        F.get(section_list, n - 1)["title"], F.lit("Unknown")))
+
+
+def pages_at(breaks: Column, positions: Column) -> Column:
+    """``page_at`` for an array of positions, by binary search."""
+    return F.transform(marks_before(positions, breaks), lambda n: n + 1)
+
+
 def section_at(section_list: Column, position: Column) -> Column:
     """Title of the last section starting at or before a position (J3, as-of)."""
     before = F.filter(section_list, lambda s: s["start_position"] <= position)

@@ -93,8 +93,8 @@ def chunk_documents(
 
     Row-local: spans, cleaning, numbering (W1) and the overlap with the chunk
     before (W8) come out of one array per document, without a shuffle.
-    ``describe`` maps a chunk struct to more columns and may use columns of
-    the document, which are then not repeated for every chunk.
+    ``describe`` maps the array of chunks to arrays with a value for each of them, and may
+    use columns of the document, which are then not repeated for every chunk.
     """
     kept = [c for c in keep if c != "source_file"]
     used = [c for c in documents.columns if c not in ("source_file", text)]
@@ -104,15 +104,15 @@ def chunk_documents(
         "source_file", *used,
         chunk_array(F.col(text), config, F.col(whole) if whole else None).alias("_chunks"),
     )
-    described: list[str] = []
+    more = describe(F.col("_chunks")) if describe else {}
+    described = list(more)
+    arrays = arrays.select("*", *[column.alias(f"_{name}") for name, column in more.items()])
 
     def finish(c: Column, i: Column) -> Column:
-        more = describe(c) if describe else {}
-        described[:] = more
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"), c["content"].alias("content"),
             F.when(i > 0, F.get(F.col("_chunks"), i - 1)["end"] - c["start"]).alias("overlap"),
-            *[column.alias(name) for name, column in more.items()],
+            *[F.get(F.col(f"_{name}"), i).alias(name) for name in described],
         )
 
     with_overlap = F.transform(F.col("_chunks"), finish)
@@ -185,15 +185,21 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
 def located_chunks(
     documents: DataFrame, config: ChunkingConfig = ChunkingConfig(), *, text: str = "content"
 ) -> DataFrame:
-    """Chunks with the section and page they start in and their locator."""
+    """Chunks with the section and page they start in and their locator.
+
+    Row-local, in time linear in the document: each chunk start is searched in the
+    ascending marks.
+    """
     marked = spread(documents.select("source_file", text), "source_file").select(
         "source_file", text,
         st.sections(F.col(text)).alias("_sections"), st.page_breaks(F.col(text)).alias("_breaks"),
     )
-    chunks = chunk_documents(marked, config, text=text, describe=lambda c: {
-        "section": st.section_at(F.col("_sections"), c["start"]),
-        "page": st.page_at(F.col("_breaks"), c["start"]),
-    })
+    def located(chunks: Column) -> dict[str, Column]:
+        starts = F.transform(chunks, lambda c: c["start"])
+        return {"section": st.sections_at(F.col("_sections"), starts),
+                "page": st.pages_at(F.col("_breaks"), starts)}
+
+    chunks = chunk_documents(marked, config, text=text, describe=located)
     return chunks.withColumn("locator", st.locator(F.col("section"), F.col("page")))
 
 

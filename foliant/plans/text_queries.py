@@ -351,12 +351,11 @@ def t13_optimal_chunk_end(spark, sf_dir):
         "doc_id", F.length("content").cast("bigint").alias("n"),
         st.sentence_boundaries(F.col("content")).alias("boundaries"),
     )
-    starts = docs.withColumn("start", F.explode(F.array(
-        F.lit(0).cast("bigint"), F.floor(F.col("n") / 3)
-    )))
-    return starts.select("doc_id", "start", st.optimal_chunk_end(
-        F.col("n"), F.col("start"), F.col("boundaries"), 1000
-    ).alias("chunk_end"))
+    starts = docs.withColumn("starts", F.array(F.lit(0).cast("bigint"), F.floor(F.col("n") / 3)))
+    ends = st.optimal_chunk_ends(F.col("n"), F.col("starts"), F.col("boundaries"), 1000)
+    both = starts.select("doc_id", F.explode(F.arrays_zip("starts", ends.alias("ends"))).alias("both"))
+    return both.select(
+        "doc_id", F.col("both.starts").alias("start"), F.col("both.ends").alias("chunk_end"))
 
 
 @query("t15_format_timestamp", (

@@ -1,6 +1,9 @@
 """Offsets of sentences, paragraphs, pages, sections against Python regexes."""
 
+import bisect
+import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -98,3 +101,51 @@ def test_j3_j4_lookup(spark):
         structure.locator(F.lit("A"), F.lit(3)).alias("l"),
     ).first()
     assert tuple(row) == ("Unknown", "A", 1, 3, "section:A;page:3")
+
+
+def test_t13_j3_j4_for_arrays_equal_the_single_ones(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        marks = sorted(rng.sample(range(6000), rng.choice([0, 1, 5, 60])))
+        starts = sorted(rng.sample(range(6000), rng.choice([0, 1, 7])))
+        rows.append((i, 6000 + rng.randrange(900), starts, marks, [(f"h{m}", m) for m in marks]))
+    df = spark.createDataFrame(
+        rows, "i int, n bigint, starts array<bigint>, marks array<bigint>, "
+        "heads array<struct<title: string, start_position: bigint>>")
+    both = df.select("i", F.explode(F.arrays_zip(
+        "starts", structure.optimal_chunk_ends(F.col("n"), F.col("starts"), F.col("marks"), 1000).alias("e"),
+        structure.sections_at(F.col("heads"), F.col("starts")).alias("s"),
+        structure.pages_at(F.col("marks"), F.col("starts")).alias("p"))).alias("x"), "n", "marks", "heads")
+    start = F.col("x.starts")
+    wrong = both.filter(
+        (F.col("x.e") != structure.optimal_chunk_end(F.col("n"), start, F.col("marks"), 1000))
+        | (F.col("x.s") != structure.section_at(F.col("heads"), start))
+        | (F.col("x.p") != structure.page_at(F.col("marks"), start)))
+    assert both.count() > 100 and wrong.count() == 0
+
+
+def test_t17_time_is_linear_in_a_document(spark):
+    """Eight times the marks and chunks; a filter over all marks for each would take 64 times as long."""
+    def seconds(n):
+        row = spark.range(1).select(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint")).alias("marks"),
+            F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint")).alias("starts"))
+        begin = time.perf_counter()
+        row.select(F.size(structure.pages_at(F.col("marks"), F.col("starts")))).collect()
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(800_000) < 16 * max(seconds(100_000), 0.25)
+
+
+def test_t17_a_long_document(spark):
+    from foliant.operators import chunking
+
+    page = "1. Heading\n" + "word " * 190 + ".\n\n--- Page 1 ---\n\n"
+    text = page * 4000  # four million characters, thousands of marks and chunks
+    df = spark.createDataFrame([("a.txt", text)], "source_file string, content string")
+    rows = chunking.located_chunks(df).select("start_position", "page", "section").collect()
+    breaks = [m.start() for m in PAGE.finditer(text)]
+    assert len(rows) > 4000
+    assert all(r.page == 1 + bisect.bisect_right(breaks, r.start_position) for r in rows)
