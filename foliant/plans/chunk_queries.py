@@ -51,6 +51,24 @@ def g1_chunk_spans_markdown(spark, sf_dir):
     )
 
 
+#: Every byte of the UTF-8 text as the character of its number, so that SQL counts bytes.
+_BYTES = (
+    "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), "
+    "lambda h: chr(('0x' || h)::INTEGER)), '') AS text FROM (" + S.PLAIN + ")"
+)
+
+
+@query("g1_chunk_spans_bytes", S.with_ctes(
+    [f"paths AS ({S.documents()})", f"bytes AS ({_BYTES})",
+     "docs AS (SELECT b.doc_id, p.source_file, b.text FROM bytes b JOIN paths p USING (doc_id))",
+     *S.spans(size=400, overlap=90), S.pieces(400)], _SPANS_BODY
+))
+def g1_chunk_spans_bytes(spark, sf_dir):
+    """Sizes and offsets in bytes, also where characters have several."""
+    config = ChunkingConfig(chunk_size=400, chunk_overlap=90, unit="bytes")
+    return chunking.spans_table(_cleaned(spark, sf_dir), config)
+
+
 @query("g2_chunk_text", S.with_ctes(S.chunks(), _CHUNK_BODY))
 def g2_chunk_text(spark, sf_dir):
     return I.plain_chunks(spark, sf_dir).select(*_CHUNK_COLUMNS)

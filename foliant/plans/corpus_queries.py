@@ -11,6 +11,9 @@ from foliant.operators.extraction import text_chunks
 from foliant.plans import inputs as I
 from foliant.plans import sql as S
 from foliant.plans.registry import ORACLES, query
+from foliant.runtime import fresh_path
+from foliant.sinks import buckets
+from foliant.streaming import messages
 
 _EVENT_SESSIONS = (
     "SELECT concat('user_', user_id) AS name, min(ts) AS created_at, max(ts) AS last_modified, "
@@ -66,6 +69,24 @@ def j1_attach_embeddings(spark, sf_dir):
     )
 
 
+def _bucketed(spark, frame, name):
+    path = fresh_path(spark, name)
+    buckets.write_bucketed(frame, path, buckets=16)
+    return buckets.read_bucketed(spark, path)
+
+
+@query("j1_bucketed_embeddings", ORACLES["j1_attach_embeddings"])
+def j1_bucketed_embeddings(spark, sf_dir):
+    """Chunks and vectors stored in buckets of the id and joined bucket by bucket."""
+    chunks = _bucketed(spark, I.plain_chunks(spark, sf_dir), "chunk-buckets")
+    vectors = _bucketed(spark, _chunk_vectors(spark, sf_dir), "vector-buckets")
+    return corpus.attach_embeddings(chunks, vectors, "vec_id").select(
+        "id", is_embedded(F.col("embedding")).alias("embedded"),
+        F.round(F.col("embedding")[0].cast("double") * 1000000).cast("bigint").alias(
+            "first_component"),
+    )
+
+
 @query("v9_reject_incomplete", S.with_ctes([*S.chunks(), _CHUNK_VECTORS], (
     "SELECT id, source_file FROM chunks WHERE source_file NOT IN (SELECT source_file FROM chunks "
     "WHERE id NOT IN (SELECT id FROM vectors))"
@@ -119,6 +140,14 @@ def j6_answer_sources(spark, sf_dir):
     return found.select("session", "message_id", "ordinal", "chunk_id", "content", "source_file")
 
 
+@query("j6_bucketed_sources", ORACLES["j6_answer_sources"])
+def j6_bucketed_sources(spark, sf_dir):
+    """The same against chunks stored in buckets, which stay where they are."""
+    chunks = _bucketed(spark, I.plain_chunks(spark, sf_dir), "chunk-buckets")
+    found = corpus.answer_sources(I.chat(spark, sf_dir), chunks)
+    return found.select("session", "message_id", "ordinal", "chunk_id", "content", "source_file")
+
+
 @query("j6_cited_chunks", S.with_ctes([*S.chunks(), *S.CHAT], (
     "SELECT id, source_file FROM chunks WHERE id IN (SELECT unnest(source_chunks) FROM chat)"
 )))
@@ -246,6 +275,20 @@ def a7_message_counts(spark, sf_dir):
     return corpus.message_counts(I.chat(spark, sf_dir))
 
 
+@query("a7_message_totals", S.with_ctes(S.CHAT, (
+    f"SELECT session, count(*) AS n_messages, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_asked, "
+    "strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_asked FROM chat GROUP BY session"
+)))
+def a7_message_totals(spark, sf_dir):
+    """Totals that batches of messages keep up to date; one of them comes twice."""
+    root, chat = fresh_path(spark, "messages"), I.chat(spark, sf_dir)
+    for number in (0, 1, 1, 2):
+        messages.add_messages(chat.filter(F.col("conv_id") % 3 == number), number, root)
+    return messages.message_totals(spark, root).select(
+        "session", "n_messages", tx.format_timestamp("first_asked").alias("first_asked"),
+        tx.format_timestamp("last_asked").alias("last_asked"))
+
+
 # -- windows and listings ----------------------------------------------------
 
 @query("w2_last_message", S.with_ctes(S.CHAT, (

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.config import ChunkingConfig, ExportConfig
+from foliant.config import ChunkingConfig, ExportConfig, IngestConfig, RetrievalConfig
 from foliant.functions import text as tx
-from foliant.functions.embedding import HashedWords
+from foliant.functions.embedding import HashedWords, embed
+from foliant.operators.session_index import index_cells, index_top_k, session_index
 from foliant.plans import inputs as I
 from foliant.plans import sql as S
 from foliant.plans.registry import query
-from foliant.runtime import fresh_path
+from foliant.runtime import fresh_path, written
 from foliant.sinks import documents as docs
 from foliant.sinks import writers
 from foliant.sources import readers
@@ -91,8 +92,8 @@ def s10_metadata_scan(spark, sf_dir):
 
 _POLICY = (
     ("document_add", "metadata"), ("document_add", "chunks"), ("manual_save", "metadata"),
-    ("manual_save", "chat"), ("manual_save", "chunks"), ("close", "metadata"), ("close", "chat"),
-    ("close", "chunks"),
+    ("manual_save", "chat"), ("manual_save", "chunks"), ("manual_save", "index"),
+    ("close", "metadata"), ("close", "chat"), ("close", "chunks"), ("close", "index"),
 )
 
 
@@ -103,9 +104,11 @@ _POLICY = (
 )))
 def k7_save_policy(spark, sf_dir):
     """Operations one after another in one folder; the tables each writes, with their rows at the end."""
+    chunks = written(I.routed_chunks(spark, sf_dir).withColumn(
+        "embedding", embed("content", HashedWords(I.EMBED_DIM))), "saved-chunks")
     tables = {
         "metadata": I.sessions(spark, sf_dir), "chat": I.chat(spark, sf_dir),
-        "chunks": I.routed_chunks(spark, sf_dir),
+        "chunks": chunks, "index": session_index(chunks),
     }
     root, counts = fresh_path(spark, "saved"), None
     written = [
@@ -120,6 +123,65 @@ def k7_save_policy(spark, sf_dir):
     return counts
 
 
+_CELLS_PER_SESSION = 4
+_SESSION_VECTORS = [
+    *S.chunks(), *S.embedded("v", "chunks", "id", "content"),
+    "centres AS (SELECT session, id AS centre, row_number() OVER (PARTITION BY session "
+    "ORDER BY md5(id), id) - 1 AS cell FROM chunks QUALIFY row_number() OVER "
+    f"(PARTITION BY session ORDER BY md5(id), id) <= {_CELLS_PER_SESSION})",
+    "norms AS (SELECT id, sum(weight::DOUBLE * weight::DOUBLE) AS square FROM v GROUP BY id)",
+    "products AS (SELECT c.session, c.id, t.centre, t.cell, coalesce((SELECT "
+    "sum(a.weight::DOUBLE * b.weight::DOUBLE) FROM v a JOIN v b ON a.bucket = b.bucket "
+    "WHERE a.id = c.id AND b.id = t.centre), 0) AS score FROM chunks c JOIN centres t USING (session))",
+    "nearest AS (SELECT session, id, coalesce(max(cell) FILTER (id = centre), "
+    "arg_min(cell, -round(score, 6) * 1000000 * 1000 + cell)) AS cell FROM products GROUP BY 1, 2)",
+]
+
+
+def _session_chunks(spark, sf_dir):
+    return I.embedded_chunks(spark, sf_dir).select("session", "id", "embedding")
+
+
+@query("k7_session_index", S.with_ctes(_SESSION_VECTORS, (
+    "SELECT n.session, n.cell::INTEGER AS cell, count(*) AS n, "
+    "round(max(sqrt(greatest(0, coalesce(x.square, 0) + coalesce(y.square, 0) - 2 * p.score))), 4) "
+    "AS radius FROM nearest n JOIN products p ON p.id = n.id AND p.session = n.session "
+    "AND p.cell = n.cell LEFT JOIN norms x ON x.id = n.id LEFT JOIN norms y ON y.id = p.centre "
+    "GROUP BY 1, 2"
+)))
+def k7_session_index(spark, sf_dir):
+    """The saved vector index of each session: its cells with rows and radius."""
+    root = fresh_path(spark, "saved-index")
+    index = session_index(
+        _session_chunks(spark, sf_dir), RetrievalConfig(nlist=_CELLS_PER_SESSION))
+    writers.save("close", {"index": index}, root, only=("index",))
+    return index_cells(writers.read_table(spark, root, "index")).select(
+        "session", "cell", "n", F.round("radius", 4).alias("radius"))
+
+
+@query("k7_index_search", S.with_ctes([
+    *S.chunks(), *S.embedded("v", "chunks", "id", "content"),
+    *S.embedded("q", "benchmark", "item_id", "text"),
+    "scores AS (SELECT i.item_id AS query_id, c.id, round(coalesce((SELECT "
+    "sum(a.weight::DOUBLE * b.weight::DOUBLE) FROM q a JOIN v b ON a.bucket = b.bucket "
+    "WHERE a.item_id = i.item_id AND b.id = c.id), 0), 6) AS score FROM benchmark i "
+    "JOIN chunks c ON c.session = concat('src', i.item_id % 20))",
+], (
+    "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+    "::INTEGER AS rank FROM scores QUALIFY row_number() OVER "
+    "(PARTITION BY query_id ORDER BY score DESC, id) <= 5"
+)))
+def k7_index_search(spark, sf_dir):
+    """Best chunks of each question's session, from the saved index alone."""
+    root = fresh_path(spark, "saved-index")
+    index = session_index(_session_chunks(spark, sf_dir), RetrievalConfig(nlist=16))
+    writers.save("close", {"index": index}, root, only=("index",))
+    asked = I.questions(spark, sf_dir).withColumn(
+        "session", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return index_top_k(
+        asked, writers.read_table(spark, root, "index"), config=RetrievalConfig(nprobe=2))
+
+
 @query("u2_delete_and_recreate", (
     "SELECT source AS session, count(*) AS n_documents FROM documents WHERE source <> 'src3' "
     "AND (source <> 'src7' OR doc_id % 2 = 0) GROUP BY source"
@@ -128,15 +190,40 @@ def u2_delete_and_recreate(spark, sf_dir):
     """Two sessions are deleted, one of them is saved anew with half of its documents."""
     root = fresh_path(spark, "recreated")
     listed = I.documents(spark, sf_dir).select("session", "source_file", "doc_id")
-    writers.save("document_add", {"chunks": listed}, root)
+    writers.save("document_add", {"chunks": listed}, root, only=("chunks",))
     for session in ("src3", "src7"):
         writers.delete_session(spark, root, session)
     half = listed.filter("session = 'src7' AND doc_id % 2 = 0")
-    writers.save("document_add", {"chunks": half}, root)
+    writers.save("document_add", {"chunks": half}, root, only=("chunks",))
     return writers.read_table(spark, root, "chunks").groupBy("session").agg(
         F.count(F.lit(1)).alias("n_documents"))
 
 
+@query("u2_vacuum", (
+    "SELECT session, count(*) AS n_before, count(*) AS n_after, count(*) AS n_stored FROM ("
+    "SELECT source AS session FROM documents WHERE source <> 'src3' "
+    "AND (source <> 'src7' OR doc_id % 2 = 0)) GROUP BY session"
+))
+def u2_vacuum(spark, sf_dir):
+    """Rows read before and after the files of deleted sessions go, and the rows still stored."""
+    root = fresh_path(spark, "vacuumed")
+    listed = I.documents(spark, sf_dir).select("session", "source_file", "doc_id")
+    writers.save("document_add", {"chunks": listed}, root, only=("chunks",))
+    for session in ("src3", "src7"):
+        writers.delete_session(spark, root, session)
+    half = listed.filter("session = 'src7' AND doc_id % 2 = 0")
+    writers.save("document_add", {"chunks": half}, root, only=("chunks",))
+
+    def counted(rows, name):
+        return rows.groupBy("session").agg(F.count(F.lit(1)).alias(name))
+
+    before = written(counted(writers.read_table(spark, root, "chunks"), "n_before"), "before")
+    writers.vacuum(spark, root, 0)
+    after = counted(writers.read_table(spark, root, "chunks"), "n_after")
+    stored = counted(writers.read_sessions(spark, f"{root}/chunks"), "n_stored")
+    return before.join(after, "session", "full").join(stored, "session", "full")
+
+
 @query("k6_chunk_table", _CHUNKS_SQL)
 def k6_chunk_table(spark, sf_dir):
     """The columnar table, written and read back."""
@@ -358,3 +445,98 @@ def st3_path_deduplication(spark, sf_dir):
     ingest.ingest_batch(documents.join(labelled, "doc_id", "left_semi"), 0, root)
     ingest.ingest_batch(documents.unionByName(copies).unionByName(documents), 1, root)
     return _ingested(spark, root)
+
+
+_BATCHES = 6
+
+
+@query("st3_bucketed_paths", _INGEST_SQL)
+def st3_bucketed_paths(spark, sf_dir):
+    """Batches that each bring documents of the batch before again; their lists are merged twice."""
+    root, config = fresh_path(spark, "bucketed"), IngestConfig(path_buckets=16, compact_every=2)
+    documents = I.documents(spark, sf_dir).select("doc_id", "session", "source_file", "content")
+    for batch in range(_BATCHES):
+        own = documents.filter(F.col("doc_id") % _BATCHES == batch)
+        again = documents.filter(F.col("doc_id") % _BATCHES == batch - 1)
+        ingest.ingest_batch(own.unionByName(again), batch, root, ingest=config)
+    return _ingested(spark, root)
+
+
+_REVISED = "CASE WHEN doc_id % 3 = 0 THEN concat(text, ' revised') ELSE text END"
+_REVISED_SQL = [*S.chunks(S.routed(_REVISED))]
+
+
+def _revised(spark, sf_dir, **options):
+    """A third of the documents changes; of the rest some come again, and some in an older version."""
+    root = fresh_path(spark, "revised")
+
+    def batch(content: str, hour: int, wanted: str, number: int) -> None:
+        rows = I.documents(spark, sf_dir, content).filter(wanted).withColumn(
+            "changed", F.timestamp_seconds(F.lit(hour * 3600)))
+        ingest.ingest_batch(rows, number, root, version="changed", **options)
+
+    batch("text", 1, "true", 0)
+    batch("concat(text, ' revised')", 2, "doc_id % 3 = 0", 1)
+    batch("concat(text, ' revised')", 2, "doc_id % 3 = 0", 1)  # replayed
+    batch("text", 1, "doc_id % 3 = 1", 2)
+    batch("'stale'", 0, "doc_id % 3 < 2", 3)
+    return root
+
+
+@query("u3_replaced_documents", S.with_ctes(_REVISED_SQL, (
+    "SELECT session, source_file, chunk_index, content, start_position FROM chunks"
+)))
+def u3_replaced_documents(spark, sf_dir):
+    """Chunks after changed documents took the place of their old versions, and a vacuum."""
+    root = _revised(spark, sf_dir)
+    ingest.vacuum_chunks(spark, root)
+    return ingest.ingested_chunks(spark, root).select(
+        "session", "source_file", "chunk_index", "content", "start_position")
+
+
+@query("a1_ingested_totals", S.with_ctes(_REVISED_SQL, (
+    "SELECT session, count(DISTINCT source_file) AS n_documents, count(*) AS n_chunks, "
+    "count(*) AS n_embedded, sum(token_count)::BIGINT AS n_tokens, true AS complete "
+    "FROM chunks GROUP BY session"
+)))
+def a1_ingested_totals(spark, sf_dir):
+    """Totals kept up to date by every batch, replayed and changed ones included (A1, A3)."""
+    root = _revised(spark, sf_dir, embedder=HashedWords(I.EMBED_DIM))
+    return ingest.session_totals(spark, root)
+
+
+class _Refusing(HashedWords):
+    """A model that fails on texts of certain lengths."""
+
+    def encode(self, texts):
+        if any(len(text) % 11 == 3 for text in texts):
+            raise ValueError("a text of a bad length")
+        return super().encode(texts)
+
+
+@query("v9_dead_letters", S.with_ctes(S.chunks(S.ROUTED), (
+    "SELECT session, source_file, CASE WHEN count(*) FILTER (length(content) % 11 = 3) > 0 "
+    "THEN 'ValueError: a text of a bad length' END AS reason, CASE WHEN count(*) FILTER "
+    "(length(content) % 11 = 3) > 0 THEN count(*) FILTER (length(content) % 11 = 3) "
+    "ELSE count(*) END AS n FROM chunks GROUP BY session, source_file"
+)))
+def v9_dead_letters(spark, sf_dir):
+    """Documents with a text that the model refuses, set apart with the reason; the others are stored."""
+    root = fresh_path(spark, "dead-letters")
+    rows = I.documents(spark, sf_dir).select("session", "source_file", "content")
+    ingest.ingest_batch(rows, 0, root, embedder=_Refusing(I.EMBED_DIM), reject_failures=True)
+    kept = ingest.ingested_documents(spark, root).select(
+        "session", "source_file", F.lit(None).cast("string").alias("reason"),
+        F.col("n_chunks").alias("n"))
+    return kept.unionByName(ingest.rejected_documents(spark, root).select(
+        "session", "source_file", "reason", F.col("n_failed").alias("n")))
+
+
+@query("v9_retried_documents", _INGEST_SQL)
+def v9_retried_documents(spark, sf_dir):
+    """Rejected documents taken in again once the model works."""
+    root = fresh_path(spark, "retried")
+    rows = I.documents(spark, sf_dir).select("session", "source_file", "content")
+    ingest.ingest_batch(rows, 0, root, embedder=_Refusing(I.EMBED_DIM), reject_failures=True)
+    ingest.retry_rejected(spark, root, 0, embedder=HashedWords(I.EMBED_DIM))
+    return _ingested(spark, root)

@@ -64,13 +64,20 @@ def paged_documents() -> str:
 
 
 PLAIN = documents(clean_text("text"))
-ROUTED = (
-    "SELECT doc_id, session, source_file, cleaned AS text, file_type FROM ("
-    "SELECT *, CASE WHEN file_type = 'pdf' THEN " + clean_pdf("text") + " ELSE "
-    + clean_text("text") + " END AS cleaned FROM (SELECT *, " + file_type("source_file")
-    + " AS file_type FROM (" + documents() + ")) WHERE length(text) > 0) "
-    "WHERE file_type <> 'pdf' OR strlen(cleaned) >= 50"
-)
+
+
+def routed(text: str = "text") -> str:
+    """Documents cleaned by their type; ``text`` is an expression over the given text."""
+    return (
+        "SELECT doc_id, session, source_file, cleaned AS text, file_type FROM ("
+        "SELECT *, CASE WHEN file_type = 'pdf' THEN " + clean_pdf("text") + " ELSE "
+        + clean_text("text") + " END AS cleaned FROM (SELECT *, " + file_type("source_file")
+        + " AS file_type FROM (" + documents(text) + ")) WHERE length(text) > 0) "
+        "WHERE file_type <> 'pdf' OR strlen(cleaned) >= 50"
+    )
+
+
+ROUTED = routed()
 
 
 def _break(s: str, size: int, separators: tuple[str, ...]) -> str:

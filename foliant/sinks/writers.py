@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.config import SavePolicy
+from foliant.runtime import names_below, remove
 
 _SAVED = "_saved_at"
-_MARKS = "session string, deleted_at bigint"
+_MARKS = "session string, deleted_at bigint, name string"
 _SORT = ("session", "section", "key", "place")
 
 
@@ -72,21 +73,41 @@ def _now() -> int:
 
 
 def save(operation: str, tables: dict[str, DataFrame], root: str,
-         policy: SavePolicy = SavePolicy()) -> tuple[str, ...]:
+         policy: SavePolicy = SavePolicy(), only: tuple[str, ...] | None = None) -> tuple[str, ...]:
     """Write the tables an operation saves; returns their names (K7).
 
     A table holds the whole state of its sessions, and takes the place of what
-    was saved of them before; other sessions stay as they are.
+    was saved of them before; other sessions stay as they are.  The sessions are those of
+    the metadata: one of them without rows in another table, say an emptied chat, is
+    marked as empty there.  All tables of the operation have to be given, or of those named
+    by ``only``; a missing one is an error, before anything is written.
     """
-    written = []
-    for name in policy.tables(operation):
-        if name in tables:
-            saved = tables[name].withColumn(_SAVED, F.lit(_now()))
-            _balanced(saved).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("session").parquet(f"{root}/{name}")
-            written.append(name)
-    return tuple(written)
+    names = tuple(n for n in policy.tables(operation) if only is None or n in only)
+    missing = [name for name in names if name not in tables]
+    if missing:
+        raise ValueError(f"{operation} saves {', '.join(missing)} too, but got no such table")
+    for name in names:
+        saved = tables[name].withColumn(_SAVED, F.lit(_now()))
+        if name != "metadata" and "metadata" in tables:
+            _mark_emptied(name, saved, tables["metadata"], root)
+        _balanced(saved).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("session").parquet(f"{root}/{name}")
+    return names
+
+
+def _mark_emptied(name: str, saved: DataFrame, metadata: DataFrame, root: str) -> None:
+    """Mark the sessions that had rows in a table and have none any more."""
+    spark = saved.sparkSession
+    if not names_below(spark, f"{root}/{name}"):
+        return
+    before = read_sessions(spark, f"{root}/{name}").select("session").distinct()
+    now = metadata.select("session").distinct().join(
+        saved.select("session").distinct(), "session", "left_anti")
+    marks = before.join(now, "session", "left_semi").select(
+        "session", F.lit(_now()).alias("deleted_at"), F.lit(name).alias("name"))
+    if not marks.isEmpty():
+        marks.write.mode("append").parquet(f"{root}/deleted_sessions")
 
 
 def delete_session(spark: SparkSession, root: str, session_id: str) -> None:
@@ -94,7 +115,7 @@ def delete_session(spark: SparkSession, root: str, session_id: str) -> None:
 
     What is saved under the name afterwards is a new session.
     """
-    marked = spark.createDataFrame([(session_id, _now())], _MARKS)
+    marked = spark.createDataFrame([(session_id, _now(), None)], _MARKS)
     marked.write.mode("append").parquet(f"{root}/deleted_sessions")
 
 
@@ -107,7 +128,43 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return table.drop(_SAVED)
-    last = marks.groupBy(F.col("session").alias("_session")).agg(
-        F.max("deleted_at").alias("_deleted"))
+    # A mark without a table's name holds for all tables.
+    last = marks.filter(F.coalesce(F.col("name") == name, F.lit(True))).groupBy(
+        F.col("session").alias("_session")).agg(F.max("deleted_at").alias("_deleted"))
     gone = (table.session == last["_session"]) & (table[_SAVED] <= last["_deleted"])
     return table.join(last, gone, "left_anti").drop(_SAVED)
+
+
+def vacuum(spark: SparkSession, root: str, older_than_seconds: float = 7 * 24 * 3600) -> int:
+    """Remove the files that deleted sessions left behind, and their marks; the number of files.
+
+    Only marks of at least that age count, so readers and saves that began before have ended.
+    Others may go on meanwhile: single files are removed, those all of whose rows were saved
+    before the mark, and never a folder, so a session that is saved anew under the
+    same name keeps its files; marks that come in meanwhile are in files of their own.
+    """
+    limit = _now() - int(older_than_seconds * 1e9)
+    if not names_below(spark, f"{root}/deleted_sessions"):
+        return 0
+    marks = spark.read.schema(_MARKS).parquet(f"{root}/deleted_sessions")
+    read, old = marks.inputFiles(), marks.filter(F.col("deleted_at") <= limit)
+    removed = 0
+    for name in names_below(spark, root):
+        if name == "deleted_sessions" or not any(
+                n.startswith("session=") for n in names_below(spark, f"{root}/{name}")):
+            continue
+        last = old.filter(F.coalesce(F.col("name") == name, F.lit(True))).groupBy(
+            F.col("session").alias("_session")).agg(F.max("deleted_at").alias("_deleted"))
+        files = read_sessions(spark, f"{root}/{name}").select(
+            "session", _SAVED, F.col("_metadata.file_path").alias("file")).groupBy(
+            "file", "session").agg(F.max(_SAVED).alias("saved"))
+        dead = files.join(last, (F.col("session") == F.col("_session"))
+                          & (F.col("saved") <= F.col("_deleted")), "left_semi")
+        for row in dead.select("file").toLocalIterator():
+            removed += remove(spark, row.file)
+    young = marks.filter(F.col("deleted_at") > limit)
+    if not young.isEmpty():
+        young.coalesce(1).write.mode("append").parquet(f"{root}/deleted_sessions")
+    for file in read:
+        remove(spark, file)
+    return removed

@@ -185,7 +185,8 @@ def test_k8_flags(spark):
 def test_u2_deleted_sessions_are_left_out(spark, tmp_path):
     root = str(tmp_path / "store")
     chunks = spark.createDataFrame([("s_1", "a"), ("t_1", "b")], "session string, id string")
-    assert writers.save("document_add", {"chunks": chunks, "chat": chunks}, root) == ("chunks",)
+    assert writers.save(
+        "document_add", {"chunks": chunks, "chat": chunks}, root, only=("chunks",)) == ("chunks",)
     assert writers.read_table(spark, root, "chunks").count() == 2
     writers.delete_session(spark, root, "s_1")
     assert [r.id for r in writers.read_table(spark, root, "chunks").collect()] == ["b"]
@@ -196,12 +197,14 @@ def test_k7_a_save_takes_the_place_of_the_last(spark, tmp_path):
     kind = "session string, id string"
     both = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "c")], kind)
     for operation in ("document_add", "document_add", "manual_save", "close"):
-        writers.save(operation, {"chunks": both}, root)
+        writers.save(operation, {"chunks": both}, root, only=("chunks",))
     assert writers.read_table(spark, root, "chunks").count() == 3
-    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "d")], kind)}, root)
+    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "d")], kind)}, root,
+                 only=("chunks",))
     assert sorted(r.id for r in writers.read_table(spark, root, "chunks").collect()) == ["c", "d"]
     writers.delete_session(spark, root, "s")
-    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "e")], kind)}, root)
+    writers.save("document_add", {"chunks": spark.createDataFrame([("s", "e")], kind)}, root,
+                 only=("chunks",))
     assert sorted(r.id for r in writers.read_table(spark, root, "chunks").collect()) == ["c", "e"]
 
 
@@ -209,7 +212,7 @@ def test_session_names_stay_strings(spark, tmp_path):
     names = ["007", "7", "2024-01-01", "1e3"]
     rows = spark.createDataFrame([(n, f"id{n}") for n in names], "session string, id string")
     root = str(tmp_path / "store")
-    writers.save("document_add", {"chunks": rows}, root)
+    writers.save("document_add", {"chunks": rows}, root, only=("chunks",))
     writers.delete_session(spark, root, "7")
     left = writers.read_table(spark, root, "chunks").collect()
     assert sorted((r.session, r.id) for r in left) == sorted(
@@ -224,7 +227,7 @@ def test_session_names_stay_strings(spark, tmp_path):
 def test_empty_session_names_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([("", "a")], "session string, id string")
     with pytest.raises(Exception, match="empty name"):
-        writers.save("document_add", {"chunks": rows}, str(tmp_path / "store"))
+        writers.save("document_add", {"chunks": rows}, str(tmp_path / "store"), only=("chunks",))
 
 
 def test_ingest_keeps_one_row_per_document(spark, tmp_path):
