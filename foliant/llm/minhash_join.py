@@ -14,7 +14,7 @@ text is posted under its (coordinate, value) pairs, and texts that agree in
 
 Equal sets are one vertex, and a posting list returns the links of a spanning forest of its
 candidates, so copies are not paired out.  Similarity is decided on the whole sets: first
-for the candidate links themselves; where one fails, all members of that group of
+for candidate links themselves; where some fail, all members of that group of
 candidates are compared, so no link between different texts is lost to the forest.
 """
 
@@ -130,7 +130,9 @@ def shingle_hashes(text: Column, rule: JoinRule) -> Column:
             pa.array(own, pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
         ], fields=list(kind))
 
-    return hashed(text)
+    # Else a filter on the digest would be moved, with this function, below the join that
+    # picks the texts to be hashed.
+    return hashed.asNondeterministic()(text)
 
 
 # -- candidates ----------------------------------------------------------------
@@ -288,26 +290,40 @@ def candidate_links(texts: DataFrame, rule: JoinRule) -> DataFrame:
 def _verified(links: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
     """Links that connect all texts within a group of candidates by the exact similarity.
 
-    ``sets``: id, root (the group of candidates), elements; a written table.
+    ``links``: candidates (a, b), b the smaller; ``sets``: id, root (the group of candidates),
+    elements; written tables.  First each text is compared with its smallest candidate, then
+    candidates that this has not connected, and at last all members of the groups that
+    are still in parts.
     """
-    a = sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
-    shared = F.size(F.array_intersect("of_a", "of_b")).cast("bigint")
-    union = F.size("of_a") + F.size("of_b") - shared
-    held = stored(
-        links.join(a, "a").join(b, "b").filter(100 * shared >= rule.percent * union).select("a", "b"),
-        "held-links")
-    roots = components(held)
-    apart = sets.select("id", "root").join(roots, F.col("id") == roots.a, "left").select(
-        "root", F.coalesce("b", "id").alias("part"))
-    # Only groups that the links which held do not connect are compared as a whole.
-    open_groups = apart.groupBy("root").agg(
+    def held(pairs: DataFrame) -> DataFrame:
+        a = sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
+        b = sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
+        shared = F.size(F.array_intersect("of_a", "of_b")).cast("bigint")
+        union = F.size("of_a") + F.size("of_b") - shared
+        return stored(
+            pairs.join(a, "a").join(b, "b").filter(100 * shared >= rule.percent * union)
+            .select("a", "b"), "held-links")
+
+    def parts(of: DataFrame) -> DataFrame:
+        """(id, part) of the texts of the groups."""
+        roots = components(of)
+        return sets.select("id", "root").join(roots, F.col("id") == roots.a, "left").select(
+            "id", "root", F.coalesce("b", "id").alias("part"))
+
+    first = stored(links.groupBy("a").agg(F.min("b").alias("b")), "first-links")
+    sure = held(first)
+    part = stored(parts(sure).drop("root"), "first-parts")
+    apart = links.join(first, ["a", "b"], "left_anti").join(
+        part.withColumnsRenamed({"id": "a", "part": "part_a"}), "a").join(
+        part.withColumnsRenamed({"id": "b", "part": "part_b"}), "b").filter("part_a != part_b")
+    sure = stored(sure.unionByName(held(apart.select("a", "b"))), "sure-links")
+    open_groups = parts(sure).groupBy("root").agg(
         F.min("part").alias("least"), F.max("part").alias("most")
     ).filter("least != most").select("root")
     rest = stored(sets.join(open_groups, "root", "left_semi"), "open-sets")
     if rest.isEmpty():
-        return held
-    return held.unionByName(exact_links(rest, rule.percent / 100))
+        return sure
+    return sure.unionByName(exact_links(rest, rule.percent / 100))
 
 
 def minhash_components(
@@ -331,7 +347,7 @@ def minhash_components(
             F.min("key").alias("least"), F.any_value("n").alias("n"),
             F.any_value("values").alias("values"), F.any_value("marks").alias("marks"),
         ).withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
-    links = stored(candidate_links(texts, rule), "candidate-links")
+    links = stored(candidate_links(texts, rule).distinct(), "candidate-links")
     others = components(links)
     members = others.selectExpr("a AS id", "b AS root").unionByName(
         others.selectExpr("b AS id", "b AS root").distinct())
