@@ -25,7 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import stored
@@ -97,15 +97,21 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return END.join([*lines, b"", block])
 
 
-def _records(key: int, url: str, payload: bytes, refers_to, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page, without the line ends that close them."""
+def _records(
+    key: int | None, url: str, payload: bytes, refers_to: int | None, row: int, segment_bytes: int,
+) -> Iterator[bytes]:
+    """The records of one page, without the line ends that close them.
+
+    A record is named by its page and its row, so that no two rows share a name; a
+    revisit names the page and payload digest of the record it refers to.
+    """
     uri = "".join(url.split())
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     digest = ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}")
     kind = ("Content-Type", "application/http;msgtype=response")
     head = END.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8",
                      b"Transfer-Encoding: chunked", b"", b""])
-    own = f"<{URN}{key}>"
+    own = f"<{URN}{'none' if key is None else key}:{row}>"
     if refers_to is not None:
         yield _record(
             [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, kind, digest,
@@ -116,7 +122,7 @@ def _records(key: int, url: str, payload: bytes, refers_to, segment_bytes: int)
     starts = range(0, len(block), segment_bytes)
     for number, at in enumerate(starts, 1):
         first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, kind, digest]
-        rest = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{URN}{key}:{number}>"),
+        rest = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{number}>"),
                 *common, ("WARC-Segment-Origin-ID", own)]
         headers = first if number == 1 else rest
         if len(starts) > 1:
@@ -134,12 +140,12 @@ def write_archives(
     """Write each page as a record, equal payloads of at least ``minimum_bytes`` as revisits.
 
     The row with the largest key is the response.  A null body is empty, a
-    null address is empty.  Keys are integers; rows with a null key cannot be
-    named and are not written.  A repeated row is written again under the same
-    name (and read back again, or once if it was cut).  Equal payloads are found by
+    null address is empty.  Keys are integers or null; a null key is smaller than any other.
+    Every row is a record of its own, also one that repeats the key of another; rows
+    that share the largest key of a payload are all responses.  Equal payloads are found by
     their SHA-1 and length, with copies counted before they are shuffled.
     """
-    rows = pages.filter(F.col(key).isNotNull()).select(
+    rows = pages.select(
         F.col(key).cast("bigint").alias("key"), F.coalesce(url, F.lit("")).alias("url"),
         F.coalesce(body, F.lit("")).cast("binary").alias("payload"),
     )
@@ -153,12 +159,14 @@ def write_archives(
     decided = rows.withColumns({"sha1": sums[0], "size": sums[1]}).join(
         groups, ["sha1", "size"], "left"
     ).select(
-        "key", "url", "payload", F.when(F.col("keep") != F.col("key"), F.col("keep")).alias("keep")
+        "key", "url", "payload",
+        F.when(~F.col("keep").eqNullSafe(F.col("key")), F.col("keep")).alias("keep"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch.column(i) for i in range(4)))
+            columns = zip(*(batch.column(i) for i in range(5)))
             some, size = [], 0
             for row in columns:
                 for record in _records(*(value.as_py() for value in row), segment_bytes):
@@ -323,26 +331,25 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
     return decoded(reassembled(read_records(spark, path)), with_payload=with_payload)
 
 
+def _page(record: Column) -> Column:
+    """The page number in a record's name; null where it has none."""
+    found = F.regexp_extract(record, f"{URN}(-?[0-9]+)", 1)
+    return F.when(found != "", found).cast("bigint")
+
+
 def page_records(records: DataFrame) -> DataFrame:
     """One row per record by page number; a revisit has the length of the one it refers to.
 
-    ``records`` is read twice, so it should be a written table.
+    That is the response of the page it names with the same payload digest.  ``records`` is
+    read twice, so it should be a written table.
     """
-    number = F.regexp_extract(F.col("record_id"), f"{URN}(-?[0-9]+)>", 1).cast("bigint")
     rows = records.withColumns({
-        "page_id": number,
-        "refers_to": F.regexp_extract("refers_to", f"{URN}(-?[0-9]+)>", 1).cast("bigint"),
+        "page_id": _page(F.col("record_id")), "refers_to": _page(F.col("refers_to")),
     }).select("page_id", "type", "refers_to", "payload_bytes", "payload_digest", "sound")
     responses = rows.filter("type = 'response'")
     revisits = rows.filter("type = 'revisit'").drop("payload_bytes").join(
-        responses.groupBy(F.col("page_id").alias("refers_to")).agg(
-            F.max("payload_bytes").alias("payload_bytes"),
-            F.max("payload_digest").alias("_digest"), F.min("sound").alias("_sound"),
-        ), "refers_to", "left",
-    ).withColumn(
-        "sound", F.coalesce(
-            F.col("sound") & F.col("_sound") & (F.col("_digest") == F.col("payload_digest")),
-            F.lit(False),
-        )
-    )
+        responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(
+            F.max("payload_bytes").alias("payload_bytes"), F.min("sound").alias("_sound"),
+        ), ["refers_to", "payload_digest"], "left",
+    ).withColumn("sound", F.coalesce(F.col("sound") & F.col("_sound"), F.lit(False)))
     return responses.unionByName(revisits.select(*responses.columns))
