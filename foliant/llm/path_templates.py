@@ -9,11 +9,15 @@ walked from the root by tables:
    that rarely repeat has all of them made one wildcard.
 2. *Merge.*  Of the branches left below one parent, those whose share of blocked
    labels does not differ significantly from that of all of them together (z
-   test on labelled rows) are merged into one, and those without any label into
-   another: they do not take over the labels of their neighbours.
+   test on labelled rows) are merged into one.  A branch without labels differs
+   from nothing, so it is one of them.
 3. *Judge.*  A template, the sequence of generalised segments, is rejected if
-   its share of blocked among its labelled rows, smoothed towards that of all
-   labelled rows, reaches the threshold.
+   its share of blocked among its labelled rows reaches the threshold.  The share is
+   smoothed towards that of the node above, and so on up the path, then towards
+   the host's, the domain's (its last two names) and that of all labelled rows: few
+   labels, or none, leave a template with what is known of its neighbourhood.
+
+Shares are whole numbers of a billion parts, rounded down at every step.
 
 After the first aggregation every table has one row per host and shape of path,
 not per address, and counts are added up in each task before any shuffle.
@@ -29,6 +33,10 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import LOWER, UPPER, stored
 
 
+#: Parts of a whole that shares are counted in.
+WHOLE = 1_000_000_000
+
+
 @dataclass(frozen=True)
 class TemplateRule:
     """Depth of the tree, and the numbers of its tests.
@@ -36,7 +44,7 @@ class TemplateRule:
     Segments beyond ``depth`` are one tail.  Children of a node become one
     wildcard if there are more than ``children`` and fewer than
     ``rows_per_child`` rows for each.  ``deviations`` is the z value from which
-    branches differ, ``strength`` the pseudo-rows of smoothing.
+    branches differ, ``strength`` the pseudo-rows of each step of smoothing.
     """
 
     depth: int = 4
@@ -104,14 +112,25 @@ def shape_of(path: Column, rule: TemplateRule) -> Column:
     return F.concat(F.array_join(head, "/"), tail)
 
 
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+
+
+def _smoothed(towards: Column, rule: TemplateRule) -> Column:
+    """The share of blocked among labelled rows, with so many pseudo-rows of the share above."""
+    blocked = F.col("blocked").cast("decimal(18,0)") * F.lit(WHOLE).cast("decimal(10,0)")
+    above = towards.cast("decimal(10,0)") * F.lit(rule.strength).cast("decimal(9,0)")
+    rows = F.col("labelled") + F.lit(rule.strength)
+    return F.floor((blocked + above) / rows.cast("decimal(18,0)")).cast("bigint")
+
+
 def _level(shapes: DataFrame, at: int, rule: TemplateRule) -> DataFrame:
     """``shapes`` with the segment at ``at`` added to ``template`` in its generalised form."""
     segment = F.get(F.split("shape", "/"), F.lit(at))
     here = shapes.withColumn("segment", F.when(segment != "", segment))
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     nodes = stored(
-        here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums),
-        "template-nodes",
+        here.filter("segment IS NOT NULL").groupBy("host", "template", "share", "segment").agg(
+            *_sums()), "template-nodes",
     )
     parents = stored(
         nodes.groupBy("host", "template").agg(
@@ -130,15 +149,20 @@ def _level(shapes: DataFrame, at: int, rule: TemplateRule) -> DataFrame:
     several = F.col("children") > 1
     forms = stored(
         nodes.join(parents, ["host", "template"]).select(
-            "host", "template", "segment",
-            F.when(crowded, "*").when(several & (F.col("labelled") == 0), "~")
-            .when(several & alike, "*").otherwise(F.col("segment")).alias("form"),
+            "host", "template", "share", "segment", "n", "labelled", "blocked",
+            F.when(crowded | several & alike, "*").otherwise(F.col("segment")).alias("form"),
         ), "template-forms",
     )
-    return here.join(forms, ["host", "template", "segment"], "left").select(
+    below = forms.groupBy("host", "template", "share", "form").agg(*_sums()).select(
+        "host", "template", "form", _smoothed(F.col("share"), rule).alias("next"))
+    named = stored(
+        forms.join(below, ["host", "template", "form"]).select(
+            "host", "template", "segment", "form", "next"), "template-names")
+    return here.join(named, ["host", "template", "segment"], "left").select(
         "host", "shape", "n", "labelled", "blocked",
         F.concat("template", F.when(F.col("form").isNull(), "").otherwise(
             F.concat(F.lit("/"), "form"))).alias("template"),
+        F.coalesce("next", "share").alias("share"),
     )
 
 
@@ -154,26 +178,22 @@ def judged_templates(rows: DataFrame, rule: TemplateRule = TemplateRule()) -> Da
             F.lit("").alias("template"),
         ), "path-shapes",
     )
+    hosts = stored(shapes.groupBy("host").agg(*_sums()), "hosts")
+    every = hosts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0)))
+    blocked, labelled = every.first()
+    share = F.lit(WHOLE * blocked // max(1, labelled)).cast("bigint")
+    domain = F.substring_index("host", ".", -2)
+    domains = hosts.groupBy(domain.alias("domain")).agg(*_sums()).select(
+        "domain", _smoothed(share, rule).alias("above"))
+    named = hosts.withColumn("domain", domain).join(domains, "domain")
+    shapes = shapes.join(named.select("host", _smoothed(F.col("above"), rule).alias("share")), "host")
     for at in range(rule.depth + 1):
         shapes = stored(_level(shapes, at, rule), "path-shapes")
-    every = shapes.agg(
-        F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))
-    ).first()
-    blocked, labelled = every[0], max(1, every[1])
-    templates = stored(
-        shapes.groupBy("host", "template").agg(
-            F.sum("labelled").alias("m"), F.sum("blocked").alias("b")
-        ), "templates",
-    )
-    # (b + s B / M) / (m + s) >= t / 100, without division.
-    whole = "decimal(20,0)"
-    purity = (F.col("b").cast(whole) * F.lit(labelled).cast("decimal(12,0)")
-              + F.lit(rule.strength * blocked).cast(whole)) * 100
-    bound = (F.col("m") + rule.strength).cast(whole) * F.lit(
-        rule.threshold_percent * labelled).cast("decimal(14,0)")
-    verdicts = templates.select(
-        "host", "template", F.when(purity >= bound, "block").otherwise("allow").alias("verdict")
-    )
+    own = shapes.groupBy("host", "template", "share").agg(*_sums())
+    rejected = _smoothed(F.col("share"), rule) * 100 >= F.lit(WHOLE * rule.threshold_percent)
+    verdicts = stored(
+        own.select("host", "template", F.when(rejected, "block").otherwise("allow").alias("verdict")),
+        "templates")
     return shapes.select("host", "shape", "template").join(verdicts, ["host", "template"])
 
 

@@ -39,12 +39,17 @@ list_transform(list_transform(pieces[1:{depth}], lambda s: {{
 """.format(depth=_RULE.depth)
 
 
+def _smoothed(blocked: str, labelled: str, above: str) -> str:
+    return (f"(({blocked})::HUGEINT * 1000000000 + {_RULE.strength} * ({above})::HUGEINT) "
+            f"// (({labelled})::HUGEINT + {_RULE.strength})")
+
+
 def _level_sql(at: int) -> str:
     return f"""
 here{at} AS (
     SELECT *, nullif(string_split(shape, '/')[{at + 1}], '') AS segment FROM shapes{at}
 ), nodes{at} AS (
-    SELECT host, template, segment, sum(n) AS n, sum(labelled)::DOUBLE AS m,
+    SELECT host, template, share, segment, sum(n) AS n, sum(labelled)::DOUBLE AS m,
         sum(blocked)::DOUBLE AS b
     FROM here{at} WHERE segment IS NOT NULL GROUP BY ALL
 ), parents{at} AS (
@@ -52,18 +57,21 @@ here{at} AS (
         sum(b) AS every_b
     FROM nodes{at} GROUP BY ALL
 ), forms{at} AS (
-    SELECT host, template, segment, CASE
+    SELECT host, template, share, segment, m, b, CASE
         WHEN children > {_RULE.children} AND all_n < {_RULE.rows_per_child} * children THEN '*'
-        WHEN children > 1 AND m = 0 THEN '~'
         WHEN children > 1 AND (b * every_m - every_b * m) * (b * every_m - every_b * m)
             <= {_RULE.deviations ** 2} * m * every_b * (every_m - every_b) THEN '*'
         ELSE segment END AS form
     FROM nodes{at} JOIN parents{at} USING (host, template)
+), below{at} AS (
+    SELECT host, template, form, {_smoothed('sum(b)', 'sum(m)', 'share')} AS next
+    FROM forms{at} GROUP BY host, template, form, share
 ), shapes{at + 1} AS (
     SELECT h.host, h.shape, h.n, h.labelled, h.blocked,
-        h.template || coalesce('/' || form, '') AS template
+        h.template || coalesce('/' || f.form, '') AS template, coalesce(next, h.share) AS share
     FROM here{at} h LEFT JOIN forms{at} f
         ON h.host = f.host AND h.template = f.template AND h.segment = f.segment
+    LEFT JOIN below{at} w ON w.host = f.host AND w.template = f.template AND w.form = f.form
 )"""
 
 
@@ -82,19 +90,29 @@ WITH after AS (
 ), rows AS (
     SELECT *, coalesce(array_to_string({_SEGMENT}, '/'), '')
         || CASE WHEN len(pieces) > {_RULE.depth} THEN '/{{tail}}' ELSE '' END AS shape FROM pieces
-), shapes0 AS (
+), plain_shapes AS (
     SELECT host, shape, count(*) AS n, count(label) AS labelled,
-        count(*) FILTER (label = 'block') AS blocked, '' AS template FROM rows GROUP BY host, shape
+        count(*) FILTER (label = 'block') AS blocked,
+        regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM rows GROUP BY host, shape
+), every AS (
+    SELECT coalesce(sum(blocked), 0)::HUGEINT * 1000000000
+        // greatest(1, coalesce(sum(labelled), 0))::HUGEINT AS share FROM plain_shapes
+), domains AS (
+    SELECT domain, {_smoothed('sum(blocked)', 'sum(labelled)', 'any_value(every.share)')} AS share
+    FROM plain_shapes, every GROUP BY domain
+), hosts AS (
+    SELECT host, {_smoothed('sum(blocked)', 'sum(labelled)', 'any_value(d.share)')} AS share
+    FROM plain_shapes JOIN domains d USING (domain) GROUP BY host
+), shapes0 AS (
+    SELECT host, shape, n, labelled, blocked, '' AS template, share
+    FROM plain_shapes JOIN hosts USING (host)
 ), {",".join(_level_sql(at) for at in range(_RULE.depth + 1))},
-every AS (
-    SELECT coalesce(sum(blocked), 0)::HUGEINT AS b,
-        greatest(1, coalesce(sum(labelled), 0))::HUGEINT AS m FROM shapes0
-), verdicts AS (
+verdicts AS (
     SELECT host, template, CASE
-        WHEN (sum(blocked) * any_value(every.m) + {_RULE.strength} * any_value(every.b)) * 100
-            >= {_RULE.threshold_percent} * (sum(labelled) + {_RULE.strength}) * any_value(every.m)
+        WHEN {_smoothed('sum(blocked)', 'sum(labelled)', 'share')} * 100
+            >= {_RULE.threshold_percent * 10 ** 9}
         THEN 'block' ELSE 'allow' END AS verdict
-    FROM shapes{_RULE.depth + 1}, every GROUP BY host, template
+    FROM shapes{_RULE.depth + 1} GROUP BY host, template, share
 )
 SELECT page_id, r.host, path, rule, coalesce(label, verdict) AS verdict, s.template
 FROM rows r JOIN shapes{_RULE.depth + 1} s ON r.host = s.host AND r.shape = s.shape
