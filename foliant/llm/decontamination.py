@@ -1,18 +1,18 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
-For each benchmark item, every window of a document with as many words as the
-item is compared with it.  A window that shares no shingle with the item has
-similarity zero, so windows are opened only where a shingle of the item occurs;
-this loses nothing.  Each such window's SimHash comes from running bit counts.
-A multi-index over blocks of the items' fingerprints then gives all items
-within the radius: fingerprints that differ in at most ``radius`` bits differ
-in at most ``radius // blocks`` bits in one of ``blocks`` blocks, and each block
-is looked up with every variant of so many bits.  What is found is verified by
-the weighted Jaccard similarity of the two multisets of shingles.
+For each number of words that benchmark items have, windows of a document with as
+many words are fingerprinted.  A window that shares no shingle with any item of its
+length has similarity zero to all of them, so windows are opened only where such a
+shingle occurs; this loses nothing.  Each window's SimHash comes from running bit
+counts.  A multi-index over blocks of the fingerprints of the items of that length gives
+the items within the radius, and nothing else does: fingerprints that differ in at
+most ``radius`` bits differ in at most ``radius // blocks`` bits in one of ``blocks``
+blocks, and each block is looked up with every variant of so many bits.  What is
+found is verified by the weighted Jaccard similarity of the two multisets of shingles.
 
 Documents are only scanned, whole.  Items are taken in slices of a bounded
-size, each slice one scan, so a benchmark of any size goes through; what is
-sent to the workers never exceeds a slice.
+size, each slice one scan, so a benchmark of any size goes through; what the driver and
+the workers hold never exceeds a slice.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker, stored, words
@@ -85,21 +85,21 @@ class ItemIndex:
         tokens = [words(text) for _, text in items]
         self.lengths = [len(t) for t in tokens]
         self.counts = [Counter(shingle_list(t, rule.shingle)) for t in tokens]
-        self.vocabulary: dict[bytes, int] = {}
-        self.with_shingle: dict[bytes, list[int]] = defaultdict(list)
-        for i, (own, counts) in enumerate(zip(tokens, self.counts)):
-            for word in own:
-                self.vocabulary.setdefault(word, len(self.vocabulary))
+        self.vocabulary: set[bytes] = set().union(*tokens)
+        #: The lengths of the items that hold a shingle.
+        self.with_shingle: dict[bytes, set[int]] = defaultdict(set)
+        for length, counts in zip(self.lengths, self.counts):
             for shingle in counts:
-                self.with_shingle[shingle].append(i)
+                self.with_shingle[shingle].add(length)
         self.width = BITS // rule.blocks
         self.variants = _variants(self.width, rule.radius // rule.blocks)
         self.prints = [self.fingerprint(counts) for counts in self.counts]
-        self.by_block: list[dict[int, set[int]]] = [
-            defaultdict(set) for _ in range(rule.blocks)
-        ]
-        for i, number in enumerate(self.prints):
-            for block, found in enumerate(self.by_block):
+        #: For each length and block, the items by their bits there.
+        self.by_block: dict[int, list[dict[int, set[int]]]] = {
+            length: [defaultdict(set) for _ in range(rule.blocks)] for length in set(self.lengths)
+        }
+        for i, (length, number) in enumerate(zip(self.lengths, self.prints)):
+            for block, found in enumerate(self.by_block[length]):
                 found[self.block(number, block)].add(i)
 
     def block(self, number: int, block: int) -> int:
@@ -115,30 +115,31 @@ class ItemIndex:
         )
         return self.number(counts, sum(shingles.values()))
 
-    def within_radius(self, number: int) -> set[int]:
-        """All items whose fingerprints are within the radius."""
+    def within_radius(self, number: int, length: int) -> list[int]:
+        """All items of a length whose fingerprints are within the radius."""
         near = set()
-        for block, found in enumerate(self.by_block):
+        for block, found in enumerate(self.by_block[length]):
             own = self.block(number, block)
             for variant in self.variants:
                 near |= found.get(own ^ variant, set())
-        return {
-            i for i in near if (self.prints[i] ^ number).bit_count() <= self.rule.radius
-        }
+        return [
+            i for i in sorted(near)
+            if (self.prints[i] ^ number).bit_count() <= self.rule.radius
+        ]
 
     def hits(self, tokens: list[bytes]) -> dict[int, set[int]]:
-        """Positions of each item's shingles in a document."""
+        """By length, positions in a document of shingles that items of that length hold."""
         size, found = self.rule.shingle, defaultdict(set)
         known = self.vocabulary
         inside = np.fromiter(map(known.__contains__, tokens), dtype=bool, count=len(tokens))
-        for length in {min(size, n) for n in self.lengths if n}:
-            if len(tokens) < length:
+        for run in {min(size, n) for n in self.lengths if n}:
+            if len(tokens) < run:
                 continue
             runs = np.concatenate([[0], np.cumsum(inside)])
-            for at in np.flatnonzero(runs[length:] - runs[:-length] == length).tolist():
-                for i in self.with_shingle.get(b" ".join(tokens[at : at + length]), ()):
-                    if min(size, self.lengths[i]) == length:
-                        found[i].add(at)
+            for at in np.flatnonzero(runs[run:] - runs[:-run] == run).tolist():
+                for length in self.with_shingle.get(b" ".join(tokens[at : at + run]), ()):
+                    if min(size, length) == run:
+                        found[length].add(at)
         return found
 
     def windows(self, count: int, length: int, at: set[int]) -> list[int]:
@@ -160,11 +161,11 @@ class ItemIndex:
         def shingle(at: int, length: int) -> bytes:
             return b" ".join(tokens[at : at + min(size, length)])
 
-        for item, at in self.hits(tokens).items():
-            length = min(self.lengths[item], len(tokens))
+        for of_items, at in self.hits(tokens).items():
+            length = min(of_items, len(tokens))
             steps = max(1, length - size + 1)
             running, previous = None, None
-            for start in self.windows(len(tokens), self.lengths[item], at):
+            for start in self.windows(len(tokens), of_items, at):
                 if previous is not None and start == previous + 1 and length >= size:
                     running = running - bits[previous]
                     fresh = [start + steps - 1]
@@ -174,31 +175,29 @@ class ItemIndex:
                     if p not in bits or length < size:
                         bits[p] = _bits_of(shingle(p, length), self.rule.seed)
                     running = running + bits[p]
-                previous = start
-                if item not in self.within_radius(self.number(running, steps)):
-                    continue
-                own = Counter(shingle(p, length) for p in range(start, start + steps))
-                score = weighted_jaccard(own, self.counts[item])
-                if score >= self.rule.similarity and (
-                    item not in best or score > best[item][2]
-                ):
-                    best[item] = (start, length, score)
+                previous, own = start, None
+                for item in self.within_radius(self.number(running, steps), of_items):
+                    if own is None:
+                        own = Counter(shingle(p, length) for p in range(start, start + steps))
+                    score = weighted_jaccard(own, self.counts[item])
+                    if score >= self.rule.similarity and (
+                        item not in best or score > best[item][2]
+                    ):
+                        best[item] = (start, length, score)
             bits.clear()
         return [(self.ids[i], *found) for i, found in sorted(best.items())]
 
 
-def _slices(items: DataFrame, key: str, text: str, per_slice: int) -> Iterator[list]:
-    """Items in bounded slices, one at a time on the driver."""
+def _slices(items: DataFrame, key: str, text: str, per_slice: int) -> tuple[int, Iterator[list]]:
+    """The number of bounded slices of the items, and these, one at a time on the driver."""
     rows = stored(
         items.select(key, F.coalesce(text, F.lit("")).alias(text)).filter(F.length(text) > 0),
         "benchmark-items",
     )
-    n = -(-rows.count() // per_slice) or 1
-    slot = F.pmod(F.xxhash64(key, text), F.lit(2 * n))
-    for i in range(2 * n):
-        found = rows.filter(slot == i).collect() if n > 1 else rows.collect() if not i else []
-        if found:
-            yield sorted(tuple(row) for row in found)
+    # Half full on average, so that uneven hashing stays within the bound.
+    n = 1 if (count := rows.count()) <= per_slice else -(-2 * count // per_slice)
+    slot = F.pmod(F.xxhash64(key, text), F.lit(n))
+    return n, (sorted(tuple(row) for row in rows.filter(slot == i).collect()) for i in range(n))
 
 
 _FOUND = "array<struct<item:bigint,start:int,n_words:int,similarity:double>>"
@@ -222,35 +221,28 @@ def _matcher(sent: Broadcast, name: tuple, rule: WindowRule):
     return match
 
 
-def matching(
-    items: DataFrame, rule: WindowRule = WindowRule(), *, key: str = "item_id", text: str = "text"
-):
-    """Column function: a text's matches with the items, an array, empty if there are none.
-
-    Of an item's windows the most similar counts, of ties the first.  Null and
-    empty texts match nothing, and so do items without words.
-    """
-    context = items.sparkSession.sparkContext
-    parts = [
-        _matcher(context.broadcast(some), ("benchmark", hash(tuple(some)), rule), rule)
-        for some in _slices(items, key, text, rule.items_per_slice)
-    ]
-
-    def matches(column: Column) -> Column:
-        found = [match(column) for match in parts]
-        return F.concat(*found) if found else F.array().cast(_FOUND)
-
-    return matches
-
-
 def contaminations(
     docs: DataFrame, items: DataFrame, rule: WindowRule = WindowRule(), *, text: str = "text",
     item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``docs`` with ``contaminations``: item, first word, words and similarity of each match.
 
-    A column of that name is replaced.  Rows with repeated keys are judged each
-    by its text.
+    Of an item's windows the most similar counts, of ties the first.  Null and
+    empty texts match nothing, and so do items without words.  A column of the name
+    ``contaminations`` is replaced.  Rows with repeated keys are judged each by its
+    text, and items that repeat are found each.  Where items make several slices, the
+    documents are scanned once for each and written in between.
     """
-    matches = matching(items, rule, key=item_key, text=item_text)
-    return docs.withColumn("contaminations", matches(F.col(text)))
+    context = docs.sparkSession.sparkContext
+    found = docs.withColumn("contaminations", F.array().cast(_FOUND))
+    count, slices = _slices(items, item_key, item_text, rule.items_per_slice)
+    for some in slices:
+        if not some:
+            continue
+        sent = context.broadcast(some)
+        match = _matcher(sent, ("benchmark", hash(tuple(some)), rule), rule)
+        found = found.withColumn("contaminations", F.concat("contaminations", match(F.col(text))))
+        if count > 1:
+            found = stored(found, "scanned-documents")
+            sent.destroy()
+    return found

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.block_names import exact_duplicates
 from foliant.llm.byte_bpe import WORD_WISE, coding
-from foliant.llm.decontamination import matching
-from foliant.llm.near_duplicates import near_components, similar
+from foliant.llm.decontamination import contaminations
+from foliant.llm.near_duplicates import STRICT, near_components
 from foliant.llm.shared import lower_ascii, stored, table
 from foliant.llm.toxicity import judge, train
 from foliant.llm.toxicity_queries import THRESHOLD, third
@@ -41,37 +41,51 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, but for the case of A-Z, the document with the largest id.
 
-    Of repeated rows one stays.
+    Of repeated rows one stays.  What goes is decided on ids and digests alone; whole texts
+    meet only the list of the keys that go, and those of repeated rows.
     """
-    kept = exact_duplicates(docs.select("doc_id", "text")).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    own = docs.withColumn("_own_sha", F.sha2(lower_ascii(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha"))
-    first = F.row_number().over(
-        Window.partitionBy("doc_id", "_own_sha").orderBy("doc_id"))
-    return (
-        own.join(kept, same, "left_semi").withColumn("_place", first).filter("_place = 1")
-        .select(*docs.columns)
-    )
+    judged = stored(
+        exact_duplicates(docs.select("doc_id", "text")).groupBy(
+            F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
+        ).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "exact-keys")
+    own = docs.select(
+        F.struct("*").alias("row"), F.sha2(lower_ascii(F.col("text")), 256).alias("sha"))
+
+    def meeting(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        same = rows["row.doc_id"].eqNullSafe(keys["_id"]) & (rows["sha"] == keys["_sha"])
+        return rows.join(keys.select("_id", "_sha"), same, how)
+
+    left = meeting(own, judged.filter("NOT kept"), "left_anti")
+    repeated = judged.filter("kept AND n > 1")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("row.doc_id", "sha").orderBy("row.doc_id"))
+        once = meeting(left, repeated, "left_semi").withColumn("place", place).filter("place = 1")
+        left = meeting(left, repeated, "left_anti").unionByName(once.drop("place"))
+    return left.select("row.*")
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the one with the smallest id.
+    """Of each group of near copies the document with the smallest id.
 
-    Documents without an id stay if they are like none that has one.
+    Near copies are linked by SimHash fingerprints of three words at two or fewer differing
+    bits.  A document without an id yields to any that has one; of those that share an id
+    the one with the smaller hash of its text stays.
     """
     _small_batches(spark)
-    found = near_components(docs.select("doc_id", "text"), similar(0.8))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"))
+    found = near_components(docs.select(key.alias("key"), "text"), STRICT, key="key")
+    kept = found.filter(F.col("key") == F.col("component_id")).select("key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("own"))
+    same = (rows["own.hash"] == kept["key.hash"]) & rows["own.doc_id"].eqNullSafe(kept["key.doc_id"])
+    return rows.join(kept, same, "left_semi").select("row.*")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage like a benchmark item."""
     _small_batches(spark)
-    matches = matching(table(spark, sf_dir, "benchmark"))
-    return docs.filter(F.size(matches(F.col("text"))) == 0)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = contaminations(rows, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("contaminations") == 0).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

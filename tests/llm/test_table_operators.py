@@ -43,8 +43,9 @@ def test_archives_come_back(spark, tmp_path):
     assert warc.read_records(spark, path).filter("segment IS NOT NULL").count() > 10
     records = stored(warc.read_archives(spark, path), "records")
     found = {r.page_id: r for r in warc.page_records(records).collect()}
-    bodies = {i: (html or "").encode() for i, _, html, _ in rows if i}
-    last = {body: max(i for i, b in bodies.items() if b == body) for body in bodies.values()}
+    bodies = {i: (html or "").encode() for i, _, html, _ in rows}
+    last = {body: max((i for i, b in bodies.items() if b == body), key=lambda i: i or 0)
+            for body in bodies.values()}
     assert set(found) == set(bodies)
     for i, body in bodies.items():
         row = found[i]
@@ -56,6 +57,28 @@ def test_archives_come_back(spark, tmp_path):
     assert payloads == set(bodies.values())
 
 
+def test_every_row_is_a_record(spark, tmp_path):
+    long, other = "a" * 3000, "b" * 2500
+    rows = [(1, long), (1, long), (2, other), (2, long), (2, ""), (2, None), (None, long), (None, "x"),
+            (None, "x"), (None, None), (-5, other)]
+    schema = "page_id long, html string, url string, sound int, record_type string, key int, row int, keep int"
+    pages = spark.createDataFrame([(*r, "u", 1, "t", 2, 3, 4) for r in rows], schema)
+    warc.write_archives(pages, str(tmp_path / "w"), segment_bytes=700)
+    found = warc.page_records(stored(warc.read_archives(spark, str(tmp_path / "w")), "records")).collect()
+    want = Counter()
+    for i, html in rows:
+        body = (html or "").encode()
+        keep = max((j for j, h in rows if (h or "") == (html or "") and j is not None), default=None)
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        kind = ("response", None) if keep == i else ("revisit", keep)
+        want[i, len(body), digest, *kind, True] += 1
+    assert want == Counter(
+        (r.page_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to, r.sound) for r in found)
+    empty = spark.createDataFrame([], schema)
+    warc.write_archives(empty, str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"), minimum_bytes=3)
@@ -255,6 +278,36 @@ def test_a_template_takes_its_labels_verdict(spark):
     assert verdicts == {("shop", "block"), ("wiki", "allow")}
 
 
+def test_unlabelled_rows_follow_their_neighbourhood(spark):
+    """Branch, then host, then domain: what is known nearby decides where a template has no labels."""
+    urls = [f"x://bad.site.com/spam/{i}" for i in range(30)] + ["x://bad.site.com/about"] * 3
+    urls += [f"x://good.site.com/news/{i}" for i in range(30)] + ["x://good.site.com/about"] * 3
+    urls += ["x://new.worse.org/a", "x://new.other.org/a"] + [f"x://old.worse.org/p/{i}" for i in range(40)]
+    urls += [f"x://mix.net/{kind}/{i}" for kind in ("good", "bad", "none") for i in range(40)]
+    rules = [("block", "bad.site.com", "/spam/"), ("allow", "good.site.com", "/news/"),
+             ("block", "old.worse.org", "/"), ("block", "mix.net", "/bad/"), ("allow", "mix.net", "/good/"),
+             ("allow", "fine.org", "/")]
+    urls += [f"x://fine.org/{i}" for i in range(60)]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls + urls)],
+                                  "page_id long, url string, share long, form int")
+    rows = judge_urls(pages, rules).filter("rule IS NULL").collect()
+    verdicts = {(r.host, r.path.split("/")[1]): r.verdict for r in rows}
+    assert verdicts["bad.site.com", "about"] == "block"
+    assert verdicts["good.site.com", "about"] == "allow"
+    assert verdicts["new.worse.org", "a"] == "block" and verdicts["new.other.org", "a"] == "allow"
+    templates = {(r.host, r.path.split("/")[1]): r.template for r in judge_urls(pages, rules).collect()}
+    assert templates["mix.net", "good"] != templates["mix.net", "bad"]
+
+
+@pytest.mark.parametrize("sf", ["0.01"])
+def test_rows_without_a_rule_get_both_verdicts(spark, sf):
+    from foliant.llm.url_queries import RULES as OWN
+
+    pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+    found = judge_urls(pages, OWN).filter("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r.verdict for r in found} == {"allow", "block"}
+
+
 # -- language model ----------------------------------------------------------
 
 @pytest.fixture(scope="module")
@@ -265,7 +318,7 @@ def corpus(spark):
         for _ in range(120)]
     return texts, spark.createDataFrame(
         [(i, t, i % 5 != 4, "x") for i, t in enumerate(texts)],
-        "doc_id long, text string, training boolean, numbers string").drop("numbers")
+        "doc_id long, text string, training boolean, numbers string")
 
 
 def small_model(docs):

@@ -1,9 +1,13 @@
 """Byte-level BPE, token files, toxicity and decontamination against the libraries and brute force."""
 
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -189,8 +193,8 @@ def test_multi_index_gives_all_within_the_radius():
         number = index.prints[draw.randrange(200)]
         for bit in draw.sample(range(64), draw.randrange(25)):
             number ^= 1 << bit
-        assert index.within_radius(number) == {
-            i for i, own in enumerate(index.prints) if (own ^ number).bit_count() <= 15}
+        assert index.within_radius(number, 20) == [
+            i for i, own in enumerate(index.prints) if (own ^ number).bit_count() <= 15]
 
 
 def test_long_labelled_texts_take_part_in_the_fit(spark):
@@ -212,8 +216,65 @@ def test_texts_fill_the_sample_and_an_empty_label_is_warned_of(spark):
         toxicity.train(docs, labels.filter("toxic = 1"), training=F.lit(True))
 
 
-def test_sampled_sentences_are_bounded():
-    assert toxicity.sampled_sentences("One. Two. Six.", 10)[1] == 3 / 2
-    text = "One sentence. Two sentences! " * 50
-    assert 0 < len(toxicity.sampled_sentences(text, 300)[0]) <= 300
-    assert 0 < len(toxicity.sampled_sentences("word" + " other words" * 90, 40)[0]) <= 40
+def test_the_sample_is_bounded_by_whole_texts(spark):
+    rows = [(i, ("nasty " if i % 2 else "fine ") * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for characters, texts in ((1, 1), (250, 3), (10**6, 20)):
+        seen, fit = [], toxicity.fit
+
+        def watched(sample, rule, totals):
+            seen.extend(sample)
+            return fit(sample, rule, totals)
+
+        toxicity.fit = watched
+        try:
+            toxicity.train(docs, labels, training=F.lit(True),
+                           rule=toxicity.FitRule(characters_per_label=characters, epochs=1))
+        finally:
+            toxicity.fit = fit
+        counts = Counter(row[1] for row in seen)
+        assert all(row[0] == rows[row[1]][1] for row in seen)
+        assert counts[1] == texts and texts <= counts[0] <= texts + 1
+
+
+def test_ids_before_signs_are_the_tokenizers():
+    """Characters whose lower case has more than one code point, before every sign."""
+    with open(WORDS) as file:
+        coder = token_files.WordIds(file.read())
+    several = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) > 1]
+    marked = ["e\u0301", "ÉCOLE", "ΣΑΣ", "ǰ", "İSTANBUL", "DİYARBAKIR"]
+    texts = [f"{a}{c}{b}{sign}" for c in [*several, *marked] for sign in ".,;:!?"
+             for a, b in (("", ""), ("ab", ""), ("", "cd"), ("É", "é"))]
+    assert several
+    library = Tokenizer.from_file(WORDS)
+    for text in texts + [" ".join(texts)]:
+        assert ids_of(coder.encode([text.encode()])[0]) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_executors_need_no_package(tmp_path):
+    """Operators that send a model run from another folder, without the package on the workers' path."""
+    root = str(Path(toxicity.__file__).resolve().parent.parent.parent)
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").getOrCreate()
+from foliant.llm import brown_classes, toxicity
+docs = spark.createDataFrame([(i, "some nasty words." if i % 2 else "fine words.") for i in range(12)],
+                             "doc_id long, text string")
+labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
+model = toxicity.train(docs, labels, training=F.lit(True))
+assert toxicity.toxicity(docs, model).filter("toxicity.score > 0.5").count() == 6
+texts = docs.withColumns({{"training": F.lit(True), "numbers": F.lit(1), "row": F.lit("r"), "others": F.lit(2)}})
+scored = brown_classes.scores(brown_classes.train(texts, "training"), "doc_id", "row", "numbers")
+assert {{(r.row, r.numbers, r.n_tokens) for r in scored.collect()}} == {{("r", 1, 3), ("r", 1, 4)}}
+print("all well")
+"""
+    (tmp_path / "run.py").write_text(script)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True,
+                          text=True, timeout=300)
+    assert "all well" in done.stdout, done.stderr[-3000:]
