@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker
@@ -36,13 +36,12 @@ KEPT_WORDS = 100_000
 class FitRule:
     """The sample's bounds and the fit.
 
-    ``rows_per_label`` bounds the sample of labelled keys that the classifier is
-    fitted on, and ``longest_text`` (characters) what is taken of each text: of
-    longer ones a sample of sentences.  Nothing else is bounded.
+    ``rows_per_label`` and ``characters_per_label`` bound the sample of labelled keys that
+    the classifier is fitted on.  Their texts are taken whole; nothing else is bounded.
     """
 
     rows_per_label: int = 3000
-    longest_text: int = 20_000
+    characters_per_label: int = 40_000_000
     dimensions: int = 1 << 16
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7)
     epochs: int = 90
@@ -81,9 +80,7 @@ def _noisy_or(harmless_logs: np.ndarray) -> np.ndarray:
 def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
     """Fit on (text, label) rows; ``totals`` are all labelled rows by label, for their weights.
 
-    A third value says how many sentences each of the text's stands for, so that
-    a sample of a long text's sentences counts for its whole length, and a fourth
-    how many rows the text does.
+    A third value says how many rows the text stands for.
 
     Without rows of one label there is nothing to tell apart: the weights stay
     zero, and the bias leaves texts harmless.
@@ -110,11 +107,10 @@ def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
             of_document.append(document)
     at, of_word, word_at, of_sentence, of_document = (
         np.asarray(a) for a in (at, of_word, word_at, of_sentence, of_document))
-    copies = np.array([row[3] if len(row) > 3 else 1 for row in rows])
+    copies = np.array([row[2] if len(row) > 2 else 1 for row in rows])
     share = np.array([totals[y] / max(1, int(copies[labels == y].sum())) for y in (0, 1)])[labels]
     share = share * copies
     share = share / share.sum()
-    times = np.array([row[2] if len(row) > 2 else 1.0 for row in rows])[of_document]
     bias, first, second = rule.first_bias, np.zeros(rule.dimensions + 1), np.zeros(
         rule.dimensions + 1)
     positive = labels[of_document] == 1
@@ -124,10 +120,10 @@ def fit(rows: Iterable[tuple], rule: FitRule, totals: tuple[int, int]) -> Model:
         chance = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         harmless = np.log1p(-np.minimum(chance, 1 - 1e-9))
         toxic = np.maximum(
-            _noisy_or(np.bincount(of_document, times * harmless, minlength=len(rows))), 1e-9
+            _noisy_or(np.bincount(of_document, harmless, minlength=len(rows))), 1e-9
         )
         blame = np.where(positive, -chance * ((1 - toxic) / toxic)[of_document], chance)
-        blame *= share[of_document] * times
+        blame *= share[of_document]
         word_blame = np.bincount(word_at, blame[of_sentence], minlength=len(known))
         slope = np.append(
             np.bincount(at, word_blame[of_word], minlength=rule.dimensions) + rule.decay * weights,
@@ -149,7 +145,8 @@ def train(
     """Fit on a sample of the labelled documents for which ``training``, on the key, holds.
 
     At most ``rows_per_label`` keys per label that have a text are taken in the
-    order of a hash of the key; their texts are found by a scan that joins this
+    order of a hash of the key, as long as the texts before have fewer than
+    ``characters_per_label`` characters; their texts are found by a scan that joins this
     bounded list.  Of repeated keys the larger label counts, and one text for
     all their rows; null
     keys and labels are left out.  A label without rows is warned of.
@@ -165,55 +162,19 @@ def train(
         some = usable.filter(F.col("_label") == value).orderBy(*order).limit(rule.rows_per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = docs.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key)
-    bounded = _bounded(F.col(text), rule.longest_text).alias("_text")
-    least = F.min(F.struct(F.xxhash64("_text.text"), "_text")).getField("_text").alias("_text")
-    rows = rows.select(key, "_label", bounded).groupBy(key, "_label").agg(least, F.count(F.lit(1)).alias("_copies"))
+    least = F.min(F.struct(F.xxhash64(text), F.col(text).alias("text"))).getField("text")
+    grouped = rows.groupBy(key, "_label").agg(least.alias("_text"), F.count(F.lit(1)).alias("_copies"))
+    before = F.sum(F.length("_text")).over(Window.partitionBy("_label").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1))
+    within = grouped.withColumn("_before", F.coalesce(before, F.lit(0))).filter(
+        F.col("_before") < rule.characters_per_label)
     sample = [row[1:] for row in sorted(
-        tuple(row) for row in rows.select(
-            key, "_text.text", "_label", "_text.times", "_copies").collect())]
+        tuple(row) for row in within.select(key, "_text", "_label", "_copies").collect())]
     for value in {0, 1} - {row[1] for row in sample}:
         warnings.warn(f"no text with {label} = {value} to fit on: every text will count as harmless")
     return fit(sample, rule, (counts.get(0, 0), counts.get(1, 0)))
 
 
-def sampled_sentences(text: str, most: int) -> tuple[str, float]:
-    """As many sentences of a text as ``most`` characters hold, and how many each stands for.
-
-    They are taken in the order of hashes.  Where the first alone is longer, its
-    distinct words in the order of theirs.
-    """
-    import xxhash
-
-    def taken(parts: Iterable[tuple[int, str]]) -> list[str]:
-        some, room = [], most
-        for at, part in sorted(parts, key=lambda p: (xxhash.xxh64_intdigest(p[1].encode(), p[0]), p)):
-            room -= len(part) + 1
-            if room < 0:
-                break
-            some.append(part)
-        return some
-
-    whole = list(sentences(text))
-    some = taken((start, text[start:end]) for start, end, _ in whole)
-    if not some and whole:
-        first = min(whole, key=lambda s: xxhash.xxh64_intdigest(text[s[0]:s[1]].encode(), s[0]))
-        some = [" ".join(taken((0, word) for word in first[2]))]
-    return "\n".join(some), len(whole) / max(1, len(some))
-
-
-def _bounded(text: Column, most: int) -> Column:
-    """``struct<text, times>`` with the whole text and 1 up to so many characters."""
-    kind = pa.struct([("text", pa.string()), ("times", pa.float64())])
-
-    @F.arrow_udf("struct<text:string,times:double>")
-    def bounded(texts: pa.Array) -> pa.Array:
-        found = (None if t.as_py() is None else sampled_sentences(t.as_py(), most) for t in texts)
-        return pa.array([None if f is None else dict(zip(("text", "times"), f)) for f in found], kind)
-
-    whole = F.struct(text.alias("text"), F.lit(1.0).alias("times"))
-    return F.coalesce(bounded(F.when(F.length(text) > most, text)), whole)
-
-
 class Scorer:
     """Sentence and document scores; a word's summed weight is kept."""
 
@@ -249,7 +210,8 @@ _RESULT = "struct<score:double,sentences:array<struct<start:int,end:int,score:do
 
 def judge(spark: SparkSession, model: Model, *, offending: float = 0.5):
     """Column function: a text's score and offending sentences."""
-    sent = spark.sparkContext.broadcast(model)
+    # Arrays and numbers alone: an instance would need this module on the executors.
+    sent, rule = spark.sparkContext.broadcast((model.weights, model.bias)), model.rule
     name = ("toxicity", hash(model.weights.tobytes()), model.bias)
     kind = pa.struct([
         ("score", pa.float64()),
@@ -260,7 +222,7 @@ def judge(spark: SparkSession, model: Model, *, offending: float = 0.5):
 
     @F.arrow_udf(_RESULT)
     def judged(texts: pa.Array) -> pa.Array:
-        scorer = once_per_worker(name, lambda: Scorer(sent.value))
+        scorer = once_per_worker(name, lambda: Scorer(Model(*sent.value, rule)))
         found = (scorer.score(t.as_py(), offending) for t in texts)
         return pa.array([{"score": s, "sentences": where} for s, where in found], type=kind)
 
