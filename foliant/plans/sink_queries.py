@@ -111,12 +111,12 @@ def k7_save_policy(spark, sf_dir):
         "chunks": chunks, "index": session_index(chunks),
     }
     root, counts = fresh_path(spark, "saved"), None
-    written = [
+    pairs = [
         (operation, name)
         for operation in ("document_add", "document_add", "chat_message", "manual_save", "close")
         for name in writers.save(operation, tables, root)
     ]
-    for operation, name in sorted(set(written)):
+    for operation, name in sorted(set(pairs)):
         one = writers.read_table(spark, root, name).agg(F.count(F.lit(1)).alias("n_rows"))
         one = one.select(F.lit(operation).alias("operation"), F.lit(name).alias("name"), "n_rows")
         counts = one if counts is None else counts.unionByName(one)
