@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from foliant.llm.shared import once_per_worker
 
 #: Stretches whose ids a worker keeps, and the length up to which it keeps them.
 KEPT_STRETCHES, KEPT_LENGTH = 400_000, 48
-#: Compatible or incompatible pairs that a worker keeps.
+#: Pairs of which a worker keeps whether they are compatible, and what follows from it.
 KEPT_PAIRS = 400_000
+#: Signs that the usual patterns keep together after letters.
+SIGNS = ".,;:!?"
 #: Stretches that are joined at a time.
 STRETCHES_AT_ONCE = 200_000
 
@@ -51,18 +54,40 @@ WORD_WISE = (
 )
 
 
+#: Ids up to which a packer is kept for their number.
+PACKED = 64
+
+
 class Stretches(dict):
-    """Packed ids by stretch of text, computed where missing."""
+    """Packed ids by stretch of text, computed where missing.
+
+    Half of what is kept is the newer half; when that is full, the older one goes, so that
+    stretches which come again and again stay.
+    """
 
     def __init__(self, coder: Coder):
         super().__init__()
         self.coder = coder
+        self.older: dict[str, bytes] = {}
+
+    def aged(self) -> None:
+        """Let the older half go if the newer one is full."""
+        if len(self) > KEPT_STRETCHES // 2:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is not None:
+            self[stretch] = ids
+            return ids
         coder = self.coder
         letters = stretch[1:] if stretch[0] == " " else stretch
         if coder.word_wise and letters.isalpha():
             pieces = [stretch]
+        elif coder.word_wise and (core := letters.rstrip(SIGNS)).isalpha():
+            end = len(core) - len(letters)
+            pieces = [stretch[:end], stretch[end:]]
         else:
             pieces = coder.pattern.findall(stretch)
         if len(pieces) == 1:
@@ -75,7 +100,7 @@ class Stretches(dict):
 
     def of_piece(self, piece: str) -> bytes:
         """Ids of a piece, which may be a stretch elsewhere."""
-        ids = self.get(piece)
+        ids = self.get(piece) or self.older.get(piece)
         if ids is None:
             ids = self.coder.pack(self.coder.piece(piece.encode()))
             if len(piece) <= KEPT_LENGTH:
@@ -109,6 +134,14 @@ class Coder:
         self.automaton.make_automaton()
         self.prefixes: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
+        self.chosen: dict[int, int] = {}
+        self.heads: dict[str, int] = {}
+        order = sorted(ranks.values())
+        sizes = np.zeros(self.never, dtype=np.int64)
+        sizes[order] = [len(self.bytes_of[rank]) for rank in order]
+        self.lengths, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.joined = np.frombuffer(b"".join(self.bytes_of[rank] for rank in order), np.uint8)
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(PACKED + 1)]
         self.stretches = Stretches(self)
 
     # -- one piece ---------------------------------------------------------
@@ -167,14 +200,42 @@ class Coder:
             self.prefixes[token] = next((other for other in found if other is not None), -1)
         return self.prefixes[token]
 
+    def longest_of(self, head: str) -> int:
+        """The longest usable token that a string begins with; else -1.
+
+        ``head`` is a path in the trie of the tokens, so there are no more of them than nodes.
+        """
+        token, length = None, len(head)
+        while token is None and length:
+            token = self.usable.get(head[:length])
+            length -= 1
+        token = -1 if token is None else token
+        self.heads[head] = token
+        return token
+
+    def following(self, last: int, token: int) -> int:
+        """The longest token compatible with the one before, from ``token`` on to its prefixes."""
+        key = last * self.never + token
+        found = self.chosen.get(key)
+        if found is not None:
+            return found
+        found = token
+        while found >= 0 and not self.compatible(last, found):
+            found = self.shorter(found)
+        if found != token:
+            if len(self.chosen) >= KEPT_PAIRS:
+                self.chosen.clear()
+            self.chosen[key] = found
+        return found
+
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece; a piece that is itself in the table is one token."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
         text, size, longest = data.decode("latin-1"), len(data), self.longest
-        reach, usable, sizes, pairs = (
-            self.automaton.longest_prefix, self.usable.get, self.sizes, self.pairs.get
+        reach, heads, sizes, pairs = (
+            self.automaton.longest_prefix, self.heads.get, self.sizes, self.pairs.get
         )
         never, failed = self.never, set()
         taken: list[int] = []
@@ -182,16 +243,19 @@ class Coder:
         while at < size:
             if token == -2:
                 head = text[at : at + longest]
-                length = reach(head)
-                token = usable(head[:length])
-                while token is None:
-                    length -= 1
-                    token = usable(head[:length]) if length else -1
-            while token >= 0 and (
-                at + sizes[token] in failed
-                or last >= 0 and not (pairs(last * never + token) or self.compatible(last, token))
-            ):
-                token = self.shorter(token)
+                head = head[: reach(head)]
+                token = heads(head)
+                if token is None:
+                    token = self.longest_of(head)
+            while token >= 0:
+                if last >= 0 and not pairs(last * never + token):
+                    token = self.following(last, token)
+                    if token < 0:
+                        break
+                if failed and at + sizes[token] in failed:
+                    token = self.shorter(token)
+                else:
+                    break
             if token >= 0:
                 taken.append(token)
                 at += sizes[token]
@@ -207,16 +271,16 @@ class Coder:
 
     # -- texts -------------------------------------------------------------
 
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def pack(self, ids: list[int]) -> bytes:
+        if len(ids) > PACKED:
+            return np.array(ids, dtype="<u4").tobytes()
+        return self.packers[len(ids)](*ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.stretches) > KEPT_STRETCHES:
-            self.stretches.clear()
+        self.stretches.aged()
         ids_of = self.stretches.__getitem__
         if len(text) < STRETCHES_AT_ONCE:
             return b"".join(map(ids_of, self.splitter.findall(text)))
@@ -224,14 +288,22 @@ class Coder:
         parts = []
         while part := b"".join(map(ids_of, islice(found, STRETCHES_AT_ONCE))):
             parts.append(part)
-            if len(self.stretches) > KEPT_STRETCHES:
-                self.stretches.clear()
+            self.stretches.aged()
         return b"".join(parts)
 
     def decode(self, ids: bytes | None) -> bytes:
-        """The bytes that packed ids stand for."""
-        numbers = memoryview(ids or b"").cast("I")
-        return b"".join(map(self.bytes_of.__getitem__, numbers))
+        """The bytes that packed ids stand for, from one buffer of all tokens."""
+        numbers = np.frombuffer(ids or b"", dtype="<u4")
+        parts = []
+        for begin in range(0, len(numbers), STRETCHES_AT_ONCE):
+            some = numbers[begin : begin + STRETCHES_AT_ONCE]
+            lengths = self.lengths[some]
+            if not lengths.all():
+                raise KeyError("an id that no token has")
+            shift = self.starts[some] - (np.cumsum(lengths) - lengths)
+            at = np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
+            parts.append(self.joined[at].tobytes())
+        return b"".join(parts)
 
 
 def coding(spark: SparkSession, ranks_path: str, pattern: str, stretches: str | None = None):
@@ -241,8 +313,8 @@ def coding(spark: SparkSession, ranks_path: str, pattern: str, stretches: str |
     usual vocabularies) travels to the workers as a broadcast, and each worker
     builds its automaton once.  ``stretches`` may name a coarser standard-library
     pattern, such as ``WORD_WISE``, each match of which ``pattern`` splits as it
-    does within the text (letters after an optional blank not at all); ids are
-    then kept by such stretches.  A null text is empty and gives no ids; null ids
+    does within the text (letters after an optional blank not at all, and signs after them
+    as one piece); ids are then kept by such stretches.  A null text is empty and gives no ids; null ids
     give no bytes.  Work is row by row: no row is ever split, sampled or cut.
     """
     with open(ranks_path, "rb") as file:
