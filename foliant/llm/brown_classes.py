@@ -18,13 +18,16 @@ the probabilities of all words, the end and the unseen entry add up to one.
 The vocabulary grows with the corpus, so no worker holds all of it.  Three
 tiers share one model:
 
-* the ``clustered`` most frequent words go through all rounds of the exchange,
-  and have their classes as histories too;
-* all other words count as one class as histories, so their own class depends
-  on the classes before them only, and one step of the exchange settles it;
-* of these, the ``frequent`` most frequent are broadcast like the first tier,
-  and texts are stored as their numbers; the rest stay words, listed beside
-  the numbers, and meet their counts and classes in joins.
+* the ``clustered`` most frequent words go through all rounds of the exchange;
+* the words after them, up to the ``frequent`` most frequent, take one step: each
+  joins the class that gains most, given the histories before it.  From then on all
+  frequent words have their classes as histories;
+* the rest count as one class as histories and take the same step.  They stay words,
+  listed beside the numbers that texts are stored as, and meet their counts and
+  classes in joins.
+
+The driver holds the classes of the frequent words and tables of classes by classes; what a
+word's step looks at is added up and judged in tasks.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +99,7 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def numbered(texts: DataFrame, frequent: Broadcast, name: tuple) -> DataFrame:
-    """``texts`` with ``numbers`` and ``others`` in place of the text.
+    """``texts``, a row, a flag, the other columns in one and a text, with ``numbers`` and ``others``.
 
     Frequent words have their ranks; any other word has the number after the
     last rank and is listed, in order, among the others.
@@ -127,9 +130,8 @@ def numbered(texts: DataFrame, frequent: Broadcast, name: tuple) -> DataFrame:
             ["numbers", "others"],
         )
 
-    return texts.withColumn("_numbered", number(F.col("text"))).drop("text").select(
-        "*", "_numbered.numbers", "_numbered.others"
-    ).drop("_numbered")
+    return texts.withColumn("found", number(F.col("text"))).select(
+        "row", "learnt", "own", "found.numbers", "found.others")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +163,8 @@ def _with_ends(lists: pa.Array, rare: int) -> tuple[np.ndarray, np.ndarray]:
 # -- exchange ----------------------------------------------------------------
 
 
-def _summed(numbers: DataFrame, size: int, keys_of, *columns: str) -> np.ndarray:
-    """Counts of keys below ``size`` over all rows, added up in tasks, then by key.
+def _sums(numbers: DataFrame, size: int, keys_of, *columns: str) -> DataFrame:
+    """(key, n): counts of keys below ``size`` over all rows, added up in tasks, then by key.
 
     ``keys_of`` gives the keys of a batch; ``size`` is a fixed number.
     """
@@ -175,9 +177,13 @@ def _summed(numbers: DataFrame, size: int, keys_of, *columns: str) -> np.ndarray
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
-    summed = numbers.select(*columns).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(
-        F.sum("n").alias("n")
-    ).toArrow()
+    return numbers.select(*columns).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(
+        F.sum("n").alias("n"))
+
+
+def _summed(numbers: DataFrame, size: int, keys_of, *columns: str) -> np.ndarray:
+    """The same counts as an array of ``size`` numbers."""
+    summed = _sums(numbers, size, keys_of, *columns).toArrow()
     result = np.zeros(size, dtype=np.int64)
     result[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
     return result
@@ -264,15 +270,15 @@ class ClassModel:
 
     rule: ClassRule
     tables: Tables
-    numbers: DataFrame  # row, the texts' other columns, numbers, others
+    numbers: DataFrame  # row, learnt, own (the texts' other columns), numbers, others
     others: DataFrame  # word, n, class
 
 
 def train(texts: DataFrame, training: str, rule: ClassRule = ClassRule()) -> ClassModel:
     """Learn from the rows for which the boolean column ``training`` is true.
 
-    ``texts`` has a column ``text`` and any others; null texts are empty and
-    consist of their end.  All counts cover all training rows.
+    ``texts`` has a column ``text`` and any others, whatever their names; null texts are empty
+    and consist of their end.  All counts cover all training rows.
     """
     spark, k = texts.sparkSession, rule.classes
     learnt = texts.filter(training).select("text")
@@ -281,29 +287,31 @@ def train(texts: DataFrame, training: str, rule: ClassRule = ClassRule()) -> Cla
         F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.count_if(F.col("n") == 1),
         F.count_if(F.col("n") == 2),
     ).first()
-    top = words_n.orderBy(F.col("n").desc(), "word").limit(rule.frequent).collect()
-    frequent = [bytes(row.word) for row in top]
+    top = words_n.orderBy(F.col("n").desc(), "word").limit(rule.frequent).toArrow()
+    frequent, of_frequent = top["word"].to_pylist(), top["n"].to_numpy()
     rare, end = len(frequent), len(frequent) + 1
     name = ("brown-words", hash(tuple(frequent)))
+    rows = texts.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.col(training), F.lit(False)).alias("learnt"),
+        F.struct(*[c for c in texts.columns if c != "text"]).alias("own"), "text")
     numbers = stored(
-        numbered(
-            texts.withColumn("row", F.monotonically_increasing_id()),
-            spark.sparkContext.broadcast(frequent), name,
-        ), "numbered-texts",
-    )
-    learnt = numbers.filter(training)
+        numbered(rows, spark.sparkContext.broadcast(frequent), name), "numbered-texts")
+    learnt = numbers.filter("learnt")
     ends = learnt.count()
-    counts = np.array([row.n for row in top] + [0, ends], dtype=np.int64)
+    counts = np.append(of_frequent.astype(np.int64), [0, ends])
 
-    # Histories: clustered words by class, all other words, the end.
+    # Histories: clustered words by class, then all frequent ones; all other words; the end.
     clustered = min(rule.clustered, rare)
     history = np.full(rare + 2, k, dtype=np.int64)
     history[:clustered] = np.arange(clustered) % k
     history[end] = k + 1
     for turn in range(rule.rounds):
         history = _round(learnt, history, clustered, rare, k, turn)
-    pairs = _pairs(learnt, history, clustered, rare, k)
-    pairs, predicted = _frequent_classes(learnt, history, pairs, clustered, rare, k)
+    if rare > clustered:
+        pairs = _pairs(learnt, history, clustered, rare, k)
+        history = _frequent_classes(learnt, history, pairs, clustered, rare, k)
+    pairs, predicted = _pairs(learnt, history, rare, rare, k), history
     others = _other_classes(words_n, learnt, history, pairs, rare, k)
     sums = others.groupBy("class").agg(F.sum("n"), F.count("n")).collect()  # a row for each class
     class_total, class_types = np.zeros(k + 2), np.zeros(k + 2)
@@ -375,11 +383,11 @@ def _pairs(learnt, history, clustered, rare, k) -> np.ndarray:
     return _summed(learnt, width * width, keys, "numbers").reshape(width, width)
 
 
-def _frequent_classes(learnt, history, pairs, clustered, rare, k):
-    """Classes of the broadcast words that are not clustered, and the bigrams with them."""
-    predicted = history.copy()
-    if rare == clustered:
-        return pairs, predicted
+def _frequent_classes(learnt, history, pairs, clustered, rare, k) -> np.ndarray:
+    """Histories in which the frequent words that are not clustered have their classes, too.
+
+    Each joins the class that gains most, given its histories before; they are judged in tasks.
+    """
     width = k + 2
     sent = learnt.sparkSession.sparkContext.broadcast(history)
 
@@ -389,14 +397,38 @@ def _frequent_classes(learnt, history, pairs, clustered, rare, k):
         inside = (now >= clustered) & (now < rare)
         yield (now[inside] - clustered) * width + sent.value[before[inside]], None
 
-    left = _summed(learnt, (rare - clustered) * width, keys, "numbers").reshape(-1, width)
-    at, of = np.nonzero(left)
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    best = joining_class(starts, of, left[at, of], pairs, k)
-    predicted[clustered + at[starts]] = best
-    pairs = pairs.copy()
-    np.add.at(pairs, (of, predicted[clustered + at]), left[at, of])
-    return pairs, predicted
+    cells = _sums(learnt, (rare - clustered) * width, keys, "numbers")
+    contexts = cells.groupBy(F.expr(f"key div {width}").alias("word")).agg(
+        F.collect_list(F.expr(f"cast(key % {width} as int)")).alias("histories"),
+        F.collect_list("n").alias("counts"))
+    found = _joined(contexts, pairs, k, "word bigint").select("word", "class").toArrow()
+    result = history.copy()
+    result[clustered + found["word"].to_numpy()] = found["class"].to_numpy()
+    # Words that no training text holds cannot be frequent, but all have a class.
+    result[clustered:rare][result[clustered:rare] == k] = 0
+    return result
+
+
+def _joined(contexts: DataFrame, pairs: np.ndarray, k: int, names: str) -> DataFrame:
+    """``contexts`` (names, then histories and counts, as lists) with the class each word joins."""
+    sent = contexts.sparkSession.sparkContext.broadcast(pairs)
+    columns = [n.split()[0] for n in names.split(", ")]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            histories, stops = _flat(batch.column(len(columns)))
+            counts, _ = _flat(batch.column(len(columns) + 1))
+            best = (
+                joining_class(stops[:-1], histories.astype(np.int64), counts, sent.value, k)
+                if batch.num_rows else np.zeros(0, np.int64)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(best.astype(np.int32))],
+                [*columns, "histories", "counts", "class"],
+            )
+
+    return contexts.select(*columns, "histories", "counts").mapInArrow(
+        join, f"{names}, histories array<int>, counts array<bigint>, class int")
 
 
 def _other_rows(numbers: DataFrame, history: np.ndarray, rare: int, *columns: str) -> DataFrame:
@@ -430,26 +462,7 @@ def _other_classes(words_n, learnt, history, pairs, rare, k) -> DataFrame:
         F.sum("n").alias("n"), F.collect_list("history").alias("histories"),
         F.collect_list("n").alias("counts"),
     )
-    sent = learnt.sparkSession.sparkContext.broadcast(pairs)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            histories, stops = _flat(batch.column(2))
-            counts, _ = _flat(batch.column(3))
-            best = (
-                joining_class(stops[:-1], histories.astype(np.int64), counts, sent.value, k)
-                if len(batch.column(0)) else np.zeros(0, np.int64)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best.astype(np.int32))],
-                ["word", "n", "histories", "counts", "class"],
-            )
-
-    return stored(
-        contexts.mapInArrow(
-            join, "word binary, n bigint, histories array<int>, counts array<bigint>, class int"
-        ), "other-words",
-    )
+    return stored(_joined(contexts, pairs, k, "word binary, n bigint"), "other-words")
 
 
 def _other_pairs(others: DataFrame, k: int) -> np.ndarray:
@@ -479,10 +492,12 @@ def scores(model: ClassModel, *columns: str) -> DataFrame:
     tables, numbers = model.tables, model.numbers
     rare = len(tables.counts) - 2
     scale = math.log10(tables.tokens + tables.types + 1)
-    sent = numbers.sparkSession.sparkContext.broadcast(tables)
+    # Arrays and numbers alone: an instance would need this module on the executors.
+    sent = numbers.sparkSession.sparkContext.broadcast(
+        tuple(getattr(tables, f.name) for f in fields(Tables)))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
+        t = Tables(*sent.value)
         word_logs = _log10(t.counts - t.discount) - t.emission[t.predicted]
         word_logs[rare + 1] = 0.0  # the end is its class's only word
         known = t.counts > 0
@@ -529,7 +544,10 @@ def scores(model: ClassModel, *columns: str) -> DataFrame:
     added = first.unionByName(second).groupBy("row").agg(
         *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
-    return numbers.select("row", *columns).join(added, "row").drop("row").withColumns({
+    return numbers.select("row", "own").join(added, "row").select(
+        *(F.col("own").getField(c).alias(c) for c in columns),
+        "n_tokens", "n_known", "base_score", "score",
+    ).withColumns({
         "train_tokens": F.lit(tables.tokens).cast("bigint"),
         "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")),
     })
