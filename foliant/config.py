@@ -46,7 +46,7 @@ class RetrievalConfig:
     similarity_threshold: float = 0.7
     max_tokens: int = 2048
     nlist: int = 100
-    nprobe: int = 8
+    nprobe: int = 16
     # Most bytes of query vectors that are shipped to every Python worker.
     # Larger query sets are joined tile by tile instead.
     broadcast_bytes: int = 64 * 1024 * 1024

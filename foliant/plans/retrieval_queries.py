@@ -247,6 +247,20 @@ def v5_cell_recall(spark, sf_dir):
     )
 
 
+@query("v5_default_recall", "SELECT count(*) AS n_queries, true AS enough FROM benchmark")
+def v5_default_recall(spark, sf_dir):
+    """Whether the cells probed by default hold nine tenths of the exact results."""
+    chunks, asked = I.stored_embeddings(spark, sf_dir), I.questions(spark, sf_dir)
+    path = fresh_path(spark, "cells")
+    retrieval.write_cells(chunks, path)
+    near = retrieval.search_cells(asked, path).select("query_id", "id", F.lit(1).alias("hit"))
+    found = retrieval.top_k(asked, chunks).join(near, ["query_id", "id"], "left")
+    return found.agg(
+        F.countDistinct("query_id").alias("n_queries"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+    )
+
+
 _CELLS = [
     "c AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER ("
     "ORDER BY md5(vec_id::VARCHAR)) - 1 AS cell FROM embeddings "
