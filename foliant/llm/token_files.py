@@ -15,6 +15,8 @@ fits one dictionary) or delta coded; the other columns are delta coded.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from foliant.llm.shared import once_per_worker
 
 #: Words whose ids a worker keeps, and the bytes up to which it keeps them.
-KEPT_WORDS, KEPT_LENGTH = 800_000, 48
+KEPT_WORDS, KEPT_LENGTH = 600_000, 48
 #: Words in one call of the tokenizer, and characters of text taken at a time.
 WORDS_PER_CALL, CHARACTERS_AT_ONCE = 200, 1 << 20
-#: Signs that always begin a new stretch after a letter.
-SIGNS = b".,;:!?"
+#: Signs: where no letter follows, a run of them is a stretch of its own after letters.
+SIGNS = string.punctuation.encode()
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,14 @@ class FileLayout:
         }
 
 
+def _stays_letters(word: str) -> bool:
+    """Whether a word is of letters alone, also after normalisation, so that signs stand apart.
+
+    Some capitals become a letter with a mark of its own, which would join the signs.
+    """
+    return word.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha()
+
+
 class WordIds:
     """Packed ids of texts from the ids of their words.
 
@@ -77,59 +87,64 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        #: The newer half of what is kept; when it is full, the older one goes.
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def letters(self, cores: list[str]) -> list[bytes]:
+    def letters(self, cores: list[bytes]) -> list[bytes]:
         """Ids of words of letters, told apart in one call by the ends of words."""
+        joined = b" ".join(cores).decode()
         ids = np.array(
-            self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, dtype="<u4"
-        )
+            self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(cores):
-            return [self.whole(core) for core in cores]
+            return [self.whole(core.decode()) for core in cores]
         packed, stops = ids.tobytes(), (4 * stops).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
     def learn(self, words: list[bytes]) -> None:
         """Keep the ids of new words."""
-        found, parts, new = {}, [], {}
+        kept, found, parts, new = self.kept, {}, [], set()
         for word in words:
             core = word.rstrip(SIGNS)
-            letters = core.decode()
-            if letters.isalpha():
-                parts.append((word, core, word[len(core) :]))
-                if core not in self.kept:
-                    new[core] = letters
+            if core.isalpha() or not core.isascii() and _stays_letters(core.decode()):
+                if len(core) < len(word):
+                    parts.append((word, core))
+                if core not in kept:
+                    new.add(core)
             else:
                 found[word] = self.whole(word.decode())
-        learnt = {}
         cores = list(new)
         for i in range(0, len(cores), WORDS_PER_CALL):
             some = cores[i : i + WORDS_PER_CALL]
-            learnt.update(zip(some, self.letters([new[core] for core in some])))
-        signs = {after: self.whole(after.decode()) for after in {p[2] for p in parts} if after}
-        for word, core, after in parts:
-            ids = learnt.get(core) or self.kept[core]
-            found[word] = ids + signs[after] if after else ids
-        self.kept.update(found)
-        self.kept.update((core, ids) for core, ids in learnt.items() if len(core) <= KEPT_LENGTH)
+            kept.update(zip(some, self.letters(some)))
+        after = {word[len(core):] for word, core in parts}
+        signs = {run: self.whole(run.decode()) for run in after}
+        kept.update({word: kept[core] + signs[word[len(core):]] for word, core in parts})
+        kept.update(found)
+        self.long += [word for word in new.union(words) if len(word) > KEPT_LENGTH]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of texts."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.older, self.kept = self.kept, {}
         split = [text.lower().split() for text in texts]
+        self.long = []
         new = set().union(*split) - self.kept.keys()
+        if new and self.older:
+            again = new & self.older.keys()
+            self.kept.update(zip(again, map(self.older.__getitem__, again)))
+            new -= again
         if new:
             self.learn(list(new))
         packed = [b"".join(map(self.kept.__getitem__, some)) for some in split]
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del self.kept[word]
+        for word in self.long:
+            self.kept.pop(word, None)
         return packed
 
 
