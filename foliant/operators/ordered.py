@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from foliant.runtime import fresh_path
 
 ROWS_PER_RANGE = 2_000_000
+#: Most partitions of the range exchange: the driver samples their bounds and hears of each task.
+MOST_PARTITIONS = 512
 
 
 def _order(df: DataFrame, order: str) -> list[Column]:
@@ -39,7 +41,8 @@ def _split(df: DataFrame, group: str, order: str, rows_per_range: int):
     """Rows of ordinary groups, and those of large groups with their ``_range``, or None.
 
     Ranges are those of a range exchange, so equal orders share one; they are
-    written, since bounds are sampled anew by each evaluation.
+    written, since bounds are sampled anew by each evaluation.  Where more ranges are
+    wanted than the exchange has partitions, each group is cut again within a partition.
     """
     large = df.groupBy(group).count().filter(F.col("count") > rows_per_range)
     rows = large.agg(F.sum("count")).first()[0]
@@ -49,9 +52,15 @@ def _split(df: DataFrame, group: str, order: str, rows_per_range: int):
     large = large.select(F.col(group).alias("_group"))
     inside = F.col(group).eqNullSafe(F.col("_group"))
     path = fresh_path(spark, "ranges")
+    wanted = -(-rows // rows_per_range) + 1
     ranged = df.join(large, inside, "left_semi").repartitionByRange(
-        -(-rows // rows_per_range) + 1, group, order
+        min(wanted, MOST_PARTITIONS), group, order
     ).withColumn("_range", F.spark_partition_id())
+    if wanted > MOST_PARTITIONS:
+        # By rank, so equal orders still share a range.
+        place = F.rank().over(Window.partitionBy("_range", group).orderBy(order)) - 1
+        cut = F.floor(place / rows_per_range).cast("bigint")
+        ranged = ranged.withColumn("_range", F.shiftleft(F.col("_range").cast("bigint"), 32) + cut)
     ranged.write.parquet(path)
     return df.join(large, inside, "left_anti"), spark.read.schema(ranged.schema).parquet(path)
 
