@@ -330,8 +330,8 @@ def k4_written_export(spark, sf_dir):
 def s1_document_files(spark, sf_dir):
     """Documents as files of a folder, read with the size limit pushed into the scan."""
     path = fresh_path(spark, "document-files")
-    I.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")).repartition(
-        "doc_id").write.partitionBy("doc_id").text(path)
+    writers.write_files(I.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("value")), path, "doc_id")
     config = ChunkingConfig(max_file_size_mb=4096 / 1024 / 1024)
     return readers.read_documents(spark, path, config).select(
         F.regexp_extract("source_file", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"),

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TASKS_PER_CORE = 8
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
@@ -62,6 +64,21 @@ def _is_spread(df: DataFrame, cores: int) -> bool:
     return False
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """Give a scan of very many small files fewer tasks, without a shuffle.
+
+    Spark counts each file as if it had some megabytes more, so a partition holds few of
+    them.  There are as many tasks as the bytes need, by the planner's estimate, and some per
+    core; a scan of fewer partitions stays as it is.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.coalesce(max(_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // most)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table written below the shared folder and read back.
 

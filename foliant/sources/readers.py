@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from foliant import schema
 from foliant.config import ChunkingConfig
 from foliant.functions import text as tx
+from foliant.runtime import gathered
 
 
 def _as_documents(files: DataFrame, config: ChunkingConfig) -> DataFrame:
@@ -35,7 +36,7 @@ def read_documents(
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         .load(path)
     )
-    return _as_documents(files, config)
+    return gathered(_as_documents(files, config))
 
 
 def stream_documents(
