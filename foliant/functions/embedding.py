@@ -20,6 +20,30 @@ def strings(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
+#: Bytes of text that a worker turns into Python objects at once.
+SLICE_BYTES = 1 << 20
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A string column in parts of at most ``most`` bytes, a longer text alone; at least one part.
+
+    Arrow batches are bounded by rows, and whole texts make large ones.  A worker that takes a
+    part at a time needs memory for that part, whatever the batch holds.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begin = 0
+    while True:
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(int(np.searchsorted(ends, before + most, side="right")), begin + 1)
+        yield column.slice(begin, end - begin)
+        begin = end
+        if begin >= len(column):
+            return
+
+
 class Embedder(Protocol):
     """A model: ``open`` loads it once per Python worker, ``encode`` embeds a batch.
 
@@ -32,6 +56,10 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+#: Most words whose buckets a worker remembers.
+_KNOWN_WORDS = 1 << 16
+
+
 class HashedWords:
     """Hashed bag of words with unit length; needs no model files.
 
@@ -51,7 +79,7 @@ class HashedWords:
         if bucket is None:
             digest = hashlib.md5(word.encode()).digest()
             bucket = int.from_bytes(digest[:4], "big") % self.dim
-            if len(self.known) < 1 << 19:
+            if len(self.known) < _KNOWN_WORDS:
                 self.known[word] = bucket
         return bucket
 
@@ -81,15 +109,15 @@ def embed(text: Column | str, embedder: Embedder, truncate_dim: int | None = Non
           batch_size: int | None = None) -> Column:
     """Embed a text column; rows keep their order, so no join is needed.
 
-    ``batch_size`` bounds the texts per model call; Arrow batches bound them
-    otherwise.  ``truncate_dim`` keeps the first components only (V1).
+    ``batch_size`` bounds the texts per model call; their bytes (``SLICE_BYTES``) bound them
+    in any case.  ``truncate_dim`` keeps the first components only (V1).
     """
 
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.open()
-        for batch in batches:
-            texts = [t or "" for t in strings(batch)]
+        for part in (part for batch in batches for part in slices(batch)):
+            texts = [t or "" for t in strings(part)]
             step = batch_size or max(len(texts), 1)
             parts = [embedder.encode(texts[i:i + step]) for i in range(0, len(texts), step)]
             if not parts:
@@ -127,8 +155,8 @@ def embed_or_reason(text: Column | str, embedder: Embedder, batch_size: int | No
     @F.arrow_udf("struct<embedding:array<float>,reason:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.open()
-        for batch in batches:
-            texts = [t or "" for t in strings(batch)]
+        for part in (part for batch in batches for part in slices(batch)):
+            texts = [t or "" for t in strings(part)]
             step = batch_size or max(len(texts), 1)
             found = [row for i in range(0, len(texts), step) for row in one(texts[i:i + step])]
             yield pa.StructArray.from_arrays([

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.config import ChunkingConfig
-from foliant.functions.embedding import strings
+from foliant.functions.embedding import slices, strings
 
 SPANS_TYPE = "array<struct<start:bigint,end:bigint,content:string>>"
 _ARROW_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("content", pa.string())])
@@ -114,8 +114,10 @@ def chunk_spans(text: Column | str, config: ChunkingConfig = ChunkingConfig()) -
     """
 
     @F.arrow_udf(SPANS_TYPE)
-    def spans(texts: pa.Array) -> pa.Array:
-        return _span_array(texts, config)
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in slices(texts):
+                yield _span_array(part, config)
 
     return spans(F.col(text) if isinstance(text, str) else text)
 

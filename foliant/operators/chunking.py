@@ -11,7 +11,7 @@ from foliant.config import ChunkingConfig
 from foliant.functions import text as tx
 from foliant.functions import structure as st
 from foliant.functions.spans import chunk_spans, drifting_positions
-from foliant.runtime import spread
+from foliant.runtime import small_batches, spread
 
 
 def clean_pieces(pieces: Column, unit: str = "chars") -> Column:
@@ -96,6 +96,7 @@ def chunk_documents(
     ``describe`` maps the array of chunks to arrays with a value for each of them, and may
     use columns of the document, which are then not repeated for every chunk.
     """
+    small_batches(documents.sparkSession)
     kept = [c for c in keep if c != "source_file"]
     used = [c for c in documents.columns if c not in ("source_file", text)]
     if describe is None:
@@ -137,6 +138,7 @@ def spans_table(
     documents: DataFrame, config: ChunkingConfig = ChunkingConfig(), *, text: str = "content"
 ) -> DataFrame:
     """Raw spans, before chunk cleaning (G1)."""
+    small_batches(documents.sparkSession)
     spans = spread(documents.select("source_file", text), "source_file").select(
         "source_file", chunk_spans(text, config).alias("_spans")
     )
@@ -150,6 +152,7 @@ def with_drifting_positions(
     documents: DataFrame, config: ChunkingConfig = ChunkingConfig(), *, text: str = "content"
 ) -> DataFrame:
     """Chunks with the positions a forward search from the last chunk's end finds."""
+    small_batches(documents.sparkSession)
     arrays = spread(documents.select("source_file", text), "source_file").select(
         "source_file", text, chunk_array(F.col(text), config).alias("_chunks")
     )

@@ -25,7 +25,7 @@ from foliant.functions.embedding import strings
 from foliant.functions.vectors import is_embedded
 
 DIGITS = 6
-_BLOCK_CELLS = 4_000_000        # scores computed at once in a worker
+_BLOCK_CELLS = 500_000          # scores computed at once in a worker
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _TASKS_PER_CORE = 8
+_ROWS_PER_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +65,17 @@ def _is_spread(df: DataFrame, cores: int) -> bool:
     return False
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in small Arrow batches, from now on in this session.
+
+    A worker holds the batch it works on and the next one; with Spark's 10,000 rows these grow
+    with the size of the input splits.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= _ROWS_PER_BATCH:
+        spark.conf.set(key, str(_ROWS_PER_BATCH))
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """Give a scan of very many small files fewer tasks, without a shuffle.
 

@@ -1,5 +1,10 @@
 """Steps whose cost must not grow with the rows of a batch or the number of files."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from foliant.functions import embedding
+from foliant.operators.chunking import chunk_documents, spans_table, with_drifting_positions
 from foliant.runtime import gathered
 from foliant.sinks import writers
 from foliant.sources import readers
@@ -25,3 +30,40 @@ def test_scan_of_many_files_has_few_tasks(spark):
     assert gathered(many).rdd.getNumPartitions() <= 8 * cores
     assert gathered(many).count() == 10
     assert gathered(spark.range(0, 10, 1, 2)).rdd.getNumPartitions() == 2
+
+
+def test_slices():
+    texts = ["aä" * 40, None, "", "x" * 500, "b", None, "c" * 99]
+    for column in (pa.array(texts), pa.array(["skipped", *texts]).slice(1)):
+        parts = list(embedding.slices(column, 100))
+        assert [t for p in parts for t in p.to_pylist()] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= 100
+                   for p in parts)
+        assert len(parts) > 2
+    assert [len(p) for p in embedding.slices(pa.array([], pa.string()))] == [0]
+
+
+def test_model_calls_are_bounded_by_bytes(spark):
+    class Counting(embedding.HashedWords):
+        def encode(self, texts):
+            if sum(map(len, texts)) > 1 << 20:
+                raise ValueError("too much at once")
+            return super().encode(texts)
+
+    rows = spark.range(40).select(F.repeat(F.lit("some words "), 10_000).alias("text")).coalesce(1)
+    assert rows.select(embedding.embed("text", Counting(8)).alias("e")).filter("size(e) = 8").count() == 40
+    tried = rows.select(embedding.embed_or_reason("text", Counting(8)).alias("r"))
+    assert tried.filter("r.reason IS NULL").count() == 40
+
+
+def test_whole_texts_go_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    documents = spark.createDataFrame([("a.txt", "some text")], "source_file string, content string")
+    try:
+        for step in (chunk_documents, spans_table, with_drifting_positions):
+            spark.conf.set(key, "10000")
+            assert step(documents).count() == 1
+            assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
