@@ -34,7 +34,9 @@ def session_index(
     """The index rows of all sessions of ``chunks`` (session, id and vector).
 
     A session has ``nlist`` cells, or as many as it has embedded chunks.  Large sessions are
-    dealt out to groups of bounded size, each of which gets the centres.
+    dealt out to groups of bounded size, each of which gets the centres.  ``chunks`` are read
+    for the sizes, the centres and the rows, so they should be a table; the assigned
+    rows are written, as two passes follow.
     """
     rows = chunks.filter(is_embedded(F.col(vector))).select(
         "session", F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("embedding"))
@@ -64,7 +66,8 @@ def session_index(
             "embedding": own["embedding"]})
 
     keys = ("session", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(assign, INDEX)
+    found = written(
+        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(assign, INDEX), "assigned")
     # A centre that lies nearer to another one is kept as the centre of its own cell.
     astray = found.filter("NOT centre").select("session", "id", F.lit(True).alias("astray")).join(
         centres.select("session", F.col("centre_id").alias("id"), F.col("cell").alias("own_cell")),

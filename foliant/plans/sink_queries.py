@@ -106,9 +106,11 @@ def k7_save_policy(spark, sf_dir):
     """Operations one after another in one folder; the tables each writes, with their rows at the end."""
     chunks = written(I.routed_chunks(spark, sf_dir).withColumn(
         "embedding", embed("content", HashedWords(I.EMBED_DIM))), "saved-chunks")
+    # Saved several times each, so they are worked out once.
     tables = {
-        "metadata": I.sessions(spark, sf_dir), "chat": I.chat(spark, sf_dir),
-        "chunks": chunks, "index": session_index(chunks),
+        "metadata": written(I.sessions(spark, sf_dir), "saved-metadata"),
+        "chat": written(I.chat(spark, sf_dir), "saved-chat"),
+        "chunks": chunks, "index": written(session_index(chunks), "saved-index"),
     }
     root, counts = fresh_path(spark, "saved"), None
     pairs = [
@@ -139,7 +141,8 @@ _SESSION_VECTORS = [
 
 
 def _session_chunks(spark, sf_dir):
-    return I.embedded_chunks(spark, sf_dir).select("session", "id", "embedding")
+    return written(
+        I.embedded_chunks(spark, sf_dir).select("session", "id", "embedding"), "session-chunks")
 
 
 @query("k7_session_index", S.with_ctes(_SESSION_VECTORS, (

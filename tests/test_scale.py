@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import embedding
 from foliant.operators.chunking import chunk_documents, spans_table, with_drifting_positions
+from foliant.operators.session_index import session_index
 from foliant.runtime import gathered
 from foliant.sinks import writers
 from foliant.sources import readers
@@ -67,3 +68,12 @@ def test_whole_texts_go_in_small_batches(spark):
             assert int(spark.conf.get(key)) <= 1000
     finally:
         spark.conf.set(key, before)
+
+
+def test_index_rows_are_assigned_once(spark):
+    rows = spark.createDataFrame(
+        [("s", f"c{i}", [float(i % 3), 1.0]) for i in range(9)],
+        "session string, id string, embedding array<float>")
+    index = session_index(rows)
+    assert "FlatMapCoGroups" not in index._jdf.queryExecution().optimizedPlan().toString()
+    assert index.count() == 9 and index.filter("centre").count() == 9
