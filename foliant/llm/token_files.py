@@ -15,26 +15,29 @@ fits one dictionary) or delta coded; the other columns are delta coded.
 
 from __future__ import annotations
 
+import os
 import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker
 
-#: Words whose ids a worker keeps, and the bytes up to which it keeps them.
+#: Words whose ids a worker keeps, and the characters up to which it keeps them.
 KEPT_WORDS, KEPT_LENGTH = 600_000, 48
 #: Words in one call of the tokenizer, and characters of text taken at a time.
-WORDS_PER_CALL, CHARACTERS_AT_ONCE = 200, 1 << 20
+WORDS_PER_CALL, CHARACTERS_AT_ONCE = 1000, 4 << 20
 #: Signs: where no letter follows, a run of them is a stretch of its own after letters.
-SIGNS = string.punctuation.encode()
+SIGNS = string.punctuation
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,30 @@ def _stays_letters(word: str) -> bool:
 
     Some capitals become a letter with a mark of its own, which would join the signs.
     """
-    return word.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha()
+    return word.isalpha() and (word.isascii() or unicodedata.normalize(
+        "NFC", unicodedata.normalize("NFC", word).lower()).isalpha())
+
+
+class Kept(dict):
+    """Ids by word: the newer half of what is kept; when it is full, the older one goes."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.half, self.older = size // 2, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.older.get(word)
+        if ids is not None:
+            self[word] = ids
+        return ids
+
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        self.update(pair for pair in zip(words, ids) if len(pair[0]) <= KEPT_LENGTH)
+
+    def age(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordIds:
@@ -75,11 +101,13 @@ class WordIds:
 
     For tokenizers that drop white space, lower-case, and split letters from
     signs before they merge: a text's ids are then those of its words in turn,
-    and a word's ids those of its letters and of the signs after them.  Each
-    word is given to the tokenizer once and kept.
+    and a word's ids those of its letters and of the signs after them.  Some
+    texts are taken at a time; each of their different words is looked up
+    once, and given to the tokenizer where its ids are not kept.
     """
 
     def __init__(self, content: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -87,65 +115,75 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        #: The newer half of what is kept; when it is full, the older one goes.
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.long: list[bytes] = []
+        #: Words of letters, and all others, which include runs of signs.
+        self.cores, self.others = Kept(KEPT_WORDS * 5 // 6), Kept(KEPT_WORDS // 6)
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as it is; offsets, which nobody asks for, are not worked out."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
-    def letters(self, cores: list[bytes]) -> list[bytes]:
+    def letters(self, cores: list[str]) -> list[bytes]:
         """Ids of words of letters, told apart in one call by the ends of words."""
-        joined = b" ".join(cores).decode()
-        ids = np.array(
-            self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
+        packed = self.whole([" ".join(cores)])[0]
+        stops = 4 * (np.flatnonzero(self.ends[np.frombuffer(packed, dtype="<u4")]) + 1)
         if len(stops) != len(cores):
-            return [self.whole(core.decode()) for core in cores]
-        packed, stops = ids.tobytes(), (4 * stops).tolist()
+            return self.whole(cores)
+        stops = stops.tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Keep the ids of new words."""
-        kept, found, parts, new = self.kept, {}, [], set()
-        for word in words:
-            core = word.rstrip(SIGNS)
-            if core.isalpha() or not core.isascii() and _stays_letters(core.decode()):
-                if len(core) < len(word):
-                    parts.append((word, core))
-                if core not in kept:
-                    new.add(core)
-            else:
-                found[word] = self.whole(word.decode())
-        cores = list(new)
-        for i in range(0, len(cores), WORDS_PER_CALL):
-            some = cores[i : i + WORDS_PER_CALL]
-            kept.update(zip(some, self.letters(some)))
-        after = {word[len(core):] for word, core in parts}
-        signs = {run: self.whole(run.decode()) for run in after}
-        kept.update({word: kept[core] + signs[word[len(core):]] for word, core in parts})
-        kept.update(found)
-        self.long += [word for word in new.union(words) if len(word) > KEPT_LENGTH]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    @staticmethod
+    def learn(words: list[str], ids_of: Callable, kept: Kept) -> dict[str, bytes]:
+        """Ids of new words, some in a call; they are kept."""
+        found = {}
+        for i in range(0, len(words), WORDS_PER_CALL):
+            some = words[i : i + WORDS_PER_CALL]
+            ids = ids_of(some)
+            found.update(zip(some, ids))
+            kept.add(some, ids)
+        return found
+
+    def of_words(self, words: list[str], cores: list[str]) -> list[bytes]:
+        """Ids of different words, given each without the signs at its end."""
+        self.cores.age()
+        self.others.age()
+        found = list(map(self.cores.__getitem__, cores))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = {core for core in map(cores.__getitem__, missing) if _stays_letters(core)}
+        learned = self.learn(list(new), self.letters, self.cores)
+        rest = []
+        for i in missing:
+            found[i] = ids = learned.get(cores[i])
+            if ids is None:
+                rest.append(i)
+        alone = set(rest)
+        signed = [
+            i for i, (word, core) in enumerate(zip(words, cores))
+            if len(word) != len(core) and i not in alone
+        ]
+        others = [words[i] for i in rest] + [words[i][len(cores[i]):] for i in signed]
+        known = list(map(self.others.__getitem__, others))
+        new = {word for word, ids in zip(others, known) if ids is None}
+        learned = self.learn(list(new), self.whole, self.others)
+        for at, i in enumerate(rest + signed):
+            ids = known[at]
+            if ids is None:
+                ids = learned[others[at]]
+            found[i] = ids if at < len(rest) else found[i] + ids
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of texts."""
-        if len(self.kept) > KEPT_WORDS // 2:
-            self.older, self.kept = self.kept, {}
-        split = [text.lower().split() for text in texts]
-        self.long = []
-        new = set().union(*split) - self.kept.keys()
-        if new and self.older:
-            again = new & self.older.keys()
-            self.kept.update(zip(again, map(self.older.__getitem__, again)))
-            new -= again
-        if new:
-            self.learn(list(new))
-        packed = [b"".join(map(self.kept.__getitem__, some)) for some in split]
-        for word in self.long:
-            self.kept.pop(word, None)
-        return packed
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, type=pa.string())))
+        coded = split.flatten().dictionary_encode()
+        words, cores = (
+            some.to_numpy(zero_copy_only=False).tolist()
+            for some in (coded.dictionary, pc.ascii_rtrim(coded.dictionary, SIGNS))
+        )
+        ids_of = self.of_words(words, cores)
+        ids = map(ids_of.__getitem__, coded.indices.to_numpy().tolist())
+        counts = np.asarray(split.value_lengths()).tolist()
+        return [b"".join(islice(ids, count)) for count in counts]
 
 
 def _stretches(text: str) -> Iterator[str]:
@@ -200,14 +238,11 @@ def write_tokens(
         coder = once_per_worker(name, lambda: WordIds(sent.value))
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
+            keys, texts, at = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).tolist(), 0
             for group in _groups(texts):
                 packed = [
-                    b"".join(b"".join(coder.encode([s.encode()])) for s in _stretches(t)) + last
-                    for t in group
-                ] if len(group) == 1 else [
-                    ids + last for ids in coder.encode([t.encode() for t in group])
-                ]
+                    b"".join(b"".join(coder.encode([s])) for s in _stretches(t)) + last for t in group
+                ] if len(group) == 1 else [ids + last for ids in coder.encode(group)]
                 counts = np.array([len(ids) // 4 for ids in packed], dtype=np.int64)
                 stops = np.cumsum(counts)
                 ids = np.frombuffer(b"".join(packed), dtype="<i4")

@@ -252,6 +252,30 @@ def test_ids_before_signs_are_the_tokenizers():
         assert ids_of(coder.encode([text.encode()])[0]) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_tokenizer_many_in_a_call():
+    """Digits, signs and marks as well as letters; blanks of all kinds, and words that come again."""
+    with open(WORDS) as file:
+        coder = token_files.WordIds(file.read())
+    library, calls = coder.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    coder.tokenizer = Counted()
+    draw = random.Random(6)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["".join(
+        draw.choice(["don't", "ÉTÉ", "İ", "x", "3.14", "--", f"w{draw.randrange(999)}", "漢字", "z" * 60])
+        + draw.choice(["", ".", "?!", "'s", "\u0301", "\u0338"]) + draw.choice(blanks)
+        for _ in range(draw.randrange(60))) for _ in range(400)]
+    for some in (texts, texts[::-1], ["", " ", *texts[:9]]):
+        for text, packed in zip(some, coder.encode(some), strict=True):
+            assert ids_of(packed) == library.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 60
+
+
 def test_executors_need_no_package(tmp_path):
     """Operators that send a model run from another folder, without the package on the workers' path."""
     root = str(Path(toxicity.__file__).resolve().parent.parent.parent)
