@@ -9,7 +9,9 @@ unique, so a position that failed once never has to be entered again, which
 bounds the work by the number of vocabulary matches.
 
 The longest matches come from the trie of an Aho-Corasick automaton over
-strings in which each character stands for one byte (Latin-1).
+strings in which each character stands for one byte (Latin-1).  Many short
+pieces walk side by side over the same trie as an array, each by one token, or
+one back, in a step.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ KEPT_STRETCHES, KEPT_LENGTH = 400_000, 48
 KEPT_PAIRS = 400_000
 #: Signs that the usual patterns keep together after letters.
 SIGNS = ".,;:!?"
-#: Stretches that are joined at a time.
-STRETCHES_AT_ONCE = 200_000
+#: Stretches that are joined at a time, and characters of short texts.
+STRETCHES_AT_ONCE, CHARACTERS_AT_ONCE = 200_000, 1 << 20
+#: Bytes up to which a piece walks beside others, and places for pairs met on the way.
+WALKED_BYTES, PAIR_BITS = 256, 19
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -76,36 +80,198 @@ class Stretches(dict):
             self.older = dict(self)
             self.clear()
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.older.get(stretch)
-        if ids is not None:
-            self[stretch] = ids
-            return ids
-        coder = self.coder
-        letters = stretch[1:] if stretch[0] == " " else stretch
-        if coder.word_wise and letters.isalpha():
-            pieces = [stretch]
-        elif coder.word_wise and (core := letters.rstrip(SIGNS)).isalpha():
-            end = len(core) - len(letters)
-            pieces = [stretch[:end], stretch[end:]]
-        else:
-            pieces = coder.pattern.findall(stretch)
-        if len(pieces) == 1:
-            ids = coder.pack(coder.piece(stretch.encode()))
-        else:
-            ids = b"".join([self.of_piece(piece) for piece in pieces])
-        if len(stretch) <= KEPT_LENGTH:
-            self[stretch] = ids
-        return ids
-
-    def of_piece(self, piece: str) -> bytes:
-        """Ids of a piece, which may be a stretch elsewhere."""
-        ids = self.get(piece) or self.older.get(piece)
-        if ids is None:
-            ids = self.coder.pack(self.coder.piece(piece.encode()))
-            if len(piece) <= KEPT_LENGTH:
-                self[piece] = ids
-        return ids
+    def learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Ids of stretches that the newer half lacks."""
+        older, coder, new, several = self.older, self.coder, set(), []
+        again = stretches & older.keys()
+        learned = dict(zip(again, map(older.__getitem__, again)))
+        for stretch in stretches - again:
+            letters = stretch[1:] if stretch[0] == " " else stretch
+            if coder.word_wise and letters.isalpha():
+                pieces = [stretch]
+            elif coder.word_wise and (core := letters.rstrip(SIGNS)).isalpha():
+                end = len(core) - len(letters)
+                pieces = [stretch[:end], stretch[end:]]
+            else:
+                pieces = coder.pattern.findall(stretch)
+            if len(pieces) == 1:
+                new.add(stretch)
+            else:
+                several.append((stretch, pieces))
+                new.update(pieces)
+        known = {}
+        for kept in (self, older):
+            some = new & kept.keys()
+            known.update(zip(some, map(kept.__getitem__, some)))
+            new -= some
+        missing = list(new)
+        known.update(zip(missing, coder.pieces([piece.encode() for piece in missing])))
+        learned.update(known)
+        for stretch, pieces in several:
+            learned[stretch] = b"".join([known[piece] for piece in pieces])
+        self.update(pair for pair in learned.items() if len(pair[0]) <= KEPT_LENGTH)
+        return learned
+
+    def of(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch."""
+        self.aged()
+        found = list(map(self.get, stretches))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            learned = self.learn(set(map(stretches.__getitem__, missing)))
+            for i in missing:
+                found[i] = learned[stretches[i]]
+        return found
+
+
+class Walk:
+    """The walk over many pieces of UTF-8 at once: one token of each in a step."""
+
+    def __init__(self, coder: Coder):
+        self.coder, self.never = coder, coder.never
+        nodes: dict[str, int] = {"": 0}
+        inner = {token[:i] for token in coder.usable for i in range(len(token))}
+        for node in chain(sorted(inner, key=len), coder.usable):
+            nodes.setdefault(node, len(nodes))  # those with children come first
+        self.inner = max(len(inner), 1)
+        #: By node with children and byte: the next node; 0 where there is none.
+        self.next = np.zeros(self.inner << 8, dtype=np.int32)
+        #: By node: the longest usable token up to it; by token: the longest shorter one.
+        self.best = np.full(len(nodes), -1, dtype=np.int64)
+        self.shorter = np.full(self.never, -1, dtype=np.int64)
+        for node in sorted(nodes, key=len):
+            if not node:
+                continue
+            at, above = nodes[node], nodes[node[:-1]]
+            self.next[above << 8 | ord(node[-1])] = at
+            token = coder.usable.get(node)
+            self.best[at] = self.best[above] if token is None else token
+            if token is not None:
+                self.shorter[token] = self.best[above]
+        self.next[255::256] = 0  # never in UTF-8: it stands after each piece
+        parts = [(token, halves) for token, halves in coder.split.items() if halves]
+        self.first, self.second = (np.full(self.never, -1, dtype=np.int64) for _ in range(2))
+        for token, (left, right) in parts:
+            self.first[token], self.second[token] = left, right
+        merges = sorted(
+            (left * self.never + right, rank)
+            for token, rank in coder.ranks.items() for i in range(1, len(token))
+            if (left := coder.ranks.get(token[:i])) is not None
+            and (right := coder.ranks.get(token[i:])) is not None
+        )
+        self.merged = np.array([*merges, (1 << 62, self.never)], dtype=np.int64).T.copy()
+        #: Pairs of a token and the longest match after it, and the token that follows.
+        self.pairs = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self.chosen = np.zeros(1 << PAIR_BITS, dtype=np.int32)
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Coder.compatible`` for arrays."""
+        good, live = np.ones(len(left), dtype=bool), np.arange(len(left))
+        a, b = left, right
+        until_a, until_b = np.full(len(a), self.never), np.full(len(a), self.never)
+        keys, ranks = self.merged
+        while len(live):
+            pair = a * self.never + b
+            at = np.searchsorted(keys, pair)
+            across = np.where(keys[at] == pair, ranks[at], self.never)
+            apart = (across >= until_a) | (across > until_b) | (across == self.never)
+            good[live[~apart]] = False
+            part_a, part_b = self.second[a], self.first[b]
+            of_a = (part_a >= 0) & ((part_b < 0) | (a > b))
+            of_b = ~of_a & (part_b >= 0)
+            until_a, until_b = np.where(of_a, a, until_a), np.where(of_b, b, until_b)
+            a, b = np.where(of_a, part_a, a), np.where(of_b, part_b, b)
+            on = np.flatnonzero(apart & (of_a | of_b))
+            live, a, b, until_a, until_b = live[on], a[on], b[on], until_a[on], until_b[on]
+        return good
+
+    def following(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``Coder.following`` for arrays; a pair that was met before is looked up."""
+        pair = last * self.never + token
+        place = (pair * 0x9E3779B97F4A7C1 & 0xFFFFFFFFFFFFFFF) >> (60 - PAIR_BITS)
+        found = self.chosen[place].astype(np.int64)
+        unknown = np.flatnonzero(self.pairs[place] != pair)
+        if len(unknown):
+            new, which = np.unique(pair[unknown], return_inverse=True)
+            lasts, tokens = np.divmod(new, self.never)
+            open_ = np.arange(len(new))
+            while len(open_):
+                open_ = open_[~self.compatible(lasts[open_], tokens[open_])]
+                tokens[open_] = self.shorter[tokens[open_]]
+                open_ = open_[tokens[open_] >= 0]
+            found[unknown] = tokens[which]
+            for slot, key, value in zip(*(
+                some.tolist() for some in (place[unknown], pair[unknown], found[unknown])
+            )):
+                self.pairs[slot], self.chosen[slot] = key, value
+        return found
+
+    def longest(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest usable token at each position; else -1."""
+        reached = np.zeros(len(at), dtype=np.int64)
+        live, node = np.arange(len(at)), reached
+        while len(live):
+            step = self.next[node << 8 | data[at]]
+            on = np.flatnonzero(step)
+            live, node, at = live[on], step[on].astype(np.int64), at[on] + 1
+            reached[live] = node
+            on = np.flatnonzero(node < self.inner)
+            live, node, at = live[on], node[on], at[on]
+        return self.best[reached]
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces.
+
+        Kept by position: the token that begins there, where the token that ends there begins,
+        and whether the walk has failed there.
+        """
+        data = np.frombuffer(b"\xff".join([*pieces, b""]), dtype=np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ends = np.cumsum(sizes + 1) - 1
+        starts, lengths = ends - sizes, self.coder.lengths
+        begins, came = np.full(len(data), -1), np.full(len(data), -1)
+        failed = np.zeros(len(data), dtype=bool)
+        at, end = starts[sizes > 0], ends[sizes > 0]
+        last, token = np.full(len(at), -1), np.full(len(at), -2)  # as in Coder.piece
+        while len(at):
+            new = np.flatnonzero(token == -2)
+            token[new] = self.longest(data, at[new])
+            open_ = np.flatnonzero(token >= 0)
+            while len(open_):
+                some = open_[last[open_] >= 0]
+                token[some] = self.following(last[some], token[some])
+                open_ = open_[token[open_] >= 0]
+                open_ = open_[failed[at[open_] + lengths[token[open_]]]]
+                token[open_] = self.shorter[token[open_]]
+                open_ = open_[token[open_] >= 0]
+            on, stuck = np.flatnonzero(token >= 0), np.flatnonzero(token < 0)
+            here, taken = at[on], token[on]
+            begins[here] = taken
+            at[on] = here + lengths[taken]
+            came[at[on]] = here
+            last[on], token[on] = taken, -2
+            if len(stuck):
+                here = at[stuck]
+                failed[here] = True
+                before = came[here]
+                if (before < 0).any():
+                    raise ValueError("the rank table lacks a byte of the text")
+                earlier = came[before]
+                at[stuck] = before
+                last[stuck] = np.where(earlier < 0, -1, begins[earlier])
+                token[stuck] = self.shorter[begins[before]]
+            on = np.flatnonzero(at < end)
+            at, end, last, token = at[on], end[on], last[on], token[on]
+        first = np.zeros(len(data), dtype=bool)
+        at, end = starts[sizes > 0], ends[sizes > 0]
+        while len(at):
+            first[at] = True
+            at = at + lengths[begins[at]]
+            on = np.flatnonzero(at < end)
+            at, end = at[on], end[on]
+        packed = begins[first].astype("<u4").tobytes()
+        before = np.concatenate([[0], np.cumsum(first)]) * 4
+        return [packed[a:b] for a, b in zip(before[starts].tolist(), before[ends].tolist())]
 
 
 class Coder:
@@ -143,6 +309,7 @@ class Coder:
         self.joined = np.frombuffer(b"".join(self.bytes_of[rank] for rank in order), np.uint8)
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(PACKED + 1)]
         self.stretches = Stretches(self)
+        self.walk = Walk(self)
 
     # -- one piece ---------------------------------------------------------
 
@@ -269,6 +436,20 @@ class Coder:
                 raise ValueError("the rank table lacks a byte of the text")
         return taken
 
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of UTF-8."""
+        wholes = list(map(self.ranks.get, pieces))
+        found = [None if whole is None else self.pack([whole]) for whole in wholes]
+        short = [
+            i for i, ids in enumerate(found) if ids is None and len(pieces[i]) <= WALKED_BYTES
+        ]
+        for i, ids in zip(short, self.walk.pieces([pieces[i] for i in short])):
+            found[i] = ids
+        return [
+            self.pack(self.piece(piece)) if ids is None else ids
+            for piece, ids in zip(pieces, found)
+        ]
+
     # -- texts -------------------------------------------------------------
 
     def pack(self, ids: list[int]) -> bytes:
@@ -278,19 +459,34 @@ class Coder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        self.stretches.aged()
-        ids_of = self.stretches.__getitem__
-        if len(text) < STRETCHES_AT_ONCE:
-            return b"".join(map(ids_of, self.splitter.findall(text)))
-        found: Iterator[str] = (m.group() for m in self.splitter.finditer(text))
+        found = (m.group() for m in self.splitter.finditer(text or ""))
         parts = []
-        while part := b"".join(map(ids_of, islice(found, STRETCHES_AT_ONCE))):
-            parts.append(part)
-            self.stretches.aged()
+        while some := list(islice(found, STRETCHES_AT_ONCE)):
+            parts.append(b"".join(self.stretches.of(some)))
         return b"".join(parts)
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """``encode`` for each text; short ones are taken together."""
+        split: list[list[str]] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if size and size + len(text) > CHARACTERS_AT_ONCE:
+                yield from self.joined_ids(split)
+                split, size = [], 0
+            if len(text) > CHARACTERS_AT_ONCE:
+                yield from self.joined_ids(split)
+                split = []
+                yield self.encode(text)
+            else:
+                split.append(self.splitter.findall(text))
+                size += len(text)
+        yield from self.joined_ids(split)
+
+    def joined_ids(self, split: list[list[str]]) -> list[bytes]:
+        ids = iter(self.stretches.of(list(chain.from_iterable(split))))
+        return [b"".join(islice(ids, len(stretches))) for stretches in split]
+
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that packed ids stand for, from one buffer of all tokens."""
         numbers = np.frombuffer(ids or b"", dtype="<u4")
@@ -328,7 +524,7 @@ def coding(spark: SparkSession, ranks_path: str, pattern: str, stretches: str |
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         own = coder()
-        return pa.array((own.encode(t.as_py()) for t in texts), type=pa.binary())
+        return pa.array(own.encode_all(texts.to_numpy(zero_copy_only=False)), type=pa.binary())
 
     @F.arrow_udf("binary")
     def decode(packed: pa.Array) -> pa.Array:

@@ -35,7 +35,7 @@ from foliant.llm.shared import once_per_worker
 #: Words whose ids a worker keeps, and the characters up to which it keeps them.
 KEPT_WORDS, KEPT_LENGTH = 600_000, 48
 #: Words in one call of the tokenizer, and characters of text taken at a time.
-WORDS_PER_CALL, CHARACTERS_AT_ONCE = 1000, 4 << 20
+WORDS_PER_CALL, CHARACTERS_AT_ONCE = 1000, 2 << 20
 #: Signs: where no letter follows, a run of them is a stretch of its own after letters.
 SIGNS = string.punctuation
 

@@ -74,6 +74,26 @@ def test_bpe_with_another_vocabulary():
         assert ids_of(coder.encode(text)) == library.encode_ordinary(text)
 
 
+def test_new_short_pieces_are_walked_together(monkeypatch):
+    """Of many texts at a time, stepping back included; only long pieces are walked alone."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for token in (b"ab", b"bc", b"abc", b"cd", b"abcd", b"aa", b"aaa", b"bcd", "é".encode()):
+        ranks[token] = len(ranks)
+    library = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    coder, draw, alone = Coder(ranks, r"\S+|\s+"), random.Random(2), []
+    monkeypatch.setattr(
+        Coder, "piece", lambda self, data, f=Coder.piece: alone.append(data) or f(self, data))
+    texts = [None, "", *(
+        " ".join("".join(draw.choice("abcdé") for _ in range(draw.randrange(14))) for _ in range(9))
+        for _ in range(900)), "abcd" * 200]
+    for _ in range(2):
+        for text, packed in zip(texts, coder.encode_all(texts), strict=True):
+            assert ids_of(packed) == library.encode_ordinary(text or "")
+    assert alone == [b"abcd" * 200] * 2
+    with pytest.raises(ValueError, match="lacks a byte"):
+        list(Coder({b"a": 0, b"b": 1}, r".+").encode_all(["abc"]))
+
+
 def test_bpe_columns(spark, odd, empty):
     to_ids, to_bytes = coding(spark, RANKS, public_tokenizers.PATTERN, WORD_WISE)
     rows = odd.select("text", to_bytes(to_ids(F.col("text"))).alias("back")).collect()
