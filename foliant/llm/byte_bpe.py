@@ -12,13 +12,16 @@ The longest matches come from the trie of an Aho-Corasick automaton over
 strings in which each character stands for one byte (Latin-1).  Many short
 pieces walk side by side over the same trie as an array, each by one token, or
 one back, in a step.
+
+Texts are taken as one array of bytes, many at a time.  Where the pattern is the
+usual one, classes of characters give the pieces; the ids of pieces met before
+are looked up in arrays, compared byte by byte.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import struct
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm.shared import once_per_worker
 
-#: Stretches whose ids a worker keeps, and the length up to which it keeps them.
-KEPT_STRETCHES, KEPT_LENGTH = 400_000, 48
+#: By the words of eight bytes that a kept piece may have: the bits of the places for such pieces.
+KEPT_PLACES = {1: 18, 2: 19, 4: 19}
+#: Ids up to which a piece is kept.
+KEPT_IDS = 8
 #: Pairs of which a worker keeps whether they are compatible, and what follows from it.
 KEPT_PAIRS = 400_000
-#: Signs that the usual patterns keep together after letters.
-SIGNS = ".,;:!?"
-#: Stretches that are joined at a time, and characters of short texts.
-STRETCHES_AT_ONCE, CHARACTERS_AT_ONCE = 200_000, 1 << 20
+#: Pieces and ids that are handled at a time, and characters of texts.
+AT_ONCE, CHARACTERS_AT_ONCE = 200_000, 1 << 20
 #: Bytes up to which a piece walks beside others, and places for pairs met on the way.
 WALKED_BYTES, PAIR_BITS = 256, 19
 
@@ -49,7 +52,7 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 #: Words with the blank before them, and runs of white space.  Each match is split by the
 #: usual patterns (letters, digits and signs with an optional blank, white space apart)
-#: just as it is inside the whole text, so ids can be kept by match.
+#: just as it is inside the whole text, so a long text can be taken in parts.
 WORD_WISE = (
     r" ?[^ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
     r"|[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -57,71 +60,130 @@ WORD_WISE = (
     r"|[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
 
+#: The pattern that is applied to arrays of bytes, see ``Splitter``; others are matched.
+BY_CLASS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Classes of characters in it; ``END`` is the byte after each text, which UTF-8 never has.
+SPACE, LETTER, NUMBER, SIGN, END = range(5)
+END_BYTE = b"\xff"
 
-#: Ids up to which a packer is kept for their number.
-PACKED = 64
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions from each start on, as many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-class Stretches(dict):
-    """Packed ids by stretch of text, computed where missing.
 
-    Half of what is kept is the newer half; when that is full, the older one goes, so that
-    stretches which come again and again stay.
-    """
+class Splitter:
+    """The matches of ``BY_CLASS`` in many texts at once."""
 
-    def __init__(self, coder: Coder):
-        super().__init__()
-        self.coder = coder
-        self.older: dict[str, bytes] = {}
-
-    def aged(self) -> None:
-        """Let the older half go if the newer one is full."""
-        if len(self) > KEPT_STRETCHES // 2:
-            self.older = dict(self)
-            self.clear()
-
-    def learn(self, stretches: set[str]) -> dict[str, bytes]:
-        """Ids of stretches that the newer half lacks."""
-        older, coder, new, several = self.older, self.coder, set(), []
-        again = stretches & older.keys()
-        learned = dict(zip(again, map(older.__getitem__, again)))
-        for stretch in stretches - again:
-            letters = stretch[1:] if stretch[0] == " " else stretch
-            if coder.word_wise and letters.isalpha():
-                pieces = [stretch]
-            elif coder.word_wise and (core := letters.rstrip(SIGNS)).isalpha():
-                end = len(core) - len(letters)
-                pieces = [stretch[:end], stretch[end:]]
-            else:
-                pieces = coder.pattern.findall(stretch)
-            if len(pieces) == 1:
-                new.add(stretch)
-            else:
-                several.append((stretch, pieces))
-                new.update(pieces)
-        known = {}
-        for kept in (self, older):
-            some = new & kept.keys()
-            known.update(zip(some, map(kept.__getitem__, some)))
-            new -= some
-        missing = list(new)
-        known.update(zip(missing, coder.pieces([piece.encode() for piece in missing])))
-        learned.update(known)
-        for stretch, pieces in several:
-            learned[stretch] = b"".join([known[piece] for piece in pieces])
-        self.update(pair for pair in learned.items() if len(pair[0]) <= KEPT_LENGTH)
-        return learned
-
-    def of(self, stretches: list[str]) -> list[bytes]:
-        """Ids of each stretch."""
-        self.aged()
-        found = list(map(self.get, stretches))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            learned = self.learn(set(map(stretches.__getitem__, missing)))
-            for i in missing:
-                found[i] = learned[stretches[i]]
-        return found
+    def __init__(self):
+        import regex
+
+        points = [*range(0xD800), *range(0xE000, 0x110000)]
+        characters, points = "".join(map(chr, points)), np.array(points)
+        self.classes = np.full(0x110000, SIGN, dtype=np.uint8)
+        for name, group in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for match in regex.finditer(group, characters):
+                self.classes[points[match.start() : match.end()]] = name
+        self.of_bytes = np.full(256, SIGN, dtype=np.uint8)
+        self.of_bytes[:128], self.of_bytes[255] = self.classes[:128], END
+
+    def classified(self, data: np.ndarray) -> np.ndarray:
+        """The class of the character that each byte belongs to."""
+        classes = self.of_bytes[data]
+        leads = np.flatnonzero((data >= 0xC0) & (data < 0xFF))
+        if len(leads):
+            first = data[leads]
+            sizes = 2 + (first >= 0xE0) + (first >= 0xF0)
+            points = (first & (0x7F >> sizes)).astype(np.int64)
+            for i in (1, 2, 3):
+                on = sizes > i
+                points[on] = points[on] << 6 | data[leads[on] + i] & 0x3F
+            found = self.classes[points]
+            for i in range(4):
+                on = sizes > i
+                classes[leads[on] + i] = found[on]
+        return classes
+
+    def starts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a match or the end of a text begins, and which are matches.
+
+        An end follows each text.
+        """
+        classes = self.classified(data)
+        begins = np.ones(len(data), dtype=bool)
+        np.not_equal(classes[1:], classes[:-1], out=begins[1:])
+        # the last of some white space is apart: a blank goes with what follows
+        after = np.flatnonzero(begins[1:] & (classes[:-1] == SPACE) & (classes[1:] != END)) + 1
+        blank = data[after - 1] == 0x20
+        begins[after[blank] - 1], begins[after[blank]] = True, False
+        last = after[~blank] - 1
+        while len(inside := np.flatnonzero(data[last] & 0xC0 == 0x80)):
+            last[inside] -= 1
+        begins[last] = True
+        # 's 't 'm 'd 're 've 'll
+        quotes = np.flatnonzero((data[:-1] == 0x27) & (classes[1:] == LETTER) & begins[:-1])
+        if len(quotes):
+            one, two = data[quotes + 1], data[np.minimum(quotes + 2, len(data) - 1)]
+            short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+            pair = one.astype(np.int64) << 8 | two
+            long = np.isin(pair, [int.from_bytes(both) for both in (b"re", b"ve", b"ll")])
+            begins[quotes[short | long] + 1] = False
+            begins[quotes[short] + 2] = True
+            begins[quotes[long] + 3] = True
+        starts = np.flatnonzero(begins)
+        return starts, classes[starts] != END
+
+
+class Kept:
+    """Ids of pieces of up to some words of eight bytes; a new piece takes the place of an older."""
+
+    def __init__(self, words: int, bits: int, never: int):
+        self.words, self.bits = words, bits
+        self.keys = np.zeros((1 << bits, words), dtype=np.uint64)
+        self.counts = np.zeros(1 << bits, dtype=np.uint8)  # 0: none is kept here
+        self.ids = np.zeros((1 << bits, KEPT_IDS), dtype=np.min_scalar_type(never))
+
+    #: By the bytes that a piece has in a word: the others, set to what UTF-8 never has.
+    REST = np.array([(1 << 64) - (1 << 8 * n) for n in range(9)], dtype=np.uint64)
+
+    def keys_of(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The bytes of each piece, filled up; ``data`` goes on for as many bytes."""
+        words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+        keys = np.empty((len(starts), self.words), dtype=np.uint64)
+        for i in range(self.words):
+            keys[:, i] = words[starts + 8 * i]
+            keys[:, i] |= self.REST[np.clip(sizes - 8 * i, 0, 8)]
+        return keys
+
+    @staticmethod
+    def mixed(keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), dtype=np.uint64)
+        for i in range(keys.shape[1]):
+            found ^= keys[:, i]
+            found *= np.uint64(0x9E3779B97F4A7C15)
+            found ^= found >> np.uint64(29)
+        return found * np.uint64(0xBF58476D1CE4E5B9)
+
+    def places(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def has(self, places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether the pieces are kept at their places."""
+        same = self.counts[places] > 0
+        for i in range(self.words):
+            same &= self.keys[places, i] == keys[:, i]
+        return same
+
+    def put(self, places, keys, counts, starts, ids: np.ndarray) -> None:
+        """Keep pieces, whose ids begin at ``starts``; one per place."""
+        places, one = np.unique(places, return_index=True)
+        few = counts[one] <= KEPT_IDS
+        places, one = places[few], one[few]
+        self.keys[places], self.counts[places] = keys[one], counts[one]
+        for i in range(KEPT_IDS):
+            on = counts[one] > i
+            self.ids[places[on], i] = ids[starts[one[on]] + i]
 
 
 class Walk:
@@ -200,10 +262,9 @@ class Walk:
                 tokens[open_] = self.shorter[tokens[open_]]
                 open_ = open_[tokens[open_] >= 0]
             found[unknown] = tokens[which]
-            for slot, key, value in zip(*(
-                some.tolist() for some in (place[unknown], pair[unknown], found[unknown])
-            )):
-                self.pairs[slot], self.chosen[slot] = key, value
+            slots, one = np.unique(place[unknown], return_index=True)
+            self.pairs[slots] = pair[unknown[one]]
+            self.chosen[slots] = found[unknown[one]]
         return found
 
     def longest(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,16 +280,16 @@ class Walk:
             live, node, at = live[on], node[on], at[on]
         return self.best[reached]
 
-    def pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of pieces.
+    def pieces(self, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
+        """The number of ids of each piece that begins in the text, and all these ids.
 
         Kept by position: the token that begins there, where the token that ends there begins,
         and whether the walk has failed there.
         """
-        data = np.frombuffer(b"\xff".join([*pieces, b""]), dtype=np.uint8).astype(np.int64)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ends = np.cumsum(sizes + 1) - 1
         starts, lengths = ends - sizes, self.coder.lengths
+        data = np.full(int((sizes + 1).sum()), 255, dtype=np.uint8)
+        data[spread(starts, sizes)] = text[spread(begin, sizes)]
         begins, came = np.full(len(data), -1), np.full(len(data), -1)
         failed = np.zeros(len(data), dtype=bool)
         at, end = starts[sizes > 0], ends[sizes > 0]
@@ -269,9 +330,8 @@ class Walk:
             at = at + lengths[begins[at]]
             on = np.flatnonzero(at < end)
             at, end = at[on], end[on]
-        packed = begins[first].astype("<u4").tobytes()
-        before = np.concatenate([[0], np.cumsum(first)]) * 4
-        return [packed[a:b] for a, b in zip(before[starts].tolist(), before[ends].tolist())]
+        before = np.concatenate([[0], np.cumsum(first)])
+        return before[ends] - before[starts], begins[first]
 
 
 class Coder:
@@ -287,8 +347,8 @@ class Coder:
         self.never = max(ranks.values(), default=0) + 1
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.word_wise = stretches is not None
-        self.splitter = re.compile(stretches) if stretches else self.pattern
+        self.by_class = Splitter() if pattern == BY_CLASS else None
+        self.stretches = re.compile(stretches) if stretches else None
         self.split: dict[int, tuple[int, int] | None] = {}
         self.usable = {  # tokens that merging can produce at all
             token.decode("latin-1"): rank
@@ -307,8 +367,11 @@ class Coder:
         sizes[order] = [len(self.bytes_of[rank]) for rank in order]
         self.lengths, self.starts = sizes, np.cumsum(sizes) - sizes
         self.joined = np.frombuffer(b"".join(self.bytes_of[rank] for rank in order), np.uint8)
-        self.packers = [struct.Struct(f"<{n}I").pack for n in range(PACKED + 1)]
-        self.stretches = Stretches(self)
+        self.kept = [Kept(words, bits, self.never) for words, bits in KEPT_PLACES.items()]
+        #: Tokens that merging cannot produce, for pieces that are such a token as a whole.
+        self.unusable = {
+            token: rank for token, rank in ranks.items() if token.decode("latin-1") not in self.usable
+        }
         self.walk = Walk(self)
 
     # -- one piece ---------------------------------------------------------
@@ -436,69 +499,155 @@ class Coder:
                 raise ValueError("the rank table lacks a byte of the text")
         return taken
 
-    def pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of pieces of UTF-8."""
-        wholes = list(map(self.ranks.get, pieces))
-        found = [None if whole is None else self.pack([whole]) for whole in wholes]
-        short = [
-            i for i, ids in enumerate(found) if ids is None and len(pieces[i]) <= WALKED_BYTES
-        ]
-        for i, ids in zip(short, self.walk.pieces([pieces[i] for i in short])):
-            found[i] = ids
-        return [
-            self.pack(self.piece(piece)) if ids is None else ids
-            for piece, ids in zip(pieces, found)
+    # -- many pieces -------------------------------------------------------
+
+    def new(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """The number of ids of each piece, where they begin, and the ids."""
+        counts, begin = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        walked = sizes <= WALKED_BYTES
+        known = np.flatnonzero(np.isin(sizes, [len(token) for token in self.unusable]))
+        alone = {}
+        for i in [*known.tolist(), *np.flatnonzero(~walked).tolist()]:
+            piece = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            if piece in self.unusable or not walked[i]:
+                alone[i] = self.piece(piece)
+                walked[i] = False
+        counts[walked], ids = self.walk.pieces(data, starts[walked], sizes[walked])
+        begin[walked] = np.cumsum(counts[walked]) - counts[walked]
+        end = len(ids)
+        for i, own in alone.items():
+            counts[i], begin[i] = len(own), end
+            end += len(own)
+        return counts, begin, np.concatenate([ids, *alone.values()]).astype(np.int64)
+
+    def coded(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """The number of ids of each piece of UTF-8, and all ids; data goes on behind the pieces.
+
+        Pieces that are kept are looked up, of the others each different one is encoded once.
+        """
+        counts, begin = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        flat, end, least, open_, new_keys, which, unknown = [], 0, 0, [], [], [], 0
+        for kept in self.kept:
+            some = np.flatnonzero((sizes > least) & (sizes <= 8 * kept.words))
+            least = 8 * kept.words
+            keys = kept.keys_of(data, starts[some], sizes[some])
+            mixed = kept.mixed(keys)
+            places = kept.places(mixed)
+            has = kept.has(places, keys)
+            hit, miss = np.flatnonzero(has), np.flatnonzero(~has)
+            counts[some[hit]] = kept.counts[places[hit]]
+            begin[some[hit]] = end + KEPT_IDS * np.arange(len(hit))
+            flat.append(kept.ids[places[hit]].reshape(-1))
+            end += len(flat[-1])
+            _, one, of = np.unique(mixed[miss], return_index=True, return_inverse=True)
+            if (keys[miss[one]][of] != keys[miss]).any():  # two pieces of one hash
+                _, one, of = np.unique(keys[miss], axis=0, return_index=True, return_inverse=True)
+            open_.append(some[miss])
+            which.append(of.reshape(-1) + unknown)
+            unknown += len(one)
+            new_keys.append((kept, some[miss[one]], places[miss[one]], keys[miss[one]]))
+        long = np.flatnonzero(sizes > least)
+        numbers: dict[bytes, int] = {}
+        of = [
+            numbers.setdefault(data[a : a + n].tobytes(), len(numbers))
+            for a, n in zip(starts[long].tolist(), sizes[long].tolist())
         ]
+        open_.append(long)
+        which.append(np.array(of, dtype=np.int64) + unknown)
+        _, one = np.unique(which[-1], return_index=True)
+        new = np.concatenate([*(pieces for _, pieces, _, _ in new_keys), long[one]])
+        new_counts, new_begin, ids = self.new(data, starts[new], sizes[new])
+        at = 0
+        for kept, pieces, places, keys in new_keys:
+            until = at + len(pieces)
+            kept.put(places, keys, new_counts[at:until], new_begin[at:until], ids)
+            at = until
+        open_, which = np.concatenate(open_), np.concatenate(which)
+        counts[open_], begin[open_] = new_counts[which], end + new_begin[which]
+        return counts, np.concatenate([*flat, ids])[spread(begin, counts)]
 
     # -- texts -------------------------------------------------------------
 
-    def pack(self, ids: list[int]) -> bytes:
-        if len(ids) > PACKED:
-            return np.array(ids, dtype="<u4").tobytes()
-        return self.packers[len(ids)](*ids)
+    #: Bytes that stand behind the pieces, as the keys of kept pieces read on.
+    BEHIND = bytes(8 * max(KEPT_PLACES))
+
+    def of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``coded`` for pieces that were matched one by one."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        data = np.frombuffer(b"".join([*pieces, self.BEHIND]), dtype=np.uint8)
+        return self.coded(data, np.cumsum(sizes) - sizes, sizes)
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of some texts."""
+        if self.by_class is None:
+            split = [[p.encode() for p in self.pattern.findall(text)] for text in texts]
+            counts, ids = self.of_pieces(list(chain.from_iterable(split)))
+            ends = np.cumsum([len(pieces) for pieces in split], dtype=np.int64)
+        else:
+            joined = END_BYTE.join([*(text.encode() for text in texts), b""])
+            data = np.frombuffer(joined + self.BEHIND, dtype=np.uint8)
+            own = data[: len(joined)]
+            borders, within = self.by_class.starts(own)
+            starts, sizes = borders[within], np.diff(borders, append=len(own))[within]
+            counts, ids = self.coded(data, starts, sizes)
+            ends = np.searchsorted(starts, np.flatnonzero(own == END_BYTE[0]))
+        packed = ids.astype("<u4").tobytes()
+        until = 4 * np.concatenate([[0], np.cumsum(counts)])[ends]
+        return [packed[a:b] for a, b in zip([0, *until.tolist()], until.tolist())]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Parts of a long text that the pattern splits as it does within the text.
+
+        None ends in white space, for there patterns look at what follows.
+        """
+        begin = 0
+        for match in self.stretches.finditer(text) if self.stretches else ():
+            end = match.end()
+            if end - begin >= CHARACTERS_AT_ONCE and not text[end - 1].isspace():
+                yield text[begin:end]
+                begin = end
+        yield text[begin:]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        found = (m.group() for m in self.splitter.finditer(text or ""))
-        parts = []
-        while some := list(islice(found, STRETCHES_AT_ONCE)):
-            parts.append(b"".join(self.stretches.of(some)))
-        return b"".join(parts)
+        packed = []
+        for part in self.parts(text or ""):
+            if len(part) <= 2 * CHARACTERS_AT_ONCE:
+                packed += self.together([part])
+                continue
+            found = (match.group().encode() for match in self.pattern.finditer(part))
+            while some := list(islice(found, AT_ONCE)):
+                packed.append(self.of_pieces(some)[1].astype("<u4").tobytes())
+        return b"".join(packed)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """``encode`` for each text; short ones are taken together."""
-        split: list[list[str]] = []
+        some: list[str] = []
         size = 0
         for text in texts:
             text = text or ""
             if size and size + len(text) > CHARACTERS_AT_ONCE:
-                yield from self.joined_ids(split)
-                split, size = [], 0
+                yield from self.together(some)
+                some, size = [], 0
             if len(text) > CHARACTERS_AT_ONCE:
-                yield from self.joined_ids(split)
-                split = []
+                yield from self.together(some)
+                some = []
                 yield self.encode(text)
             else:
-                split.append(self.splitter.findall(text))
+                some.append(text)
                 size += len(text)
-        yield from self.joined_ids(split)
-
-    def joined_ids(self, split: list[list[str]]) -> list[bytes]:
-        ids = iter(self.stretches.of(list(chain.from_iterable(split))))
-        return [b"".join(islice(ids, len(stretches))) for stretches in split]
+        yield from self.together(some)
 
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that packed ids stand for, from one buffer of all tokens."""
         numbers = np.frombuffer(ids or b"", dtype="<u4")
         parts = []
-        for begin in range(0, len(numbers), STRETCHES_AT_ONCE):
-            some = numbers[begin : begin + STRETCHES_AT_ONCE]
+        for begin in range(0, len(numbers), AT_ONCE):
+            some = numbers[begin : begin + AT_ONCE]
             lengths = self.lengths[some]
             if not lengths.all():
                 raise KeyError("an id that no token has")
-            shift = self.starts[some] - (np.cumsum(lengths) - lengths)
-            at = np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
-            parts.append(self.joined[at].tobytes())
+            parts.append(self.joined[spread(self.starts[some], lengths)].tobytes())
         return b"".join(parts)
 
 
@@ -509,9 +658,9 @@ def coding(spark: SparkSession, ranks_path: str, pattern: str, stretches: str |
     usual vocabularies) travels to the workers as a broadcast, and each worker
     builds its automaton once.  ``stretches`` may name a coarser standard-library
     pattern, such as ``WORD_WISE``, each match of which ``pattern`` splits as it
-    does within the text (letters after an optional blank not at all, and signs after them
-    as one piece); ids are then kept by such stretches.  A null text is empty and gives no ids; null ids
-    give no bytes.  Work is row by row: no row is ever split, sampled or cut.
+    does within the text; a long text is then taken in parts of such matches.  A null
+    text is empty and gives no ids; null ids give no bytes.  The ids are those of whole
+    rows: none is sampled or cut.
     """
     with open(ranks_path, "rb") as file:
         content = file.read()

@@ -16,8 +16,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from foliant.llm import byte_bpe, token_files, toxicity
 from foliant.llm import decontamination as leaks
-from foliant.llm import token_files, toxicity
 from foliant.llm.byte_bpe import WORD_WISE, Coder, coding, parse_ranks
 from foliant.llm.shared import words
 
@@ -94,6 +94,47 @@ def test_new_short_pieces_are_walked_together(monkeypatch):
         list(Coder({b"a": 0, b"b": 1}, r".+").encode_all(["abc"]))
 
 
+def test_pieces_are_split_and_looked_up_in_arrays(monkeypatch):
+    """The pattern is matched against no short text, and a piece that is kept not walked again."""
+    with open(RANKS, "rb") as file:
+        ranks = parse_ranks(file.read())
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, draw, walked = Coder(ranks, public_tokenizers.PATTERN, WORD_WISE), random.Random(3), []
+    monkeypatch.setattr(coder, "pattern", None)
+    monkeypatch.setattr(
+        coder.walk, "pieces",
+        lambda *own, f=coder.walk.pieces: walked.append(len(own[1])) or f(*own))
+    signs = [*"abst  \n\t'--éß漢٣²\x00\x1c\x85\u2028\u3000\u0301ſ🙂", "'re", "'ll", "'s't", "!!", "\r\n"]
+    texts = [None, "", " ", *(
+        "".join(draw.choice(signs) for _ in range(draw.randrange(80))) for _ in range(800))]
+    for _ in range(2):
+        for text, packed in zip(texts, coder.encode_all(texts), strict=True):
+            assert ids_of(packed) == library.encode_ordinary(text or "")
+    assert walked[1] < walked[0] / 5
+
+
+def test_long_texts_and_crowded_places(monkeypatch):
+    """Parts of a long text, a word longer than a part, and pieces of one place or one hash."""
+    for name, value in (
+        ("CHARACTERS_AT_ONCE", 40), ("AT_ONCE", 7), ("KEPT_IDS", 2), ("KEPT_PLACES", {1: 2, 2: 1, 4: 1})
+    ):
+        monkeypatch.setattr(byte_bpe, name, value)
+    monkeypatch.setattr(
+        byte_bpe.Kept, "mixed", staticmethod(lambda keys: keys[:, 0] << np.uint64(61)))
+    with open(RANKS, "rb") as file:
+        ranks = parse_ranks(file.read())
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdeé  \r\n'1-") for _ in range(n)) for n in range(0, 400, 7)]
+    texts += ["verylongword" * 30, " \n" * 90 + "x", "漢字" * 60 + " ab " * 40]
+    for stretches in (None, WORD_WISE):
+        coder = Coder(ranks, public_tokenizers.PATTERN, stretches)
+        for text, packed in zip(texts, coder.encode_all(texts), strict=True):
+            assert ids_of(packed) == library.encode_ordinary(text)
+
+
 def test_bpe_columns(spark, odd, empty):
     to_ids, to_bytes = coding(spark, RANKS, public_tokenizers.PATTERN, WORD_WISE)
     rows = odd.select("text", to_bytes(to_ids(F.col("text"))).alias("back")).collect()
