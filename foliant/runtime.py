@@ -85,10 +85,14 @@ def gathered(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(tasks_for(df.sparkSession, size))
+
+
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Some tasks per core, or as many as that many bytes of input files need."""
     most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.coalesce(max(_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // most)))
+    return max(_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

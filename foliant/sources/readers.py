@@ -10,6 +10,9 @@ from foliant import schema
 from foliant.config import ChunkingConfig
 from foliant.functions import text as tx
 from foliant.runtime import gathered
+from foliant.sources.files import hold_more_than, local_folders, read_files
+
+_LISTED_BY_DRIVER = 10_000
 
 
 def _as_documents(files: DataFrame, config: ChunkingConfig) -> DataFrame:
@@ -31,7 +34,14 @@ def read_documents(
 
     Bytes that are no UTF-8 become replacement characters.  Spark lists no
     empty files, which would give no chunks anyway.
+
+    Spark's driver holds the status of every file it scans.  So where local folders (that all
+    machines see) hold very many files, tasks list and read them (``files``), with the same rows.
     """
+    if recursive:
+        folders = local_folders(spark, [path] if isinstance(path, str) else path)
+        if folders and hold_more_than(folders, _LISTED_BY_DRIVER):
+            return _as_documents(read_files(spark, folders, config.max_file_bytes), config)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         .load(path)
